@@ -2,6 +2,7 @@
 
 from ordlab.plans import catalog  # noqa: F401
 from ordlab.plans import holdout  # noqa: F401
+from ordlab.plans import cleaning  # noqa: F401
 
 REGISTRY = catalog.REGISTRY
 

@@ -55,3 +55,21 @@ def docs_labelled(spark: SparkSession, sf: str) -> DataFrame:
     d = T(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
     lab = T(spark, sf, "labels")
     return d.join(lab, "doc_id", "left")
+
+SQL_KEY = "cast(concat('0x', substr(md5(cast({id} as varchar)), 1, 8)) as bigint) % 10000"
+
+
+def split_col(id_col: str, test_fraction: float = 0.2, run=None):
+    """``'test'``/``'train'`` from the repeatable hash key."""
+    from ordlab.operators.split import split_key, BUCKETS
+    return F.when(split_key(id_col, run) < int(round(test_fraction * BUCKETS)), F.lit("test")).otherwise(F.lit("train"))
+
+
+def sql_split(id_col: str, test_fraction: float = 0.2) -> str:
+    cut = int(round(test_fraction * 10000))
+    return f"case when {SQL_KEY.format(id=id_col)} < {cut} then 'test' else 'train' end"
+
+
+SQL_DOCS_LABELLED = """
+select d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic
+from documents d left join labels l on l.doc_id = d.doc_id"""
