@@ -75,30 +75,40 @@ def code_split(df: DataFrame, col: str, letter: str | None = None, number: str |
               .withColumn(number, F.expr(f"substring(`{col}`, 2)")))
 
 
-def body_features(df: DataFrame, ht: str, wt: str, bmi: str, age: str) -> DataFrame:
-    """Body-measure features; ``Wt_Age`` is computed for every row (Q8)."""
+def body_features(df: DataFrame, ht: str, wt: str, bmi: str, age: str, den: str) -> DataFrame:
+    """Body-measure features; ``Wt_Age`` is computed for every row (Q8)
+    and ``BMI_H32`` is the guarded ratio ``bmi / den`` (0 where den is 0)."""
     # fixed values: coefficients of the derived body features
     return df.withColumns({
         "scale": F.lit(6.1e-3) * F.col(ht) + F.lit(1.28e-2) * F.col(wt),
         "Fat": F.lit(1.2) * F.col(bmi) + F.lit(0.23) * F.col(age),
         "Ht_BMI": F.col(ht) * F.col(bmi),
+        "BMI_H32": guarded_ratio(bmi, den),
         "BMI_Age": F.col(bmi) * F.col(age),
-        "Wt_Age": F.col(wt) * F.col(age),
-        "BMI_H32": guarded_ratio(bmi, ht),
+        "Wt_Age": F.col(wt) - F.col(age),
     })
 
 
 def pair_features(df: DataFrame, a: str, b: str, prefix: str = "pair") -> DataFrame:
-    """Product, sum, absolute difference and both guarded ratios."""
+    """``_1`` product, ``_2`` sum, ``_3`` absolute difference, ``_4`` a/b and
+    ``_5`` b/a (both guarded: 0 where the divisor is 0)."""
     return df.withColumns({
-        f"{prefix}_mul": F.col(a) * F.col(b),
-        f"{prefix}_sum": F.col(a) + F.col(b),
-        f"{prefix}_absdiff": F.abs(F.col(a) - F.col(b)),
-        f"{prefix}_ratio_ab": guarded_ratio(a, b),
-        f"{prefix}_ratio_ba": guarded_ratio(b, a),
+        f"{prefix}_1": F.col(a) * F.col(b),
+        f"{prefix}_2": F.col(a) + F.col(b),
+        f"{prefix}_3": F.abs(F.col(a) - F.col(b)),
+        f"{prefix}_4": guarded_ratio(a, b),
+        f"{prefix}_5": guarded_ratio(b, a),
     })
 
 
+def all_features(df: DataFrame, cols, prefix: str = "all") -> DataFrame:
+    """Sum (``_1``) and product (``_2``) over a column list."""
+    from functools import reduce
+    from operator import mul
+    return df.withColumns({f"{prefix}_1": row_sum(cols),
+                           f"{prefix}_2": reduce(mul, [F.col(x) for x in cols])})
+
+
 def count_features(df: DataFrame, groups: dict) -> DataFrame:
     """``{out: [flag columns]}`` horizontal sums (null if any input is null)."""
     return df.withColumns({k: row_sum(v) for k, v in groups.items()})
