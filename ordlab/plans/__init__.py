@@ -4,6 +4,7 @@ from ordlab.plans import catalog  # noqa: F401
 from ordlab.plans import holdout  # noqa: F401
 from ordlab.plans import cleaning  # noqa: F401
 from ordlab.plans import encoding  # noqa: F401
+from ordlab.plans import decoding  # noqa: F401
 
 REGISTRY = catalog.REGISTRY
 
