@@ -11,24 +11,26 @@ from ordlab.operators.rank import position
 
 def decode_cdf(df: DataFrame, score: str, id_col: str, cdf: DataFrame, by=None,
                out: str = "cls", strict: bool = True, cls_col: str = "cls",
-               cdf_col: str = "cdf", n_classes: int = 8) -> DataFrame:
+               cdf_col: str = "cdf", n_classes: int = 8, cdf_by=None) -> DataFrame:
     """Give the lowest-ranked ``cdf_1`` share class 1, the next share class 2, ...
 
     Rows are ranked by ``(score, id)`` inside each ``by`` group with the
     scalable ``position`` (no single-task window).  With ``strict`` the
     reference's slice ends ``int(n*cdf_k - 1)`` are kept, so the row just below
     each boundary stays in the last class (Q1); ``strict=False`` closes the gaps.
-    ``cdf`` has columns ``by + [cls_col, cdf_col]`` with ``n_classes`` rows per
-    group; it is folded into one array per group before the (broadcast) join.
+    ``cdf`` has columns ``cdf_by + [cls_col, cdf_col]`` (``cdf_by`` defaults to
+    ``by``) with ``n_classes`` rows per group; it is folded into one array per
+    group before the (broadcast) join.
     """
     by = list(by or [])
+    cdf_by = list(by if cdf_by is None else cdf_by)
     ranked = position(df, [score, id_col], "__r", partition_by=by or None, with_count="__n")
-    arr = (cdf.groupBy(*by)
+    arr = (cdf.groupBy(*cdf_by)
               .agg(F.array_sort(F.collect_list(F.struct(F.col(cls_col).alias("k"),
                                                         F.col(cdf_col).cast("double").alias("f"))))
                    .alias("__cdf")))
-    if by:
-        ranked = ranked.join(F.broadcast(arr), by)
+    if cdf_by:
+        ranked = ranked.join(F.broadcast(arr), cdf_by)
     else:
         ranked = (ranked.withColumn("__g", F.lit(0))
                   .join(F.broadcast(arr.withColumn("__g", F.lit(0))), "__g").drop("__g"))
