@@ -107,7 +107,7 @@ def q_impute_ridge_multi(spark, sf):
 @query("impute_vs_constant", f"""
 with p as (select p_partkey id, cast(p_size as double) x, p_retailprice y from part),
 f as (select r.run, p.*, case when {SQL_SPLIT_KEY.format(run='r.run', id='p.id')} < 3000 then 'test' else 'train' end role
-      from p, (select unnest(generate_series(1, 3)) run) r),
+      from p, (select cast(unnest(generate_series(1, 3)) as integer) run) r),
 fit as (select run, regr_sxy(y, x) / (regr_sxx(y, x) * {1.0 + ALPHA}e0) slope, avg(x) mx, avg(y) my
         from f where role = 'train' group by run),
 e as (select f.run, f.y, fit.my + fit.slope * (f.x - fit.mx) pm, fit.my pc

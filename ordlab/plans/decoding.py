@@ -17,7 +17,7 @@ from ordlab.plans.standins import (SQL_DOCS_LABELLED, SQL_ORDERS_BASE, SQL_PART_
 OB = f"with ob as ({SQL_ORDERS_BASE})"
 FOLDS_SQL = f"""folds as (select r.run, ob.id, ob.y, ob.score,
   case when {SQL_SPLIT_KEY.format(run='r.run', id='ob.id')} < 2000 then 'test' else 'train' end role
-  from ob, (select unnest(generate_series(1, 6)) run) r)"""
+  from ob, (select cast(unnest(generate_series(1, 6)) as integer) run) r)"""
 
 # fixed cut points for the cut decoders (right-closed bins)
 CUTS = [1.5, 2.5, 3.5, 4.5, 5.5, 6.5, 7.5]

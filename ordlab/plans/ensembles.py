@@ -209,7 +209,7 @@ SQL_ENS_BASE = f"""with {SQL_MODELS.strip()},
 ob as ({SQL_ORDERS_BASE}),
 folds as (select r.run, ob.id, ob.y,
   case when {SQL_SPLIT_KEY.format(run='r.run', id='ob.id')} < 2000 then 'test' else 'train' end role
-  from ob, (select unnest(generate_series(1, 3)) run) r),
+  from ob, (select cast(unnest(generate_series(1, 3)) as integer) run) r),
 h as (select run, y cls, count(*) c from folds where role = 'train' group by run, y),
 cdf as (select run, cls, sum(c) over (partition by run order by cls rows unbounded preceding)
                / cast(sum(c) over (partition by run) as double) f from h),
@@ -260,7 +260,7 @@ CHOSEN = {"m2": 1.0, "m4": 0.5, "m1": 0.25}
 ob as ({SQL_ORDERS_BASE}),
 folds as (select r.run, ob.id, ob.y,
   case when {SQL_SPLIT_KEY.format(run='r.run', id='ob.id')} < 2000 then 'test' else 'train' end role
-  from ob, (select unnest(generate_series(1, 3)) run) r),
+  from ob, (select cast(unnest(generate_series(1, 3)) as integer) run) r),
 h as (select run, y cls, count(*) c from folds where role = 'train' group by run, y),
 c as (select run, cls, sum(c) over (partition by run order by cls rows unbounded preceding)
              / cast(sum(c) over (partition by run) as double) cdf from h),

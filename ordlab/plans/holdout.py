@@ -24,7 +24,7 @@ with b as (
 f as (
   select r.run, b.id, b.y, b.score,
          case when {SQL_SPLIT_KEY.format(run='r.run', id='b.id')} < 2000 then 'test' else 'train' end role
-  from b, (select unnest(generate_series(1, {RUNS})) run) r),
+  from b, (select cast(unnest(generate_series(1, {RUNS})) as integer) run) r),
 h as (select run, y cls, count(*) c from f where role = 'train' group by run, y),
 grid as (select r.run, g.cls from (select distinct run from f) r,
          (select unnest(generate_series(1, 8)) cls) g),
