@@ -7,6 +7,8 @@ from ordlab.plans import encoding  # noqa: F401
 from ordlab.plans import decoding  # noqa: F401
 from ordlab.plans import ensembles  # noqa: F401
 from ordlab.plans import selection  # noqa: F401
+from ordlab.plans import online  # noqa: F401
+from ordlab.plans import files  # noqa: F401
 
 REGISTRY = catalog.REGISTRY
 
