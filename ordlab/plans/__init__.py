@@ -9,6 +9,7 @@ from ordlab.plans import ensembles  # noqa: F401
 from ordlab.plans import selection  # noqa: F401
 from ordlab.plans import online  # noqa: F401
 from ordlab.plans import files  # noqa: F401
+from ordlab.plans import learners  # noqa: F401
 
 REGISTRY = catalog.REGISTRY
 
