@@ -50,9 +50,19 @@ def trunc_int(x) -> Column:
     return F.when(c(x) < 0, F.ceil(c(x))).otherwise(F.floor(c(x))).cast("bigint")
 
 
-def softmax(arr) -> Column:
-    """F11 with a per-row max (Q17)."""
+def softmax(arr, k: int | None = None) -> Column:
+    """F11 with a per-row max (Q17).  With a known length ``k`` the scores are
+    unrolled into plain expressions (codegen, shared subexpressions); without
+    it, array higher-order functions are used."""
     a = c(arr)
+    if k:
+        xs = [a[i] for i in range(k)]
+        m = F.greatest(*xs)
+        es = [F.exp(x - m) for x in xs]
+        tot = es[0]
+        for e in es[1:]:
+            tot = tot + e
+        return F.array(*[e / tot for e in es])
     m = F.array_max(a)
     e = F.transform(a, lambda x: F.exp(x - m))
     s = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)

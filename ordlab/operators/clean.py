@@ -1,8 +1,8 @@
 """Cleaning and imputation.
 
-Fill values are aggregates (one row, or one row per split) joined back on a
-constant or split key, so a fill is one scan for the statistic plus one
-projection; nothing is collected to the driver.
+Fill values are aggregates: one row per split joined back on the split key,
+or one row attached as a scalar subquery, so a fill is one scan for the
+statistic plus one projection; nothing is collected to the driver.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordlab.functions.scalar import c
+from ordlab.operators.frame import attach
 
 
 def fill_sentinel(df: DataFrame, cols, value=-1) -> DataFrame:
@@ -25,8 +26,7 @@ def _stat_fill(df: DataFrame, cols, stat, by=None, suffix: str = "") -> DataFram
         st = df.groupBy(*by).agg(*aggs)
         j = df.join(st, by, "left")
     else:
-        st = df.agg(*aggs).withColumn("__g", F.lit(0))
-        j = df.withColumn("__g", F.lit(0)).join(st, "__g").drop("__g")
+        j = attach(df, df.agg(*aggs))
     j = j.withColumns({f"{x}{suffix}": F.coalesce(F.col(x).cast("double"), F.col(f"__f_{x}")) for x in cols})
     return j.drop(*[f"__f_{x}" for x in cols])
 
@@ -78,7 +78,7 @@ def impute_ridge_single(df: DataFrame, x: str, y: str, alpha: float, by=None,
     if by:
         j = df.join(fit, by, "left")
     else:
-        j = df.withColumn("__g", F.lit(0)).join(fit.withColumn("__g", F.lit(0)), "__g").drop("__g")
+        j = attach(df, fit)
     pred = F.col("intercept") + F.col("slope") * c(x).cast("double")
     if categorical:
         pred = F.rint(pred)

@@ -32,8 +32,7 @@ def decode_cdf(df: DataFrame, score: str, id_col: str, cdf: DataFrame, by=None,
     if cdf_by:
         ranked = ranked.join(F.broadcast(arr), cdf_by)
     else:
-        ranked = (ranked.withColumn("__g", F.lit(0))
-                  .join(F.broadcast(arr.withColumn("__g", F.lit(0))), "__g").drop("__g"))
+        ranked = ranked.withColumn("__cdf", arr.select("__cdf").scalar())
     n = F.col("__n").cast("double")
     r = F.col("__r")
 

@@ -79,11 +79,10 @@ def candidate_scores(preds: DataFrame, current: DataFrame | None, current_weight
                             / (F.lit(current_weight) + F.col("weight"))))
     else:
         cand = cand.withColumn("blend", F.col("prediction"))
-    cand = cand.withColumn("cand", F.concat_ws("|", "model", F.col("weight").cast("string")))
-    k = _decode_and_score(cand.select("cand", "run", "id", "blend", "target"),
-                          cdf, ["cand", "run"])
-    per = k.join(cand.select("cand", "model", "weight").distinct(), "cand")
-    return per.groupBy("model", "weight").agg(F.avg("kappa").alias("kappa_mean"))
+    dec = decode_cdf(cand.select("model", "weight", "run", "id", "blend", "target"), "blend", "id", cdf,
+                     by=["model", "weight", "run"], out="cls", cdf_by=["run"])
+    k = qwk(dec, "target", "cls", by=["model", "weight", "run"])
+    return k.groupBy("model", "weight").agg(F.avg("kappa").alias("kappa_mean"))
 
 
 def greedy_selection(preds: DataFrame, cdf: DataFrame, weights=(0.25, 0.5, 1.0), init_top_k: int = 1,

@@ -12,20 +12,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordlab.functions.scalar import c, guarded_ratio, row_sum, row_sum_skip_null, safe_div
-from ordlab.operators.rank import position
+from ordlab.operators.frame import attach
+from ordlab.operators.rank import position, window_position
 
 
-def label_encode(df: DataFrame, col: str, out: str | None = None, per_split: str | None = None) -> DataFrame:
+def label_encode(df: DataFrame, col: str, out: str | None = None, per_split: str | None = None,
+                 max_levels: int = 100_000) -> DataFrame:
     """code = index of the value among the sorted distinct values.
 
     Default fits on all rows (E2, the union of train and test); with
     ``per_split`` the codes are refitted inside each split (Q5).  Nulls keep a
-    null code.  Distinct values are ranked with the scalable ``position``."""
+    null code.  The level table is measured first: up to ``max_levels`` rows it
+    is ranked by one window task, beyond that by the scalable ``position``."""
     out = out or f"{col}_code"
     keys = [per_split] if per_split else []
     d = df.select(*keys, col).filter(F.col(col).isNotNull()).distinct()
-    codes = position(d, [col], out, partition_by=keys or None).withColumn(out, F.col(out).cast("int"))
-    return df.join(codes, keys + [col], "left")
+    if d.limit(max_levels + 1).count() <= max_levels:
+        # checked small level table: one window task over at most max_levels rows
+        codes = window_position(d, [col], out, partition_by=keys or None)
+    else:
+        codes = position(d, [col], out, partition_by=keys or None)
+    return df.join(codes.withColumn(out, F.col(out).cast("int")), keys + [col], "left")
 
 
 def one_hot_levels(df: DataFrame, cols, max_levels: int = 1000) -> dict:
@@ -138,15 +145,14 @@ def target_encode_loo(df: DataFrame, col: str, y: str, is_train, out: str | None
     d = df.withColumn("__tr", F.when(c(is_train), 1).otherwise(0))
     train = d.filter(tr == 1)
     stats = train.groupBy(col).agg(F.sum(y).cast("double").alias("__s"), F.count(F.lit(1)).alias("__n"))
-    m = train.agg(F.avg(y).alias("__m")).withColumn("__g", F.lit(0))
-    j = (d.join(stats, col, "left").withColumn("__g", F.lit(0)).join(m, "__g"))
+    j = attach(d.join(stats, col, "left"), train.agg(F.avg(y).alias("__m")))
     cnt = F.coalesce(F.col("__n"), F.lit(0)) - tr
     csm = F.coalesce(F.col("__s"), F.col("__m")) - F.col(y) * tr
     enc = (csm + F.lit(prior_weight) * F.col("__m")) / (cnt + F.lit(prior_weight))
     enc = F.coalesce(enc, F.col("__m"))
     if noise:
         enc = F.when(tr == 1, enc * (F.lit(1.0) + F.lit(noise) * (F.rand(seed) - F.lit(0.5)))).otherwise(enc)
-    return j.withColumn(out, enc).drop("__tr", "__s", "__n", "__m", "__g")
+    return j.withColumn(out, enc).drop("__tr", "__s", "__n", "__m")
 
 
 def woe_encode(df: DataFrame, col: str, target: str, out: str | None = None, smoothing: float = 0.5) -> DataFrame:
@@ -176,8 +182,7 @@ def standardize(df: DataFrame, cols, fit_on=None, by=None, suffix: str = "") ->
         mom = base.groupBy(*by).agg(*aggs)
         j = df.join(mom, by, "left")
     else:
-        mom = base.agg(*aggs).withColumn("__g", F.lit(0))
-        j = df.withColumn("__g", F.lit(0)).join(mom, "__g").drop("__g")
+        j = attach(df, base.agg(*aggs))
     j = j.withColumns({f"{x}{suffix}": safe_div(F.col(x) - F.col(f"__m_{x}"), F.col(f"__s_{x}")) for x in cols})
     return j.drop(*[f"__m_{x}" for x in cols], *[f"__s_{x}" for x in cols])
 

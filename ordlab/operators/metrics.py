@@ -32,6 +32,15 @@ def _keyed(df: DataFrame, by):
     return df.withColumn("__g", F.lit(0)), ["__g"], []
 
 
+def _combine(o: DataFrame, e: DataFrame, by, keep) -> DataFrame:
+    """Join two per-group partial results; ungrouped ones (one row each) are
+    combined through a scalar subquery instead of a constant-key join."""
+    if keep:
+        return o.join(e, by)
+    from ordlab.operators.frame import attach
+    return attach(o.drop(*by), e.drop(*by))
+
+
 def qwk(df: DataFrame, a: str, b: str, by=None, out: str = "kappa") -> DataFrame:
     """M3: quadratic weighted kappa per group.
 
@@ -76,7 +85,8 @@ def linear_kappa(df: DataFrame, a: str, b: str, by=None, out: str = "kappa") ->
     exp_part = F.col("ca") * (v * F.col("cb_lo") - F.col("sb_lo") + F.col("sb_hi") - v * F.col("cb_hi"))
     e = h.groupBy(*by).agg(F.sum(exp_part).alias("__e"), F.sum("ca").alias("__n"))
     o = df.groupBy(*by).agg(F.sum(F.abs(c(a) - c(b)).cast("double")).alias("__o"))
-    return o.join(e, by).select(*keep, (F.lit(1.0) - safe_div("__o", F.col("__e") / F.col("__n"))).alias(out))
+    return _combine(o, e, by, keep).select(*keep, (F.lit(1.0) - safe_div("__o", F.col("__e") / F.col("__n")))
+                                           .alias(out))
 
 
 def cohen_kappa(df: DataFrame, a: str, b: str, by=None, out: str = "kappa") -> DataFrame:
@@ -86,7 +96,7 @@ def cohen_kappa(df: DataFrame, a: str, b: str, by=None, out: str = "kappa") -> D
     e = h.groupBy(*by).agg(F.sum(F.col("ca") * F.col("cb")).alias("__m"), F.sum("ca").alias("__n"))
     o = df.groupBy(*by).agg(F.sum(F.when(c(a) != c(b), 1.0).otherwise(0.0)).alias("__o"))
     exp_ = F.col("__n") - F.col("__m") / F.col("__n")
-    return o.join(e, by).select(*keep, (F.lit(1.0) - safe_div("__o", exp_)).alias(out))
+    return _combine(o, e, by, keep).select(*keep, (F.lit(1.0) - safe_div("__o", exp_)).alias(out))
 
 
 def mean_kappa_z(df: DataFrame, kappa: str, weight: str | None = None, by=None,

@@ -53,9 +53,9 @@ def lasso(df: DataFrame, features, label: str, alpha: float):
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Inverse class frequency with mean 1: ``w_c = n / (K n_c)``."""
     cnt = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
-    tot = cnt.agg(F.sum("__nc").alias("__n"), F.count(F.lit(1)).alias("__k")).withColumn("__g", F.lit(0))
-    w = (cnt.withColumn("__g", F.lit(0)).join(tot, "__g")
-            .select(label, (F.col("__n") / (F.col("__k") * F.col("__nc"))).alias(out)))
+    from ordlab.operators.frame import attach
+    tot = cnt.agg(F.sum("__nc").alias("__n"), F.count(F.lit(1)).alias("__k"))
+    w = attach(cnt, tot).select(label, (F.col("__n") / (F.col("__k") * F.col("__nc"))).alias(out))
     return df.join(F.broadcast(w), label)  # one row per class
 
 

@@ -4,7 +4,7 @@ Input: one row per example with a label ``y`` in 1..K, an array of K raw
 class scores ``s`` and an optional weight.  Output: one row per (example,
 class) with ``grad`` and ``hess`` — the long form a Spark learner aggregates
 by feature.  Global terms (row count, label moments, mean |hessian|) are
-one-row aggregates joined on a constant key; nothing is collected.
+scalar subqueries over one-row aggregates; nothing is collected.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordlab.functions.scalar import c, softmax
+from ordlab.functions.scalar import c
 
 
 def _explode_k(df: DataFrame, id_col: str, y: str, s: str, weight, n_classes: int) -> DataFrame:
@@ -56,29 +56,48 @@ def softkappa(df: DataFrame, id_col: str, y: str, s: str, weight=None, n_classes
 
     ``p = softmax(s)``, ``m = sum_j (y-j)^2 p_j``, ``E = 2(M sum y^2 - (sum y)^2)``
     (the closed form of ``sum_ij (i-j)^2 h_i h_j``), ``g_n = v M p_n((y-n)^2-m)/E``,
-    ``q_n = M p_n(1-2p_n)((y-n)^2-m)/E``, ``h_n = v |q_n| hess_scale / mean|q|``."""
+    ``q_n = M p_n(1-2p_n)((y-n)^2-m)/E``, ``h_n = v |q_n| hess_scale / mean|q|``.
+
+    The K class scores are unrolled into columns so every term is a plain
+    codegen expression; M, E and mean|q| are scalar subqueries."""
+    from ordlab.operators.frame import attach, scalar
+    K = n_classes
     w = c(weight).cast("double") if weight is not None else F.lit(1.0)
     base = df.select(c(id_col).alias("id"), c(y).cast("double").alias("__y"), w.alias("__v"),
-                     softmax(s).alias("__p"))
+                     *[c(s)[k].cast("double").alias(f"__s{k}") for k in range(K)])
+    mx = F.greatest(*[F.col(f"__s{k}") for k in range(K)])
+    base = base.select("id", "__y", "__v", *[F.exp(F.col(f"__s{k}") - mx).alias(f"__e{k}") for k in range(K)])
+    se = F.col("__e0")
+    for k in range(1, K):
+        se = se + F.col(f"__e{k}")
+    base = base.select("id", "__y", "__v", *[(F.col(f"__e{k}") / se).alias(f"__p{k}") for k in range(K)])
     glob = base.agg(F.count(F.lit(1)).cast("double").alias("__rows"),
-                    (F.lit(2.0) * (F.count(F.lit(1)) * F.sum(F.col("__y") ** 2) - F.sum("__y") ** 2)).alias("__E")) \
-        .withColumn("__g", F.lit(0))
+                    (F.lit(2.0) * (F.count(F.lit(1)) * F.sum(F.col("__y") * F.col("__y"))
+                                   - F.sum("__y") * F.sum("__y"))).alias("__E"))
     yv = F.col("__y")
-    m = F.aggregate(F.zip_with(F.col("__p"), F.sequence(F.lit(1), F.size("__p")),
-                               lambda p, j: (yv - j) * (yv - j) * p), F.lit(0.0), lambda a, x: a + x)
-    rows = base.withColumn("__m", m).withColumn("__g", F.lit(0)).join(glob, "__g")
-    long = rows.select("id", "__y", "__v", "__m", "__rows", "__E",
-                       F.posexplode("__p").alias("__k0", "__pn")).withColumn("k", F.col("__k0") + 1)
-    n = F.col("k").cast("double")
-    core = F.col("__pn") * ((F.col("__y") - n) ** 2 - F.col("__m"))
-    g = F.col("__v") * F.col("__rows") * core / F.col("__E")
-    q = F.col("__rows") * F.col("__pn") * (F.lit(1.0) - F.lit(2.0) * F.col("__pn")) \
-        * ((F.col("__y") - n) ** 2 - F.col("__m")) / F.col("__E")
-    long = long.select("id", "k", "__v", g.alias("grad"), q.alias("__q"))
-    mq = long.agg(F.avg(F.abs("__q")).alias("__mq")).withColumn("__g", F.lit(0))
-    out = long.withColumn("__g", F.lit(0)).join(mq, "__g")
-    return out.select("id", "k", "grad",
-                      (F.col("__v") * F.abs("__q") * F.lit(hess_scale) / F.col("__mq")).alias("hess"))
+
+    def d2(k):  # (y - class)^2 for the class of column k
+        return (yv - F.lit(float(k + 1))) * (yv - F.lit(float(k + 1)))
+
+    m = (d2(0) * F.col("__p0"))
+    for k in range(1, K):
+        m = m + d2(k) * F.col(f"__p{k}")
+    rows = attach(base, glob).withColumn("__m", m)
+    M, E = F.col("__rows"), F.col("__E")
+    g = {k: F.col("__v") * M * (F.col(f"__p{k}") * (d2(k) - F.col("__m"))) / E for k in range(K)}
+    q = {k: M * F.col(f"__p{k}") * (F.lit(1.0) - F.lit(2.0) * F.col(f"__p{k}")) * (d2(k) - F.col("__m")) / E
+         for k in range(K)}
+    wide = rows.select("id", "__v", *[g[k].alias(f"__g{k}") for k in range(K)],
+                       *[q[k].alias(f"__q{k}") for k in range(K)])
+    sq = F.abs(F.col("__q0"))
+    for k in range(1, K):
+        sq = sq + F.abs(F.col(f"__q{k}"))
+    mq = scalar(wide.agg((F.avg(sq) / F.lit(float(K))).alias("__mq")), "__mq")
+    long = wide.select("id", "__v", F.explode(F.array(*[
+        F.struct(F.lit(k + 1).alias("k"), F.col(f"__g{k}").alias("grad"), F.col(f"__q{k}").alias("q"))
+        for k in range(K)])).alias("__x"))
+    return long.select("id", F.col("__x.k").alias("k"), F.col("__x.grad").alias("grad"),
+                       (F.col("__v") * F.abs("__x.q") * F.lit(hess_scale) / mq).alias("hess"))
 
 
 def pseudo_huber(df: DataFrame, id_col: str, y: str, pred: str, gamma: float = 0.9) -> DataFrame:

@@ -32,11 +32,12 @@ def group_sum(df: DataFrame, key: str, value: str, out: str = "total") -> DataFr
 def class_hist(df: DataFrame, label: str, by=None, n_classes: int = 8, first: int = 1) -> DataFrame:
     """Zero-filled class histogram over ``first..first+n_classes-1``.
 
-    The class grid comes from the distinct group keys (one row per group),
-    so the zero-fill never multiplies data rows."""
+    The class grid comes from the distinct group keys of the count table
+    (one row per group), so the zero-fill never touches the data rows again."""
     by = list(by or [])
     counts = df.groupBy(*by, c(label).cast("int").alias("cls")).agg(F.count(F.lit(1)).alias("cnt"))
-    keys = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
+    # group keys come from the (small) count table, not from another pass over the rows
+    keys = counts.select(*by).distinct() if by else df.sparkSession.range(1).select()
     grid = keys.withColumn("cls", F.explode(F.sequence(F.lit(first), F.lit(first + n_classes - 1))))
     return (grid.join(counts, by + ["cls"], "left")
                 .select(*by, "cls", F.coalesce("cnt", F.lit(0)).cast("bigint").alias("cnt")))
@@ -96,7 +97,6 @@ def best_row(df: DataFrame, score: str, tie: str, by=None, carry=None) -> DataFr
 def normalized(df: DataFrame, value: str, mode: str = "sum", out: str = "share") -> DataFrame:
     """``v / sum(v)`` or ``v / max(v)``; the input is an importance
     table with one row per feature (bounded by the feature count)."""
-    total = df.agg((F.sum(value) if mode == "sum" else F.max(value)).alias("__t"))
-    return (df.withColumn("__g", F.lit(0))
-              .join(total.withColumn("__g", F.lit(0)), "__g")
-              .withColumn(out, F.col(value) / F.col("__t")).drop("__g", "__t"))
+    from ordlab.operators.frame import scalar
+    total = scalar(df.agg((F.sum(value) if mode == "sum" else F.max(value)).alias("__t")), "__t")
+    return df.withColumn(out, F.col(value) / total)

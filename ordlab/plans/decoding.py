@@ -141,7 +141,7 @@ b as (select id, y, list_sum(list_transform(generate_series(1, 8), lambda k: p[k
 """ + SQL_DECODE_CDF_TAIL)
 def q_decode_expected(spark, sf):
     """D4 with F11/F20: softmax of eight class scores, expected class, CDF decode."""
-    p = part_scores(spark, sf).withColumn("p", softmax("s"))
+    p = part_scores(spark, sf).withColumn("p", softmax("s", 8))
     cdf = class_cdf(p, "y")
     return dc.decode_expected(p, "p", "id", cdf, out="cls").select("id", "y", "cls")
 
