@@ -147,7 +147,7 @@ def target_encode_loo(df: DataFrame, col: str, y: str, is_train, out: str | None
     stats = train.groupBy(col).agg(F.sum(y).cast("double").alias("__s"), F.count(F.lit(1)).alias("__n"))
     j = attach(d.join(stats, col, "left"), train.agg(F.avg(y).alias("__m")))
     cnt = F.coalesce(F.col("__n"), F.lit(0)) - tr
-    csm = F.coalesce(F.col("__s"), F.col("__m")) - F.col(y) * tr
+    csm = F.coalesce(F.col("__s"), F.col("__m")) - F.when(tr == 1, F.col(y)).otherwise(F.lit(0.0))
     enc = (csm + F.lit(prior_weight) * F.col("__m")) / (cnt + F.lit(prior_weight))
     enc = F.coalesce(enc, F.col("__m"))
     if noise:
