@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ordlab.functions.scalar import c
 from ordlab.operators.frame import attach
+from ordlab.session import fitted
 
 
 def fill_sentinel(df: DataFrame, cols, value=-1) -> DataFrame:
@@ -23,7 +24,7 @@ def _stat_fill(df: DataFrame, cols, stat, by=None, suffix: str = "") -> DataFram
     by = list(by or [])
     aggs = [stat(F.col(x)).alias(f"__f_{x}") for x in cols]
     if by:
-        st = df.groupBy(*by).agg(*aggs)
+        st = fitted(df.groupBy(*by).agg(*aggs), "fill")
         j = df.join(st, by, "left")
     else:
         j = attach(df, df.agg(*aggs))
@@ -76,6 +77,7 @@ def impute_ridge_single(df: DataFrame, x: str, y: str, alpha: float, by=None,
     out = out or f"{y}_filled"
     fit = ridge_single_fit(df, x, y, alpha, by)
     if by:
+        fit = fitted(fit, "ridge")
         j = df.join(fit, by, "left")
     else:
         j = attach(df, fit)

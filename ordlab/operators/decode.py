@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ordlab.functions.scalar import c, expected_class, half_away, trunc_int
 from ordlab.operators.rank import position
+from ordlab.session import fitted
 
 
 def decode_cdf(df: DataFrame, score: str, id_col: str, cdf: DataFrame, by=None,
@@ -30,7 +31,7 @@ def decode_cdf(df: DataFrame, score: str, id_col: str, cdf: DataFrame, by=None,
                                                         F.col(cdf_col).cast("double").alias("f"))))
                    .alias("__cdf")))
     if cdf_by:
-        ranked = ranked.join(F.broadcast(arr), cdf_by)
+        ranked = ranked.join(fitted(arr, "cdf"), cdf_by)
     else:
         ranked = ranked.withColumn("__cdf", arr.select("__cdf").scalar())
     n = F.col("__n").cast("double")

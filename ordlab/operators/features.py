@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ordlab.functions.scalar import c, guarded_ratio, row_sum, row_sum_skip_null, safe_div
 from ordlab.operators.frame import attach
+from ordlab.session import fitted
 from ordlab.operators.rank import position, window_position
 
 
@@ -32,7 +33,8 @@ def label_encode(df: DataFrame, col: str, out: str | None = None, per_split: str
         codes = window_position(d, [col], out, partition_by=keys or None)
     else:
         codes = position(d, [col], out, partition_by=keys or None)
-    return df.join(codes.withColumn(out, F.col(out).cast("int")), keys + [col], "left")
+    codes = fitted(codes.withColumn(out, F.col(out).cast("int")), "codes")
+    return df.join(codes, keys + [col], "left")
 
 
 def one_hot_levels(df: DataFrame, cols, max_levels: int = 1000) -> dict:
@@ -144,7 +146,8 @@ def target_encode_loo(df: DataFrame, col: str, y: str, is_train, out: str | None
     tr = F.col("__tr")
     d = df.withColumn("__tr", F.when(c(is_train), 1).otherwise(0))
     train = d.filter(tr == 1)
-    stats = train.groupBy(col).agg(F.sum(y).cast("double").alias("__s"), F.count(F.lit(1)).alias("__n"))
+    stats = fitted(train.groupBy(col).agg(F.sum(y).cast("double").alias("__s"),
+                                          F.count(F.lit(1)).alias("__n")), "target-stats")
     j = attach(d.join(stats, col, "left"), train.agg(F.avg(y).alias("__m")))
     cnt = F.coalesce(F.col("__n"), F.lit(0)) - tr
     csm = F.coalesce(F.col("__s"), F.col("__m")) - F.when(tr == 1, F.col(y)).otherwise(F.lit(0.0))
@@ -163,10 +166,12 @@ def woe_encode(df: DataFrame, col: str, target: str, out: str | None = None, smo
     y = F.when(c(target) > 0, 1).otherwise(0)
     g = df.filter(c(target).isNotNull()).groupBy(col).agg(
         F.sum(y).alias("n1"), F.sum(F.lit(1) - y).alias("n0"))
-    tot = Window.partitionBy(F.lit(0))  # category table: one row per level
     s = F.lit(smoothing)
-    return g.select(col, "n1", "n0", F.ln(((F.col("n1") + s) / F.sum(F.col("n1") + s).over(tot))
-                                          / ((F.col("n0") + s) / F.sum(F.col("n0") + s).over(tot))).alias(out))
+    g = fitted(g, "woe-counts")
+    tot = g.agg(F.sum(F.col("n1") + s).alias("t1"), F.sum(F.col("n0") + s).alias("t0"))
+    g = attach(g, tot)  # two scalars from the level table
+    return g.select(col, "n1", "n0", F.ln(((F.col("n1") + s) / F.col("t1"))
+                                          / ((F.col("n0") + s) / F.col("t0"))).alias(out))
 
 
 def standardize(df: DataFrame, cols, fit_on=None, by=None, suffix: str = "") -> DataFrame:
@@ -179,7 +184,7 @@ def standardize(df: DataFrame, cols, fit_on=None, by=None, suffix: str = "") ->
     for x in cols:
         aggs += [F.avg(x).alias(f"__m_{x}"), F.stddev_pop(x).alias(f"__s_{x}")]
     if by:
-        mom = base.groupBy(*by).agg(*aggs)
+        mom = fitted(base.groupBy(*by).agg(*aggs), "moments")
         j = df.join(mom, by, "left")
     else:
         j = attach(df, base.agg(*aggs))

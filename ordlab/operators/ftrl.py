@@ -86,8 +86,8 @@ def fit(long: DataFrame, labels: DataFrame, prm: FtrlParams, batch_size: int, ep
     epoch's state is kept and training stops after ``early_stop_rounds``
     epochs without improvement.  Returns ``(state, history)``."""
     from ordlab.operators.rank import batches
-    lab = materialize(batches(labels, ["id"], batch_size), "ftrl-batches")
-    rows = materialize(long.join(lab.select("id", "batch"), "id"), "ftrl-rows")
+    lab = materialize(batches(labels, ["id"], batch_size), "ftrl-batches", partition_by=["batch"])
+    rows = materialize(long.join(lab.select("id", "batch"), "id"), "ftrl-rows", partition_by=["batch"])
     n_batches = lab.agg(F.max("batch")).first()[0]
     n_batches = -1 if n_batches is None else int(n_batches)
     st = state if state is not None else zero_state(long)

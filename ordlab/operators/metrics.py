@@ -106,7 +106,10 @@ def mean_kappa_z(df: DataFrame, kappa: str, weight: str | None = None, by=None,
     k = clamp(kappa, -0.999, 0.999)
     z = F.lit(0.5) * F.ln((F.lit(1.0) + k) / (F.lit(1.0) - k))
     if weight:
-        wn = c(weight) / F.avg(c(weight)).over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))
+        if by:
+            wn = c(weight) / F.avg(c(weight)).over(Window.partitionBy(*by))
+        else:
+            wn = c(weight) / df.agg(F.avg(c(weight))).scalar()
         z = z * wn
     zz = df.select(*by, z.alias("__z")).groupBy(*by).agg(F.avg("__z").alias("__z"))
     return zz.select(*by, F.tanh("__z").alias(out))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordlab.session import materialize, shuffle_partitions
+from ordlab.session import fitted, materialize, shuffle_partitions
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -64,7 +64,7 @@ def position(df: DataFrame, order_by, out: str = "pos", partition_by=None,
     aggs = [F.min(out).alias("__start")]
     if with_count:
         aggs.append(F.count(F.lit(1)).alias(with_count))
-    starts = out_df.groupBy(*parts).agg(*aggs)
+    starts = fitted(out_df.groupBy(*parts).agg(*aggs), "group-starts")
     part_names = [p if isinstance(p, str) else None for p in parts]
     if any(p is None for p in part_names):
         raise ValueError("partition_by must be column names")

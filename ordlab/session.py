@@ -55,16 +55,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def materialize(df, tag: str = "stage"):
+def materialize(df, tag: str = "stage", partition_by=None):
     """Write ``df`` to a fresh folder under the shared checkpoint location and
     read it back: cuts lineage and pins the data, so every later use (and any
-    recomputation after an executor loss) sees exactly the same rows."""
+    recomputation after an executor loss) sees exactly the same rows.
+    ``partition_by`` writes one folder per value so later filters prune."""
     import uuid
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), f"ordlab-{tag}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
     return spark.read.parquet(path)
 
 
+def fitted(df, tag: str = "fitted"):
+    """Pin a fitted aggregate (per-group statistics, codes, CDFs) as a table.
+
+    Its true on-disk size then drives the join strategy at planning time: a
+    small table is broadcast (autoBroadcastJoinThreshold), a large one is
+    joined by shuffle with AQE skew splitting — a measured size check instead
+    of a guessed hint, and the data side is never shuffled for a few groups."""
+    return materialize(df, tag)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
