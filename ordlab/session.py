@@ -70,13 +70,18 @@ def materialize(df, tag: str = "stage", partition_by=None):
     return spark.read.parquet(path)
 
 
-def fitted(df, tag: str = "fitted"):
-    """Pin a fitted aggregate (per-group statistics, codes, CDFs) as a table.
-
-    Its true on-disk size then drives the join strategy at planning time: a
-    small table is broadcast (autoBroadcastJoinThreshold), a large one is
-    joined by shuffle with AQE skew splitting — a measured size check instead
-    of a guessed hint, and the data side is never shuffled for a few groups."""
+def fitted(df, tag: str = "fitted", max_rows: int = 1000):
+    """Pin a fitted aggregate (per-group statistics, codes, CDFs) as a table
+    whose size the planner knows.
+
+    Up to ``max_rows`` rows it becomes a local relation (it is a handful of
+    fitted values: it is broadcast); above that it is written to the shared
+    checkpoint folder and its on-disk size decides between broadcast and a
+    shuffle join with AQE skew splitting.  Either way the size is measured,
+    not guessed, and the data side is never shuffled for a few groups."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) <= max_rows:
+        return df.sparkSession.createDataFrame(rows, df.schema)
     return materialize(df, tag)
 
 
