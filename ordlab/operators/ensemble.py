@@ -25,6 +25,16 @@ def blend_weighted(preds: DataFrame, weights: DataFrame, key=("id",), model: str
     return j.groupBy(*key).agg((F.sum(c(w) * c(p)) / F.sum(c(w))).alias(out))
 
 
+def running_blend(preds: DataFrame, order: str, key=("id",), p: str = "prediction", w: str = "weight",
+                  out: str = "blend") -> DataFrame:
+    """The running weighted mean over an ordered list of models, per key:
+    after model j the blend is ``sum_{i<=j} w_i p_i / sum_{i<=j} w_i``.  The
+    window is partitioned by the row key (one small group per row)."""
+    from pyspark.sql import Window
+    win = Window.partitionBy(*list(key)).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return preds.withColumn(out, F.sum(F.col(w) * F.col(p)).over(win) / F.sum(w).over(win))
+
+
 def bag_average(preds: DataFrame, key=("id",), p: str = "prediction", out: str = "avg") -> DataFrame:
     """Mean prediction over bags."""
     return preds.groupBy(*list(key)).agg(F.avg(p).alias(out))

@@ -100,12 +100,15 @@ def split_back(df: DataFrame, tag: str = "split", names=("train", "test")) -> tu
 
 
 def sample_models(models: DataFrame, key: str, fraction: float, seed: int, replace: bool = False,
-                  draws: int | None = None) -> DataFrame:
-    """T5: a seeded subset of a model table; with replacement each row is
-    drawn ``draws`` times with a hashed Bernoulli(fraction) per draw."""
+                  draws: int = 1) -> DataFrame:
+    """T5: a seeded subset of a model table (integer key).  Without
+    replacement a row is kept when its split-hash bucket for ``seed`` falls
+    below ``fraction``; with replacement each of ``draws`` draws is an
+    independent hashed Bernoulli(fraction) and a row may appear several times
+    (column ``draw``)."""
+    from ordlab.operators.split import BUCKETS, split_key
+    cut = int(round(fraction * BUCKETS))
     if not replace:
-        return models.filter((F.abs(F.xxhash64(F.col(key), F.lit(seed))) % 1000000) < fraction * 1000000)
-    d = draws or 1
-    ex = models.withColumn("__draw", F.explode(F.sequence(F.lit(1), F.lit(d))))
-    return ex.filter((F.abs(F.xxhash64(F.col(key), F.lit(seed), F.col("__draw"))) % 1000000)
-                     < fraction * 1000000).drop("__draw")
+        return models.filter(split_key(key, F.lit(seed)) < cut)
+    ex = models.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    return ex.filter(split_key(key, F.lit(seed * 1000) + F.col("draw")) < cut)
