@@ -298,3 +298,52 @@ class KappaEvaluator(Evaluator, Params):
 
     def isLargerBetter(self):
         return True
+
+
+def softkappa_linear_fit(df: DataFrame, features, label: str, n_classes: int = 8, iters: int = 20,
+                         lr: float = 1.0, l2: float = 1e-3):
+    """A linear K-output model trained by gradient steps on the soft-kappa
+    objective (G3).  Every iteration is one distributed aggregate of
+    ``sum_rows g_k x_f`` and ``sum_rows g_k`` (K x (d+1) sums); the coefficient
+    matrix is model-sized and stays on the driver, as in ``pyspark.ml``'s own
+    gradient solvers.  Features are standardised with population moments
+    first.  Returns ``(W, b, means, stds, history)``."""
+    import numpy as np
+    from ordlab.operators.objectives import softkappa_wide
+    feats = list(features)
+    K, d = n_classes, len(feats)
+    mom = df.agg(*[F.avg(f).alias(f"m_{f}") for f in feats], *[F.stddev_pop(f).alias(f"s_{f}") for f in feats],
+                 F.count(F.lit(1)).alias("n")).first()
+    mu = np.array([mom[f"m_{f}"] for f in feats], float)
+    sd = np.array([mom[f"s_{f}"] or 1.0 for f in feats], float)
+    z = df.select(c(label).alias("__lbl"),
+                  *[((F.col(f) - F.lit(float(mu[i]))) / F.lit(float(sd[i]))).alias(f"__z{i}") for i, f in enumerate(feats)])
+    W, b = np.zeros((K, d)), np.zeros(K)
+    history = []
+    for _ in range(iters):
+        s = F.array(*[sum((F.lit(float(W[k, i])) * F.col(f"__z{i}") for i in range(d)), F.lit(float(b[k])))
+                       for k in range(K)])
+        wide = softkappa_wide(z.withColumn("__s", s), F.lit(0), "__lbl", "__s", n_classes=K,
+                              keep=[f"__z{i}" for i in range(d)])
+        aggs = [F.sum(F.col(f"__g{k}") * F.col(f"__z{i}")).alias(f"w{k}_{i}") for k in range(K) for i in range(d)]
+        aggs += [F.sum(f"__g{k}").alias(f"b{k}") for k in range(K)]
+        r = wide.agg(*aggs).first()
+        GW = np.array([[r[f"w{k}_{i}"] for i in range(d)] for k in range(K)])
+        Gb = np.array([r[f"b{k}"] for k in range(K)])
+        W -= lr * (GW + l2 * W)
+        b -= lr * Gb
+        history.append(float(np.abs(GW).sum() + np.abs(Gb).sum()))
+    return W, b, mu, sd, history
+
+
+def softkappa_linear_predict(df: DataFrame, features, W, b, mu, sd, out: str = "prediction") -> DataFrame:
+    """Expected class ``sum_k k softmax(s)_k`` of the L7 model."""
+    from ordlab.functions.scalar import expected_class, softmax
+    feats = list(features)
+    K, d = W.shape
+    z = [(F.col(f) - F.lit(float(mu[i]))) / F.lit(float(sd[i])) for i, f in enumerate(feats)]
+    s = F.array(*[sum((F.lit(float(W[k, i])) * z[i] for i in range(d)), F.lit(float(b[k]))) for k in range(K)])
+    # scores, probabilities and the expected class as separate columns, each
+    # referring to the previous one by name (keeps the expression trees small)
+    return (df.withColumn("__sk", s).withColumn("__pk", softmax("__sk", K))
+              .withColumn(out, expected_class("__pk")).drop("__sk", "__pk"))

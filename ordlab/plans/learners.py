@@ -13,6 +13,7 @@ from ordlab.functions.scalar import round6
 from ordlab.operators import models as md
 from ordlab.operators import tune
 from ordlab.operators.decode import decode_cut
+from ordlab.operators.frame import attach
 from ordlab.operators.metrics import qwk, regression_errors
 from ordlab.operators.profile import best_row, normalized
 from ordlab.operators.split import fold_table, holdout
@@ -35,10 +36,9 @@ def _report(spark, name, pred, label="yd"):
     e = regression_errors(pred, label, "prediction")
     k = qwk(pred.withColumn("cls", decode_cut("prediction", CUTS)), "y", "cls")
     n = pred.agg(F.count(F.lit(1)).alias("n_test"))
-    g = F.lit(0)
-    return (n.withColumn("__g", g).join(e.withColumn("__g", g), "__g").join(k.withColumn("__g", g), "__g")
-            .select(F.lit(name).alias("model"), "n_test", round6("rmse").alias("rmse"),
-                    round6("kappa").alias("kappa")))
+    out = attach(attach(n, e.select("rmse")), k.select("kappa"))
+    return out.select(F.lit(name).alias("model"), "n_test", round6("rmse").alias("rmse"),
+                      round6("kappa").alias("kappa"))
 
 
 def _split(spark, sf):
@@ -194,8 +194,7 @@ def q_bagged_stack(spark, sf):
         votes = p if votes is None else votes.join(p.drop("y"), "p_partkey")
     v = votes.select("p_partkey", "y", vote_majority(["c1", "c2", "c3"]).cast("int").alias("vote"))
     k = qwk(v, "y", "vote")
-    return v.withColumn("__g", F.lit(0)).join(k.withColumn("__g", F.lit(0)), "__g") \
-        .select("p_partkey", "y", "vote", round6("kappa").alias("kappa"))
+    return attach(v, k).select("p_partkey", "y", "vote", round6("kappa").alias("kappa"))
 
 
 @query("ordinal_ebc_fit")
@@ -227,7 +226,7 @@ def q_param_search_log(spark, sf):
     est = LinearRegression(labelCol="yd", featuresCol="features")
     log = tune.param_search(tr, FEATS, "y", "p_partkey", est,
                             {"regParam": [0.0, 0.1, 1.0], "elasticNetParam": [0.0, 0.5]}, folds=3, cuts=CUTS)
-    best = best_row(log.withColumn("__g", F.lit(0)), "kappa_mean", "trial", by=["__g"], carry=["trial"])
+    best = best_row(log, "kappa_mean", "trial", carry=["trial"])
     return log.join(best.select("trial", F.lit(True).alias("best")), "trial", "left") \
         .withColumn("best", F.coalesce("best", F.lit(False)))
 
@@ -247,9 +246,7 @@ def q_cv_refit_predict(spark, sf):
     k = tune.cv_evaluate(tr, folds, FEATS, "y", "p_partkey", make, "cut", CUTS)
     ms = k.agg(F.avg("kappa").alias("kappa_mean"), F.stddev_pop("kappa").alias("kappa_std"))
     pred = tune.refit_predict(tr, te, FEATS, "y", "p_partkey", make, CUTS)
-    g = F.lit(0)
-    return pred.withColumn("__g", g).join(ms.withColumn("__g", g), "__g").drop("__g") \
-        .select("p_partkey", round6("raw").alias("raw"), "rank", "class_cdf", "class_cut",
+    return attach(pred, ms).select("p_partkey", round6("raw").alias("raw"), "rank", "class_cdf", "class_cut",
                 round6("kappa_mean").alias("kappa_mean"), round6("kappa_std").alias("kappa_std"))
 
 
@@ -278,3 +275,53 @@ def q_importance_rank(spark, sf):
     ranked = window_position(share, [F.desc("value"), F.asc("feature")], "rank")  # one row per feature
     return ranked.select("feature", round6("value").alias("value"), round6("share").alias("share"),
                          (F.col("rank") + 1).alias("rank"), (F.col("rank") < 5).alias("top5"))
+
+
+@query("softkappa_linear")
+def q_softkappa_linear(spark, sf):
+    """Linear 8-output model trained by soft-kappa gradient steps;
+    expected class of the softmax, reported on the test part."""
+    tr, te = _split(spark, sf)
+    W, b, mu, sd, hist = md.softkappa_linear_fit(tr, FEATS, "y", iters=6, lr=1.0)
+    p = md.softkappa_linear_predict(te, FEATS, W, b, mu, sd)
+    return _report(spark, "softkappa_linear", p).withColumn("grad_l1_last", F.lit(round(hist[-1], 6)))
+
+
+@query("objective_softkappa_predicted")
+def q_objective_softkappa_predicted(spark, sf):
+    """The predicted-histogram soft-kappa gradient table (tests compare it
+    with a numpy restatement)."""
+    from ordlab.operators import objectives as ob
+    from ordlab.plans.standins import part_scores
+    o = ob.softkappa_predicted_hist(part_scores(spark, sf), "id", "y", "s", hess_scale=1.0)
+    return o.select("id", "k", round6(F.col("grad") * F.lit(1e6)).alias("grad_e6"), round6("hess").alias("hess"))
+
+
+SQL_STAGES = f"""
+with o as (select o_orderkey, o_totalprice x, o_totalprice / 6.25e4 score, {__import__('ordlab.plans.standins', fromlist=['sql_split']).sql_split('o_orderkey')} split from orders),
+m as (select avg(x) m, stddev_pop(x) s from o where split = 'train')
+select o_orderkey, round((x - m) / nullif(s, 0e0), 6) x_z,
+       cast(1 + """ + " + ".join(f"case when score > {c}e0 then 1 else 0 end" for c in CUTS) + """ as integer) cls
+from o, m"""
+
+
+@query("ml_stages", SQL_STAGES)
+def q_ml_stages(spark, sf):
+    """UD4/S13/E13/D2: the population scaler (fit on train rows) and the
+    right-closed cut decoder as ``pyspark.ml`` stages, saved to and loaded
+    from the shared folder before use."""
+    import os
+    import uuid
+    from pyspark.ml import PipelineModel
+    from ordlab.operators.ml import CutDecoder, PopulationScaler
+    from ordlab.plans.catalog import T
+    from ordlab.session import checkpoint_dir
+    o = T(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("x"),
+                                      (F.col("o_totalprice") / 6.25e4).alias("score")) \
+        .withColumn("split", split_col("o_orderkey"))
+    scaler = PopulationScaler(inputCols=["x"], outputCols=["x_z"]).fit(o.filter(F.col("split") == "train"))
+    pm = PipelineModel(stages=[scaler, CutDecoder(inputCol="score", outputCol="cls", cuts=CUTS)])
+    path = os.path.join(checkpoint_dir(spark), f"ordlab-stages-{uuid.uuid4().hex}")
+    pm.write().overwrite().save(path)
+    back = PipelineModel.load(path)
+    return back.transform(o).select("o_orderkey", round6("x_z").alias("x_z"), "cls")
