@@ -4,9 +4,9 @@ A global ``row_number()`` over an un-partitioned window moves every row into
 one task.  ``position`` instead range-partitions on the ordering keys, sorts
 inside each partition and numbers rows with ``monotonically_increasing_id``
 (partition index in the high bits, row offset in the low 33 bits), and pins
-the numbered rows in the shared checkpoint folder.  The only
-data that is ever combined in one place is the per-partition row count: a
-table with one row per shuffle partition, which is what gets broadcast.
+the numbered rows in the shared checkpoint folder.  The only data that is
+ever combined in one place is the per-partition row count — one number per
+shuffle partition — whose prefix sums become a constant array in the plan.
 
 Group-relative positions (``partition_by``) subtract the group's first global
 position, found with a partial aggregate, so a hot group that holds a third of
@@ -47,20 +47,20 @@ def position(df: DataFrame, order_by, out: str = "pos", partition_by=None,
     # order, so the numbered rows are written once to the shared checkpoint
     # folder: counts and offsets are then read from the same rows.
     ranged = materialize(ranged, "position")
-    # one row per shuffle partition: bounded by the partition count, not the data
-    counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
-    offsets = counts.select(
-        "__pid",
-        F.sum("__cnt").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1))
-        .alias("__off"),
-        F.sum("__cnt").over(Window.partitionBy(F.lit(0))).alias("__tot"))
-    out_df = (ranged.join(F.broadcast(offsets), "__pid")
-              .withColumn(out, F.coalesce(F.col("__off"), F.lit(0)) + F.col("__local")))
+    # one count per shuffle partition (bounded by the partition count, not the
+    # data): prefix-summed on the driver and applied as a constant array lookup
+    counts = dict(ranged.groupBy("__pid").agg(F.count(F.lit(1))).collect())
+    offsets, acc = [], 0
+    for pid in range(max([n] + [k + 1 for k in counts])):
+        offsets.append(acc)
+        acc += int(counts.get(pid, 0))
+    off = F.array(*[F.lit(o) for o in offsets])[F.col("__pid")]
+    out_df = ranged.withColumn(out, off + F.col("__local"))
     if not parts:
         if with_count:
-            out_df = out_df.withColumnRenamed("__tot", with_count)
-        return out_df.drop("__pid", "__local", "__off", "__tot")
-    out_df = out_df.drop("__pid", "__local", "__off", "__tot")
+            out_df = out_df.withColumn(with_count, F.lit(acc).cast("bigint"))
+        return out_df.drop("__pid", "__local")
+    out_df = out_df.drop("__pid", "__local")
     aggs = [F.min(out).alias("__start")]
     if with_count:
         aggs.append(F.count(F.lit(1)).alias(with_count))
