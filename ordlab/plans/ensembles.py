@@ -296,3 +296,12 @@ def q_top_trials(spark, sf):
                                     (F.sin("p_retailprice") * 0.5 + F.col("p_size") / 1e2).alias("kappa_mean"))
     t = en.top_k_per_group(p, ["model"], "kappa_mean", 10, "trial")
     return t.select("model", "trial", round6("kappa_mean").alias("kappa_mean"), F.col("rank").cast("bigint"))
+
+
+@query("cutpoint_random_search")
+def q_cutpoint_random_search(spark, sf):
+    """Seeded random population search of 7 cut points in [0, 9]."""
+    o = orders_scored(spark, sf).select("score", "y")
+    cuts, kappa = cp.random_search_cutpoints(o, "score", "y", n_candidates=64, generations=4, seed=0)
+    return spark.createDataFrame([(i + 1, float(v), float(kappa)) for i, v in enumerate(cuts)],
+                                 "k int, cut double, kappa double")

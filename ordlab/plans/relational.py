@@ -202,3 +202,58 @@ def q_template_fill(spark, sf):
     pred = o.select(F.col("id").alias("Id"), dc.decode_cut("score", [1.5, 2.5, 3.5, 4.5, 5.5, 6.5, 7.5])
                     .alias("Response"))
     return files.template_fill(template, pred, "Id", "Response")
+
+
+@query("frame_ops", """
+with c as (select c_custkey, c_mktsegment, c_acctbal from customer),
+o as (select o_orderkey, o_custkey, o_totalprice, o_orderstatus from orders)
+select o.o_orderkey, 0 flag, o.o_custkey,
+       case when o.o_orderstatus = 'P' then -1e0 else o.o_totalprice end price,
+       c.c_mktsegment, round(c.c_acctbal, 6) acct
+from o left join c on c.c_custkey = o.o_custkey""")
+def q_frame_ops(spark, sf):
+    """Project, drop by set difference,
+    insert a constant column at a position, overwrite where a mask holds,
+    and copy columns from another table by key."""
+    o = T(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus",
+                                      "o_orderdate")
+    o = fr.project(o, fr.columns_except(o, ["o_orderdate"]))
+    o = fr.insert_column(o, "flag", F.lit(0), 1)
+    o = fr.overwrite_where(o, "o_totalprice", F.col("o_orderstatus") == "P", -1.0).withColumnRenamed(
+        "o_totalprice", "price")
+    cu = T(spark, sf, "customer").withColumnRenamed("c_custkey", "o_custkey")
+    o = fr.copy_columns(o, cu, "o_custkey", ["c_mktsegment"])
+    o = fr.lookup(o, cu, "o_custkey", "c_acctbal", "acct")
+    return fr.drop(o, ["o_orderstatus"]).select("o_orderkey", "flag", "o_custkey", "price", "c_mktsegment",
+                                                round6("acct").alias("acct"))
+
+
+@query("class_argmax", """
+with ps as (select p_partkey id,
+  [sin(p_retailprice / 100e0 + 1e0) + cast((p_size % 8 + 1) - 1 as double) / 8e0,
+   sin(p_retailprice / 100e0 + 2e0) + cast((p_size % 8 + 1) - 2 as double) / 8e0,
+   sin(p_retailprice / 100e0 + 3e0) + cast((p_size % 8 + 1) - 3 as double) / 8e0,
+   sin(p_retailprice / 100e0 + 4e0) + cast((p_size % 8 + 1) - 4 as double) / 8e0,
+   sin(p_retailprice / 100e0 + 5e0) + cast((p_size % 8 + 1) - 5 as double) / 8e0,
+   sin(p_retailprice / 100e0 + 6e0) + cast((p_size % 8 + 1) - 6 as double) / 8e0,
+   sin(p_retailprice / 100e0 + 7e0) + cast((p_size % 8 + 1) - 7 as double) / 8e0,
+   sin(p_retailprice / 100e0 + 8e0) + cast((p_size % 8 + 1) - 8 as double) / 8e0] s from part)
+select id, cast(list_position(s, list_max(s)) as integer) cls from ps""")
+def q_class_argmax(spark, sf):
+    """Row-wise argmax over eight class scores (first maximum)."""
+    from ordlab.functions.scalar import row_argmax
+    from ordlab.plans.standins import part_scores
+    return part_scores(spark, sf).select("id", row_argmax("s").cast("int").alias("cls"))
+
+
+@query("csv_rownum_roundtrip", """
+select row_number() over (order by o_orderdate, o_orderkey) - 1 rn, o_orderkey, o_orderstatus from orders""")
+def q_csv_rownum_roundtrip(spark, sf):
+    """CSV sink with an explicit row-number column (scalable position in
+    date order), read back with a schema."""
+    o = T(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    path = _scratch(spark, "csvrn")
+    files.write_csv(o.select("o_orderkey", "o_orderstatus", "o_orderdate"), path, row_number_col="rn",
+                    order_by=["o_orderdate", "o_orderkey"])
+    back = files.read_csv(spark, path, "rn bigint, o_orderkey bigint, o_orderstatus string, o_orderdate timestamp")
+    return back.select("rn", "o_orderkey", "o_orderstatus")
