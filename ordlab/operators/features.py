@@ -23,17 +23,28 @@ def label_encode(df: DataFrame, col: str, out: str | None = None, per_split: str
 
     Default fits on all rows (E2, the union of train and test); with
     ``per_split`` the codes are refitted inside each split (Q5).  Nulls keep a
-    null code.  The level table is measured first: up to ``max_levels`` rows it
-    is ranked by one window task, beyond that by the scalable ``position``."""
+    null code.  The level table is measured first: up to ``max_levels`` rows the
+    codes are assigned from the collected levels (one job), beyond that by the
+    scalable ``position``."""
     out = out or f"{col}_code"
     keys = [per_split] if per_split else []
     d = df.select(*keys, col).filter(F.col(col).isNotNull()).distinct()
-    if d.limit(max_levels + 1).count() <= max_levels:
-        # checked small level table: one window task over at most max_levels rows
-        codes = window_position(d, [col], out, partition_by=keys or None)
+    levels = d.limit(max_levels + 1).collect()  # at most max_levels + 1 rows reach the driver
+    if len(levels) <= max_levels:
+        # checked small level table: codes assigned on the driver, shipped as a local relation
+        # nulls first, then ascending: the same order as Spark's sort
+        ordered = sorted(levels, key=lambda r: tuple((x is not None, x if x is not None else 0) for x in r))
+        seen, rows = {}, []
+        for r in ordered:
+            g = tuple(r[k] for k in keys)
+            seen[g] = seen.get(g, -1) + 1
+            rows.append((*r, seen[g]))
+        from pyspark.sql.types import IntegerType, StructField, StructType
+        schema = StructType(list(d.schema.fields) + [StructField(out, IntegerType(), True)])
+        codes = df.sparkSession.createDataFrame(rows, schema)
     else:
         codes = position(d, [col], out, partition_by=keys or None)
-    codes = fitted(codes.withColumn(out, F.col(out).cast("int")), "codes")
+        codes = fitted(codes.withColumn(out, F.col(out).cast("int")), "codes")
     return df.join(codes, keys + [col], "left")
 
 
