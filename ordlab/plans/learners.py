@@ -287,10 +287,41 @@ def q_softkappa_linear(spark, sf):
     return _report(spark, "softkappa_linear", p).withColumn("grad_l1_last", F.lit(round(hist[-1], 6)))
 
 
-@query("objective_softkappa_predicted")
+SQL_SOFTKAPPA_PREDICTED = """with ps as ({ps}),
+sm as (select id, cast(y as double) y, list_transform(s, lambda x: exp(x - list_max(s))) e from ps),
+pr as (select id, y, list_transform(e, lambda x: x / list_sum(e)) p from sm),
+m as (select id, y, p, list_sum(list_transform(generate_series(1, 8), lambda j: (y - j) * (y - j) * p[j])) m from pr),
+gl as (select count(*) * 1e0 mm, sum(m) oo,
+              list_transform(generate_series(1, 8), lambda j: 0e0) z,
+              [sum(p[1]), sum(p[2]), sum(p[3]), sum(p[4]), sum(p[5]), sum(p[6]), sum(p[7]), sum(p[8])] hp,
+              [sum(case when y = 1 then 1e0 else 0e0 end), sum(case when y = 2 then 1e0 else 0e0 end),
+               sum(case when y = 3 then 1e0 else 0e0 end), sum(case when y = 4 then 1e0 else 0e0 end),
+               sum(case when y = 5 then 1e0 else 0e0 end), sum(case when y = 6 then 1e0 else 0e0 end),
+               sum(case when y = 7 then 1e0 else 0e0 end), sum(case when y = 8 then 1e0 else 0e0 end)] h
+       from m),
+ge as (select mm, oo, hp, h,
+         list_sum(list_transform(generate_series(1, 8), lambda i: list_sum(list_transform(generate_series(1, 8),
+           lambda j: (i - j) * (i - j) * h[i] * hp[j])))) ee,
+         list_transform(generate_series(1, 8), lambda k: list_sum(list_transform(generate_series(1, 8),
+           lambda l: (k - l) * (k - l) * h[l]))) c
+       from gl),
+r as (select m.id, m.y, m.p, m.m, ge.mm, ge.oo, ge.ee, ge.c,
+             list_sum(list_transform(generate_series(1, 8), lambda k: m.p[k] * ge.c[k])) pc from m, ge),
+lg as (select id, kk.k, y, m, mm, oo, ee, p[kk.k] pn, c[kk.k] ck, pc from r, (select unnest(generate_series(1, 8)) k) kk),
+d as (select id, k, mm, oo, ee,
+        pn * ((y - k) * (y - k) - m) d_o, pn * (ck - pc) d_e,
+        pn * (1e0 - 2e0 * pn) * ((y - k) * (y - k) - m) d2_o, pn * (1e0 - 2e0 * pn) * (ck - pc) d2_e from lg),
+q as (select id, k, mm * (d_o * ee - oo * d_e) / (ee * ee) g,
+        mm * ((d2_o * ee - oo * d2_e) * ee * ee - (d_o * ee - oo * d_e) * 2e0 * ee * d_e) / (ee * ee * ee * ee) q from d)
+select id, cast(k as integer) k, round(g * 1e6, 6) grad_e6, round(abs(q) * 1e0 / avg(abs(q)) over (), 6) hess from q
+"""
+
+
+@query("objective_softkappa_predicted",
+       SQL_SOFTKAPPA_PREDICTED.format(ps=__import__("ordlab.plans.standins", fromlist=["x"]).SQL_PART_SCORES))
 def q_objective_softkappa_predicted(spark, sf):
-    """The predicted-histogram soft-kappa gradient table (tests compare it
-    with a numpy restatement)."""
+    """The predicted-histogram soft-kappa gradient table (gradient times
+    1e6, hess_scale 1)."""
     from ordlab.operators import objectives as ob
     from ordlab.plans.standins import part_scores
     o = ob.softkappa_predicted_hist(part_scores(spark, sf), "id", "y", "s", hess_scale=1.0)
