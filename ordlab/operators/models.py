@@ -303,33 +303,58 @@ class KappaEvaluator(Evaluator, Params):
 def softkappa_linear_fit(df: DataFrame, features, label: str, n_classes: int = 8, iters: int = 20,
                          lr: float = 1.0, l2: float = 1e-3):
     """A linear K-output model trained by gradient steps on the soft-kappa
-    objective (G3).  Every iteration is one distributed aggregate of
-    ``sum_rows g_k x_f`` and ``sum_rows g_k`` (K x (d+1) sums); the coefficient
-    matrix is model-sized and stays on the driver, as in ``pyspark.ml``'s own
-    gradient solvers.  Features are standardised with population moments
-    first.  Returns ``(W, b, means, stds, history)``."""
+    objective (G3).
+
+    The standardised rows are pinned once; every iteration is one job in which
+    each task turns its Arrow batches into numpy, computes the G3 gradient of
+    its rows for the current coefficients and emits the partial sums
+    ``sum g_k x_f`` and ``sum g_k`` (K x (d+1) numbers); one aggregate adds
+    them up.  M and E depend only on the labels and are computed once.  The
+    coefficient matrix is model-sized and stays on the driver, like the
+    gradient solvers of ``pyspark.ml``.  Returns ``(W, b, means, stds, history)``."""
     import numpy as np
-    from ordlab.operators.objectives import softkappa_wide
+    from ordlab.session import materialize
     feats = list(features)
     K, d = n_classes, len(feats)
     mom = df.agg(*[F.avg(f).alias(f"m_{f}") for f in feats], *[F.stddev_pop(f).alias(f"s_{f}") for f in feats],
-                 F.count(F.lit(1)).alias("n")).first()
+                 F.count(F.lit(1)).alias("n"), F.sum(c(label).cast("double")).alias("sy"),
+                 F.sum(c(label).cast("double") * c(label).cast("double")).alias("syy")).first()
     mu = np.array([mom[f"m_{f}"] for f in feats], float)
     sd = np.array([mom[f"s_{f}"] or 1.0 for f in feats], float)
-    z = df.select(c(label).alias("__lbl"),
-                  *[((F.col(f) - F.lit(float(mu[i]))) / F.lit(float(sd[i]))).alias(f"__z{i}") for i, f in enumerate(feats)])
+    M = float(mom["n"])
+    E = 2.0 * (M * mom["syy"] - mom["sy"] ** 2)
+    zcols = [f"z{i}" for i in range(d)]
+    z = materialize(df.select(c(label).cast("double").alias("y"),
+                              *[((F.col(f) - F.lit(float(mu[i]))) / F.lit(float(sd[i]))).alias(zcols[i])
+                                for i, f in enumerate(feats)]), "softkappa-rows")
+    cls = np.arange(1, K + 1, dtype=float)
+    out_cols = [f"g{j}" for j in range(K * (d + 1))]
+    schema = ", ".join(f"{col} double" for col in out_cols)
     W, b = np.zeros((K, d)), np.zeros(K)
     history = []
     for _ in range(iters):
-        s = F.array(*[sum((F.lit(float(W[k, i])) * F.col(f"__z{i}") for i in range(d)), F.lit(float(b[k])))
-                       for k in range(K)])
-        wide = softkappa_wide(z.withColumn("__s", s), F.lit(0), "__lbl", "__s", n_classes=K,
-                              keep=[f"__z{i}" for i in range(d)])
-        aggs = [F.sum(F.col(f"__g{k}") * F.col(f"__z{i}")).alias(f"w{k}_{i}") for k in range(K) for i in range(d)]
-        aggs += [F.sum(f"__g{k}").alias(f"b{k}") for k in range(K)]
-        r = wide.agg(*aggs).first()
-        GW = np.array([[r[f"w{k}_{i}"] for i in range(d)] for k in range(K)])
-        Gb = np.array([r[f"b{k}"] for k in range(K)])
+        Wc, bc = W.copy(), b.copy()
+
+        def partial_grads(batches, Wc=Wc, bc=bc):
+            import pandas as pd
+            acc = np.zeros(K * (d + 1))
+            for pdf in batches:
+                Z = pdf[zcols].to_numpy(dtype=float)
+                y = pdf["y"].to_numpy(dtype=float)
+                S = Z @ Wc.T + bc
+                S -= S.max(axis=1, keepdims=True)
+                P = np.exp(S)
+                P /= P.sum(axis=1, keepdims=True)
+                cost = (y[:, None] - cls[None, :]) ** 2
+                m = (cost * P).sum(axis=1, keepdims=True)
+                G = M * P * (cost - m) / E                      # G3 gradient per row and class
+                acc[: K * d] += (G.T @ Z).ravel()
+                acc[K * d:] += G.sum(axis=0)
+            yield pd.DataFrame([acc], columns=out_cols)
+
+        r = z.mapInPandas(partial_grads, schema).agg(*[F.sum(col).alias(col) for col in out_cols]).first()
+        g = np.array([r[col] for col in out_cols], float)
+        GW, Gb = g[: K * d].reshape(K, d), g[K * d:]
         W -= lr * (GW + l2 * W)
         b -= lr * Gb
         history.append(float(np.abs(GW).sum() + np.abs(Gb).sum()))

@@ -282,7 +282,7 @@ def q_softkappa_linear(spark, sf):
     """Linear 8-output model trained by soft-kappa gradient steps;
     expected class of the softmax, reported on the test part."""
     tr, te = _split(spark, sf)
-    W, b, mu, sd, hist = md.softkappa_linear_fit(tr, FEATS, "y", iters=6, lr=1.0)
+    W, b, mu, sd, hist = md.softkappa_linear_fit(tr, FEATS, "y", iters=12, lr=1.0)
     p = md.softkappa_linear_predict(te, FEATS, W, b, mu, sd)
     return _report(spark, "softkappa_linear", p).withColumn("grad_l1_last", F.lit(round(hist[-1], 6)))
 
