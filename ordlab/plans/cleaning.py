@@ -23,8 +23,15 @@ SQL_NULL_PROFILE = DL + "\n" + "\nunion all\n".join(
 
 @query("null_profile", SQL_NULL_PROFILE)
 def q_null_profile(spark, sf):
+    import os
+    import uuid
+    from ordlab.session import checkpoint_dir
+    from ordlab.sources import files
     p = null_profile(docs_labelled(spark, sf), ["doc_id", "lang", "source", "n_chars", "quality", "toxic"])
-    return p.select("column", round6("null_rate").alias("null_rate"), "flagged")
+    path = os.path.join(checkpoint_dir(spark), f"ordlab-report-{uuid.uuid4().hex}")
+    files.write_report(p, path)  # S11: the null-rate report sink
+    back = spark.read.schema("column string, null_rate double, flagged boolean").json(path)
+    return back.select("column", round6("null_rate").alias("null_rate"), "flagged")
 
 
 @query("fill_sentinel", DL + """

@@ -226,6 +226,13 @@ def q_param_search_log(spark, sf):
     est = LinearRegression(labelCol="yd", featuresCol="features")
     log = tune.param_search(tr, FEATS, "y", "p_partkey", est,
                             {"regParam": [0.0, 0.1, 1.0], "elasticNetParam": [0.0, 0.5]}, folds=3, cuts=CUTS)
+    import os
+    import uuid
+    from ordlab.session import checkpoint_dir
+    from ordlab.sources import files
+    path = os.path.join(checkpoint_dir(spark), f"ordlab-trials-{uuid.uuid4().hex}")
+    files.append_trials(log, path)  # S8: the trial log sink (append mode)
+    log = spark.read.parquet(path)
     best = best_row(log, "kappa_mean", "trial", carry=["trial"])
     return log.join(best.select("trial", F.lit(True).alias("best")), "trial", "left") \
         .withColumn("best", F.coalesce("best", F.lit(False)))
@@ -270,10 +277,13 @@ def q_importance_rank(spark, sf):
     tr, _ = _split(spark, sf)
     m = md.forest(tr, FEATS, "yd", trees=30, depth=8)
     imp = spark.createDataFrame(md.importance_table(m, FEATS), "feature string, value double")
+    from ordlab.sources.files import feature_map
+    fmap = feature_map(tr, FEATS).select(F.col("name").alias("feature"), "type")  # S12, one row per feature
+    imp = imp.join(fmap, "feature")
     share = normalized(imp, "value", "sum", "share")
     from ordlab.operators.rank import window_position
     ranked = window_position(share, [F.desc("value"), F.asc("feature")], "rank")  # one row per feature
-    return ranked.select("feature", round6("value").alias("value"), round6("share").alias("share"),
+    return ranked.select("feature", "type", round6("value").alias("value"), round6("share").alias("share"),
                          (F.col("rank") + 1).alias("rank"), (F.col("rank") < 5).alias("top5"))
 
 

@@ -74,10 +74,16 @@ def emb_labels(df):
 def q_ftrl_fit(spark, sf):
     """Two epochs of mini-batches of 100 embeddings (binary label
     ``label >= 5``), with the epoch's validation log-loss kept (best epoch)."""
+    import uuid
+    from ordlab.session import checkpoint_dir
+    from ordlab.sources import files
     e = T(spark, sf, "embeddings")
+    path = os.path.join(checkpoint_dir(spark), f"ordlab-sparse-{uuid.uuid4().hex}")
+    files.write_sparse(emb_long(e), path)  # S14: sparse matrix as (row, col, value)
+    long = spark.read.parquet(path)
     prm = ftrl.FtrlParams(link="logistic", alpha=0.5, beta=1.0, l1=0.1, l2=0.1)
-    st, hist = ftrl.fit(emb_long(e), emb_labels(e), prm, batch_size=100, epochs=2,
-                        valid_long=emb_long(e), valid_labels=emb_labels(e), metric="logloss")
+    st, hist = ftrl.fit(long, emb_labels(e), prm, batch_size=100, epochs=2,
+                        valid_long=long, valid_labels=emb_labels(e), metric="logloss")
     return st.select("feature", round6("z").alias("z"), round6("n").alias("n"), round6("w").alias("w"))
 
 
