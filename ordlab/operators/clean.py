@@ -99,7 +99,10 @@ def impute_ridge_multi(df: DataFrame, features, target: str, alpha: float, by: s
     va = VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="keep")
     groups = [None]
     if by:
-        groups = [r[0] for r in df.select(by).distinct().collect()]  # split names: a handful
+        # one fit per split: the split values are a handful, checked before use
+        groups = [r[0] for r in df.select(by).distinct().limit(101).collect()]
+        if len(groups) > 100:
+            raise ValueError(f"{by} has more than 100 values; fit per split is meant for a few splits")
     parts = []
     for gval in groups:
         part = df if gval is None else df.filter(F.col(by) == gval)

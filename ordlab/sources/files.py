@@ -58,8 +58,12 @@ def read_fold_lines(spark: SparkSession, path: str) -> DataFrame:
     return t.select("run", "role", F.explode(split_ints("value")).alias("id"))
 
 
-def write_vector(df: DataFrame, path: str, value: str, order_by) -> None:
-    """One number per line (CDF, group sizes, weights), in order."""
+def write_vector(df: DataFrame, path: str, value: str, order_by, max_rows: int = 1_000_000) -> None:
+    """One number per line, in order, in a single file (the legacy format
+    for small vectors: a CDF, group sizes).  Larger vectors belong in a keyed
+    table, e.g. per-row weights as an ``(id, weight)`` column."""
+    if df.limit(max_rows + 1).count() > max_rows:
+        raise ValueError("vector too long for the one-file text format; write a keyed table instead")
     df.orderBy(*order_by).select(F.col(value).cast("string").alias("value")).coalesce(1) \
         .write.mode("overwrite").text(path)
 
