@@ -305,3 +305,15 @@ def q_cutpoint_random_search(spark, sf):
     cuts, kappa = cp.random_search_cutpoints(o, "score", "y", n_candidates=64, generations=4, seed=0)
     return spark.createDataFrame([(i + 1, float(v), float(kappa)) for i, v in enumerate(cuts)],
                                  "k int, cut double, kappa double")
+
+
+@query("cut_refit_kappa")
+def q_cut_refit_kappa(spark, sf):
+    """Kappa of the order score after an internal cut-point refit (the
+    evaluation hook), next to the kappa of the fixed start cuts (M15)."""
+    from ordlab.operators.metrics import qwk
+    from ordlab.operators.ml import CutRefitKappaEvaluator
+    o = orders_scored(spark, sf).select("score", "y")
+    refit = CutRefitKappaEvaluator(predictionCol="score", labelCol="y", start=CUTS, min_step=0.125).evaluate(o)
+    start = qwk(o.withColumn("cls", dc.decode_cut("score", CUTS)), "y", "cls").first()[0]
+    return spark.createDataFrame([(float(start), float(refit))], "kappa_start double, kappa_refit double")

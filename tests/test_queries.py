@@ -89,3 +89,8 @@ def test_stream_equals_batch_fit(spark):
     want = {r["feature"]: round(r["w"], 6) for r in st.collect()}
     got = {r["feature"]: r["w"] for r in QUERIES["ftrl_stream"](spark, SF_SMALL).collect()}
     assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_cut_refit_not_worse(spark):
+    r = QUERIES["cut_refit_kappa"](spark, SF_SMALL).first()
+    assert r["kappa_refit"] >= r["kappa_start"] - 1e-9
