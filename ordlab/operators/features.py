@@ -50,13 +50,21 @@ def label_encode(df: DataFrame, col: str, out: str | None = None, per_split: str
 
 def one_hot_levels(df: DataFrame, cols, max_levels: int = 1000) -> dict:
     """Distinct levels of each column (they become output column names, so
-    they must reach the driver); refuses columns above ``max_levels``."""
+    they reach the driver).  Two passes over all columns at once: a
+    fixed-memory ``approx_count_distinct`` check refuses columns far above
+    ``max_levels``, then one aggregate collects every column's level set."""
+    cols = list(cols)
+    approx = df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in cols]).first()
+    big = [c for c in cols if approx[c] > max_levels * 1.2]
+    if big:
+        raise ValueError(f"{big} have more than {max_levels} levels; use one_hot_vector")
+    sets = df.agg(*[F.collect_set(c).alias(c) for c in cols]).first()
     levels = {}
     for col in cols:
-        vals = df.select(col).filter(F.col(col).isNotNull()).distinct().limit(max_levels + 1).collect()
+        vals = sorted(v for v in sets[col] if v is not None)
         if len(vals) > max_levels:
             raise ValueError(f"{col} has more than {max_levels} levels; use one_hot_vector")
-        levels[col] = sorted(v[0] for v in vals)
+        levels[col] = vals
     return levels
 
 
