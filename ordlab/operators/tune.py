@@ -45,16 +45,18 @@ def param_search(df: DataFrame, features, label: str, id_col: str, estimator, gr
 
 
 def cv_evaluate(df: DataFrame, folds: DataFrame, features, label: str, id_col: str, make_estimator,
-                decoder: str = "cut", cuts=None) -> DataFrame:
+                decoder: str = "cut", cuts=None, parallelism: int = 2) -> DataFrame:
     """One setting over stored folds ``(run, id, role)``: fit on each run's
     train part, predict its test part, decode (cut points or the train CDF),
-    QWK per run.  Returns ``(run, kappa)``."""
+    QWK per run.  Runs are fitted by ``parallelism`` concurrent Spark jobs (as
+    ``CrossValidator(parallelism=...)``).  Returns ``(run, kappa)``."""
+    from concurrent.futures import ThreadPoolExecutor
     from ordlab.operators.profile import class_cdf
     runs = [r[0] for r in folds.select("run").distinct().orderBy("run").collect()]  # run numbers only
     va = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     j = df.join(folds.withColumnRenamed("id", id_col), id_col)
-    parts = []
-    for r in runs:
+
+    def one_run(r):
         tr = j.filter((F.col("run") == r) & (F.col("role") == "train"))
         te = j.filter((F.col("run") == r) & (F.col("role") == "test"))
         model = Pipeline(stages=[va, make_estimator()]).fit(tr)
@@ -64,7 +66,10 @@ def cv_evaluate(df: DataFrame, folds: DataFrame, features, label: str, id_col: s
         else:
             dec = decode_cdf(pred.withColumnRenamed(id_col, "__id"), "prediction", "__id",
                              class_cdf(tr, label, by=["run"]), by=["run"], out="cls")
-        parts.append(qwk(dec, label, "cls", by=["run"]))
+        return qwk(dec, label, "cls", by=["run"])
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        parts = list(pool.map(one_run, runs))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
