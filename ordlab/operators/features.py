@@ -41,7 +41,7 @@ def label_encode(df: DataFrame, col: str, out: str | None = None, per_split: str
             rows.append((*r, seen[g]))
         from pyspark.sql.types import IntegerType, StructField, StructType
         schema = StructType(list(d.schema.fields) + [StructField(out, IntegerType(), True)])
-        codes = df.sparkSession.createDataFrame(rows, schema)
+        codes = F.broadcast(df.sparkSession.createDataFrame(rows, schema))  # at most max_levels rows
     else:
         codes = position(d, [col], out, partition_by=keys or None)
         codes = fitted(codes.withColumn(out, F.col(out).cast("int")), "codes")

@@ -74,14 +74,17 @@ def fitted(df, tag: str = "fitted", max_rows: int = 1000):
     """Pin a fitted aggregate (per-group statistics, codes, CDFs) as a table
     whose size the planner knows.
 
-    Up to ``max_rows`` rows it becomes a local relation (it is a handful of
-    fitted values: it is broadcast); above that it is written to the shared
+    Up to ``max_rows`` rows it is rebuilt from the collected rows and hinted
+    for broadcast (a handful of fitted values); above that it is written to the shared
     checkpoint folder and its on-disk size decides between broadcast and a
     shuffle join with AQE skew splitting.  Either way the size is measured,
     not guessed, and the data side is never shuffled for a few groups."""
+    from pyspark.sql import functions as F
     rows = df.limit(max_rows + 1).collect()
     if len(rows) <= max_rows:
-        return df.sparkSession.createDataFrame(rows, df.schema)
+        # proven small (at most max_rows rows): hinted for broadcast, because a
+        # driver-built frame carries no size statistics of its own
+        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
     return materialize(df, tag)
 
 
