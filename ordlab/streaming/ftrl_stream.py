@@ -22,10 +22,10 @@ from ordlab.session import checkpoint_dir
 
 def _latest_state(spark: SparkSession, root: str):
     state_root = os.path.join(root, "state")
-    try:
-        st = spark.read.parquet(state_root)
-    except Exception:  # no state written yet
-        return None
+    path = spark._jvm.org.apache.hadoop.fs.Path(state_root)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None  # no micro-batch has written state yet
+    st = spark.read.parquet(state_root)
     last = st.agg(F.max("batch")).first()[0]
     if last is None:
         return None
