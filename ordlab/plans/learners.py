@@ -19,7 +19,7 @@ from ordlab.operators.profile import best_row, normalized
 from ordlab.operators.split import fold_table, holdout
 from ordlab.plans.catalog import query
 from ordlab.plans.selection import PART_FEATURES, part_features
-from ordlab.plans.standins import docs_labelled, split_col
+from ordlab.plans.standins import SQL_PART_SCORES, docs_labelled, split_col, sql_split
 
 FEATS = list(PART_FEATURES)
 CUTS = [1.5, 2.5, 3.5, 4.5, 5.5, 6.5, 7.5]
@@ -328,7 +328,7 @@ select id, cast(k as integer) k, round(g * 1e6, 6) grad_e6, round(abs(q) * 1e0 /
 
 
 @query("objective_softkappa_predicted",
-       SQL_SOFTKAPPA_PREDICTED.format(ps=__import__("ordlab.plans.standins", fromlist=["x"]).SQL_PART_SCORES))
+       SQL_SOFTKAPPA_PREDICTED.format(ps=SQL_PART_SCORES))
 def q_objective_softkappa_predicted(spark, sf):
     """The predicted-histogram soft-kappa gradient table (gradient times
     1e6, hess_scale 1)."""
@@ -339,7 +339,7 @@ def q_objective_softkappa_predicted(spark, sf):
 
 
 SQL_STAGES = f"""
-with o as (select o_orderkey, o_totalprice x, o_totalprice / 6.25e4 score, {__import__('ordlab.plans.standins', fromlist=['sql_split']).sql_split('o_orderkey')} split from orders),
+with o as (select o_orderkey, o_totalprice x, o_totalprice / 6.25e4 score, {sql_split('o_orderkey')} split from orders),
 m as (select avg(x) m, stddev_pop(x) s from o where split = 'train')
 select o_orderkey, round((x - m) / nullif(s, 0e0), 6) x_z,
        cast(1 + """ + " + ".join(f"case when score > {c}e0 then 1 else 0 end" for c in CUTS) + """ as integer) cls
