@@ -30,10 +30,6 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def file_uri(folder: str, name: str) -> str:
-    return f"{folder}/{name}"
-
-
 def write_bytes(folder: str, name: str, chunks) -> int:
     """Write the byte chunks to a file under a name of its own attempt and
     return its size.  A task that is run again writes another file; only files
@@ -56,3 +52,10 @@ def read_bytes(folder: str, name: str) -> bytes:
 
 def batch(schema: pa.Schema, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)
+
+
+def pin(df: DataFrame, tag: str) -> DataFrame:
+    """``materialize`` with Zstandard-compressed files, for wide tables."""
+    path = scratch(df.sparkSession, tag)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
