@@ -23,6 +23,12 @@ def op2_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 6))
 
 
+@query
+def op3_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ordlab.llm import warc
+    return warc.warc_files(table(spark, sf_dir, "pages")).drop("url")
+
+
 @query
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -37,8 +43,9 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql():
-    from ordlab.llm import mixing
+    from ordlab.llm import mixing, warc
     SQL["op2_poisson_mix"] = mixing.SQL
+    SQL["op3_warc_dictionary"] = warc.SQL
 
 
 _sql()

@@ -37,19 +37,13 @@ def write_bytes(folder: str, name: str, chunks) -> int:
     f, path = filesystem(folder)
     f.create_dir(path, recursive=True)
     n = 0
-    with f.open_output_stream(f"{path}/{name}") as out:
+    with f.open_output_stream(f"{path}/{name}", compression=None) as out:
         for c in chunks:
             out.write(c)
             n += len(c)
     return n
 
 
-def read_bytes(folder: str, name: str) -> bytes:
-    f, path = filesystem(folder)
-    with f.open_input_file(f"{path}/{name}") as src:
-        return src.read()
-
-
 def batch(schema: pa.Schema, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)
 

@@ -285,7 +285,7 @@ def read(manifest: DataFrame, folder: str, order: np.ndarray, with_ids: bool = F
         for b in batches:
             for name, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 f, path = filesystem(folder)
-                with f.open_input_stream(f"{path}/{name}") as stream:
+                with f.open_input_stream(f"{path}/{name}", compression=None) as stream:
                     for ids, known, lens, rk in blocks(stream):
                         flat = bc.value[rk]
                         ends = np.cumsum(lens)
