@@ -36,6 +36,20 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op5_byte_conv_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ordlab.llm import quality
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op8_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ordlab.llm import langid
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 @query
 def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ordlab.llm import sharding
