@@ -43,6 +43,12 @@ def op5_byte_conv_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op7_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ordlab.llm import repeats
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ordlab.llm import langid
