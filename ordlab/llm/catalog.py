@@ -56,6 +56,12 @@ def op8_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
+@query
+def op9_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ordlab.llm import decontaminate
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ordlab.llm import sharding
