@@ -43,6 +43,12 @@ def op5_byte_conv_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op6_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ordlab.llm import jaccard
+    return jaccard.classes(table(spark, sf_dir, "documents"), 3, 90, 100).select("doc_id", "n_shingles", "component_id")
+
+
 @query
 def op7_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ordlab.llm import repeats
