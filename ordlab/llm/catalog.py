@@ -17,6 +17,12 @@ def query(fn):
     return fn
 
 
+@query
+def op1_packed_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ordlab.llm import fingerprints
+    return fingerprints.neighbours(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ordlab.llm import mixing
