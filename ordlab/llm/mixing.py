@@ -58,10 +58,10 @@ def rates(docs: DataFrame, weights: dict | None = None, budget: float | None = N
     else:  # sources without a weight are left out of the mixture
         w = F.coalesce(*[F.when(F.col("source").eqNullSafe(F.lit(k)), F.lit(float(v))) for k, v in weights.items()], F.lit(0.0))
     per = materialize(per.withColumn("w", w), "mix-sizes")
-    tot = per.agg(F.sum("size").cast("double").alias("t"), F.sum("w").alias("ws"))
-    b = F.lit(float(budget)) if budget is not None else F.col("t")
-    rate = F.when((F.col("size") > 0) & (F.col("ws") > 0), b * (F.col("w") / F.col("ws")) / F.col("size")).otherwise(0.0)
-    out = per.join(F.broadcast(tot)).select("source", "size", rate.alias("rate"))  # one row of totals
+    tot = per.agg(F.struct(F.sum("size").cast("double").alias("t"), F.sum("w").alias("ws"))).scalar()
+    b = F.lit(float(budget)) if budget is not None else tot["t"]
+    rate = F.when((F.col("size") > 0) & (tot["ws"] > 0), b * (F.col("w") / tot["ws"]) / F.col("size")).otherwise(0.0)
+    out = per.select("source", "size", rate.alias("rate"))
     return materialize(out.withColumn("cdf", poisson_cdf(F.col("rate"))), "mix-rates")
 
 
