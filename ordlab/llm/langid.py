@@ -43,8 +43,7 @@ LETTER = (CLASS >= 97) & (CLASS < 123)
 
 
 def subwords(buf: np.ndarray) -> list[np.ndarray]:
-    """Bucket of the 2-, 3- and 4-byte string that starts at each byte; one that
-    runs past a text's end reads a byte or more of the next, see ``logits``."""
+    """Bucket of the 2-, 3- and 4-byte string that starts at each byte."""
     x = np.concatenate((CLASS[buf], np.full(3, 32, np.uint8))).astype(np.uint32)
     n, out, h = len(buf), [], x[:len(buf)]
     for j in range(1, 4):
@@ -54,7 +53,8 @@ def subwords(buf: np.ndarray) -> list[np.ndarray]:
 
 
 def spaced(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts with four spaces after each, so that no subword spans two."""
+    """Texts with four spaces after each; the strings that start in a text or at
+    the first space after it never span two."""
     size = np.diff(off)
     new = off + 4 * np.arange(len(off))
     out = np.full(new[-1], 32, np.uint8)
@@ -65,10 +65,12 @@ def spaced(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def logits(buf: np.ndarray, off: np.ndarray, model: dict) -> np.ndarray:
     """Mean of the table rows of all subwords, per text."""
     x, new = spaced(buf, off)
-    total = np.zeros((len(off) - 1, len(model["langs"])), np.float64)
+    n = np.diff(off) + 1
+    ends = np.stack([new[:-1], new[:-1] + n], 1).ravel()
+    total = np.zeros((len(n), len(model["langs"])), np.float64)
     for h in subwords(x):
-        total += np.add.reduceat(model["table"][h], new[:-1], axis=0)
-    return total / (3 * np.diff(new))[:, None] + model["bias"]
+        total += np.add.reduceat(model["table"][h], ends, axis=0)[::2]
+    return total / (3 * n)[:, None] + model["bias"]
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -88,7 +90,7 @@ def train(texts: list[bytes], y: list[str], epochs: int = EPOCHS, seed: int = SE
     bags = []
     for t in texts:
         x, _ = spaced(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
-        ids, n = np.unique(np.concatenate(subwords(x)), return_counts=True)
+        ids, n = np.unique(np.concatenate([h[:len(t) + 1] for h in subwords(x)]), return_counts=True)
         bags.append((ids, (n / n.sum()).astype(np.float32)))
     order = rng.permutation(len(bags))
     held, fit = order[:len(order) // 5], order[len(order) // 5:]
