@@ -51,13 +51,16 @@ def blocks(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def responses(x: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Filter responses, (blocks, places in a block, filters)."""
+def responses(x: np.ndarray, table: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Filter responses, (blocks, places in a block, filters); places whose
+    bytes run past a text's last block (they start behind the text) are out."""
     n = (len(x) - WIDTH) // STRIDE
     out = table[0][x[0:n * STRIDE:STRIDE]]
     for j in range(1, WIDTH):
         out += table[j][x[j:j + n * STRIDE:STRIDE]]
-    return out.reshape(-1, BLOCK // STRIDE, table.shape[2])
+    out = out.reshape(-1, BLOCK // STRIDE, table.shape[2])
+    out[first[1:] - 1, (BLOCK - WIDTH) // STRIDE + 1:] = -np.inf
+    return out
 
 
 def chunk_of(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +83,7 @@ def chunk_max(m: np.ndarray, at: np.ndarray, start: np.ndarray, first: np.ndarra
 def features(buf: np.ndarray, off: np.ndarray, model: dict) -> np.ndarray:
     """Mean and maximum over chunks of each pooled filter, per text."""
     x, first = blocks(buf, off)
-    m = responses(x, model["table"]).max(1)
+    m = responses(x, model["table"], first).max(1)
     at, start = chunk_of(first)
     a = np.maximum(chunk_max(m, at, start, first) + model["bias"], 0)
     mean = np.add.reduceat(a, start[:-1], axis=0) / np.diff(start)[:, None]
@@ -115,7 +118,7 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = S
             part = [texts[r] for r in rows]
             off = np.concatenate(([0], np.cumsum([len(t) for t in part])))
             x, first = blocks(np.frombuffer(b"".join(part), np.uint8), off)
-            r = responses(x, p["table"])
+            r = responses(x, p["table"], first)
             place = r.argmax(1)
             m = np.take_along_axis(r, place[:, None], 1)[:, 0]
             at, start = chunk_of(first)
