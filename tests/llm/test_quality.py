@@ -18,7 +18,7 @@ def one(text, model):
     x = list(raw) + [0] * (n * quality.BLOCK + quality.WIDTH - len(raw))
     blocks = []
     for b in range(n):
-        at = range(b * quality.BLOCK, (b + 1) * quality.BLOCK, quality.STRIDE)
+        at = [p for p in range(b * quality.BLOCK, (b + 1) * quality.BLOCK, quality.STRIDE) if p + quality.WIDTH <= n * quality.BLOCK]
         blocks.append(np.max([sum(model["table"][j][x[p + j]] for j in range(quality.WIDTH)) for p in at], axis=0))
     feats, b = [], 0
     while True:
