@@ -1,12 +1,10 @@
 """Repeatable holdouts and folds (H1-H6).
 
-The split key of a row is an integer hash of ``(id, run)`` — two rounds of
-multiply-and-reduce modulo the prime 2^31-1, all in 64-bit integer arithmetic
-without overflow — so a row's role depends only on its id and the run number:
-no sort, no shuffle, no driver-side id list, and the same split is recomputed
-after an executor loss.  It is ~10x cheaper than a digest per row and the same
-integer expression runs in DuckDB for the oracle.  Non-integer ids use
-``xxhash64`` instead.
+The split key of a row is 32 bits of the MD5 of ``run:id`` (of ``id`` alone
+without a run), modulo 10000, so runs, bags and nested layers are independent of
+each other and a row's role depends only on its id and the run: no sort, no
+shuffle, no id list on the driver, and the same split after an executor loss.
+Ids may be numbers or strings; the same text gives the same key in SQL.
 """
 
 from __future__ import annotations
@@ -19,24 +17,12 @@ from ordlab.functions.scalar import c
 BUCKETS = 10000
 
 
-# fixed values: modulus and multipliers of the integer split hash
-P = 2147483647
-A = 1103515245
-B = 12345
-C = 48271
-
-
-def split_key(id_col, run=None, integral: bool = True) -> Column:
-    """0..9999 bucket: ``h1 = ((id mod P) * A + run * B) mod P``,
-    ``h2 = (h1 * C) mod P``, bucket ``h2 mod 10000``."""
-    if not integral:
-        parts = [c(id_col)] + ([c(run)] if run is not None else [])
-        return F.abs(F.xxhash64(*parts)) % F.lit(BUCKETS)
-    i = c(id_col).cast("bigint")
-    r = c(run).cast("bigint") if run is not None else F.lit(0).cast("bigint")
-    h1 = (F.pmod(i, F.lit(P)) * F.lit(A) + r * F.lit(B)) % F.lit(P)
-    h2 = (h1 * F.lit(C)) % F.lit(P)
-    return h2 % F.lit(BUCKETS)
+def split_key(id_col, run=None) -> Column:
+    """0..9999 bucket of ``(run, id)``; a null id has a bucket of its own."""
+    text = F.coalesce(c(id_col).cast("string"), F.lit(""))
+    if run is not None:
+        text = F.concat(c(run).cast("string"), F.lit(":"), text)
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % F.lit(BUCKETS)
 
 
 def holdout(df: DataFrame, id_col: str, runs: int = 6, test_fraction: float = 0.2,

@@ -14,8 +14,9 @@ select o_orderkey id, cast((o_custkey % 8) + 1 as integer) y,
        o_totalprice / 6.25e4 score, o_orderstatus, o_orderpriority, o_totalprice
 from orders"""
 
-SQL_SPLIT_KEY = ("((((({id}) % 2147483647) * 1103515245 + cast({run} as bigint) * 12345) % 2147483647)"
-                 " * 48271 % 2147483647) % 10000")
+SQL_SPLIT_KEY = ("(cast('0x' || substr(md5(cast({run} as varchar) || ':' || cast({id} as varchar)), 1, 8) as bigint)"
+                 " % 10000)")
+SQL_KEY = "(cast('0x' || substr(md5(cast({id} as varchar)), 1, 8) as bigint) % 10000)"
 
 
 def orders_scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,8 +57,6 @@ def docs_labelled(spark: SparkSession, sf: str) -> DataFrame:
     lab = T(spark, sf, "labels")
     return d.join(lab, "doc_id", "left")
 
-SQL_KEY = "(((({id}) % 2147483647) * 1103515245 + 0 * 12345) % 2147483647 * 48271 % 2147483647) % 10000"
-
 
 def split_col(id_col: str, test_fraction: float = 0.2, run=None):
     """``'test'``/``'train'`` from the repeatable hash key."""
