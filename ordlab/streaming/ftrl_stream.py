@@ -5,8 +5,9 @@ Each micro-batch continues from the model state left by the previous one:
 the new rows and writes the new state as a table under the shared
 checkpoint folder (``<root>/state/batch=<id>``).  The stream's own
 checkpoint records which source files were consumed, so a restarted query
-picks up the last written state and only the unseen rows (exactly-once
-state per micro-batch id: a replayed batch overwrites its own state folder).
+sees only the unseen rows.  Batch ``N`` continues from the last state written
+before ``N`` and overwrites its own state folder, so a batch that is replayed
+after its state was written gives the same state again.
 """
 
 from __future__ import annotations
@@ -17,27 +18,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordlab.operators import ftrl
-from ordlab.session import checkpoint_dir
+from ordlab.session import checkpoint_dir, materialize
 
 
-def _latest_state(spark: SparkSession, root: str):
+def _latest_state(spark: SparkSession, root: str, before: int | None = None):
+    """The last written state (of a batch before ``before``), or None."""
     state_root = os.path.join(root, "state")
     path = spark._jvm.org.apache.hadoop.fs.Path(state_root)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None  # no micro-batch has written state yet
     st = spark.read.parquet(state_root)
+    if before is not None:
+        st = st.filter(F.col("batch") < before)
     last = st.agg(F.max("batch")).first()[0]
     if last is None:
         return None
     return st.filter(F.col("batch") == last).drop("batch")
 
 
-def run_stream(spark: SparkSession, source: DataFrame, to_long, prm: ftrl.FtrlParams, batch_size: int,
-               name: str = "ftrl", root: str | None = None, timeout_s: int = 600) -> DataFrame:
-    """Run ``source`` (a streaming DataFrame with ``id`` and ``y``) to the end
-    with an ``availableNow`` trigger; ``to_long(df)`` turns rows into
-    ``(id, feature, value)``.  Returns the final state table."""
-    root = root or os.path.join(checkpoint_dir(spark), f"ordlab-stream-{name}")
+def batch_step(spark: SparkSession, to_long, prm: ftrl.FtrlParams, batch_size: int, root: str):
+    """The ``foreachBatch`` function: one micro-batch, one state folder."""
 
     def on_batch(df: DataFrame, batch_id: int) -> None:
         if df.isEmpty():
@@ -45,23 +45,30 @@ def run_stream(spark: SparkSession, source: DataFrame, to_long, prm: ftrl.FtrlPa
         rows = df.persist()
         long = to_long(rows)
         labels = rows.select("id", "y")
-        init = _latest_state(spark, root)
+        init = _latest_state(spark, root, before=int(batch_id))
         if init is not None:
             # features first seen in this micro-batch start from zero
             new = ftrl.zero_state(long).join(init.select("feature"), "feature", "left_anti")
             init = init.unionByName(new)
+            init = materialize(init, "stream-state")  # the folder it was read from may be overwritten
         state, _ = ftrl.fit(long, labels, prm, batch_size=batch_size, epochs=1, state=init)
         (state.withColumn("batch", F.lit(int(batch_id)))
               .write.mode("overwrite").parquet(os.path.join(root, "state", f"batch={int(batch_id)}")))
         rows.unpersist()
 
-    q = (source.writeStream.foreachBatch(on_batch)
+    return on_batch
+
+
+def run_stream(spark: SparkSession, source: DataFrame, to_long, prm: ftrl.FtrlParams, batch_size: int,
+               name: str = "ftrl", root: str | None = None) -> DataFrame:
+    """Run ``source`` (a streaming DataFrame with ``id`` and ``y``) to the end
+    with an ``availableNow`` trigger; ``to_long(df)`` turns rows into
+    ``(id, feature, value)``.  Returns the final state table."""
+    root = root or os.path.join(checkpoint_dir(spark), f"ordlab-stream-{name}")
+    q = (source.writeStream.foreachBatch(batch_step(spark, to_long, prm, batch_size, root))
          .option("checkpointLocation", os.path.join(root, "checkpoint"))
          .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("stream did not finish")
+    q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return _latest_state(spark, root)
