@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordlab.functions.scalar import c
-from ordlab.operators.frame import attach
+from ordlab.operators.frame import attach, match
 from ordlab.session import fitted
 
 
@@ -25,7 +25,7 @@ def _stat_fill(df: DataFrame, cols, stat, by=None, suffix: str = "") -> DataFram
     aggs = [stat(F.col(x)).alias(f"__f_{x}") for x in cols]
     if by:
         st = fitted(df.groupBy(*by).agg(*aggs), "fill")
-        j = df.join(st, by, "left")
+        j = match(df, st, by)
     else:
         j = attach(df, df.agg(*aggs))
     j = j.withColumns({f"{x}{suffix}": F.coalesce(F.col(x).cast("double"), F.col(f"__f_{x}")) for x in cols})
@@ -78,7 +78,7 @@ def impute_ridge_single(df: DataFrame, x: str, y: str, alpha: float, by=None,
     fit = ridge_single_fit(df, x, y, alpha, by)
     if by:
         fit = fitted(fit, "ridge")
-        j = df.join(fit, by, "left")
+        j = match(df, fit, by)
     else:
         j = attach(df, fit)
     pred = F.col("intercept") + F.col("slope") * c(x).cast("double")

@@ -54,14 +54,16 @@ def decode_cdf(df: DataFrame, score: str, id_col: str, cdf: DataFrame, by=None,
 def decode_cut(score, cuts) -> Column:
     """Right-closed bins ``(c_{k-1}, c_k]`` -> ``1 + sum_k [score > c_k]``.
 
-    ``cuts`` is a list of numbers or an array column (sorted or not)."""
+    ``cuts`` is a list of numbers or an array column (sorted or not).  A score
+    that is null or not a number has no class."""
     s = c(score)
     if isinstance(cuts, (list, tuple)):
         out = F.lit(1)
         for v in cuts:
             out = out + F.when(s > F.lit(float(v)), 1).otherwise(0)
-        return out.cast("int")
-    return (F.lit(1) + F.size(F.filter(c(cuts), lambda x: s > x))).cast("int")
+    else:
+        out = F.lit(1) + F.size(F.filter(c(cuts), lambda x: s > x))
+    return F.when(s.isNotNull() & ~F.isnan(s.cast("double")), out.cast("int"))
 
 
 def decode_cut3(score, cutoff=(None, None, None), default: int = 4) -> Column:

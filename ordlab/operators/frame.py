@@ -94,6 +94,15 @@ def union_tagged(a: DataFrame, b: DataFrame, tag: str = "split", names=("train",
              .unionByName(b.withColumn(tag, F.lit(names[1])), allowMissingColumns=True))
 
 
+def match(df: DataFrame, table: DataFrame, keys, how: str = "left") -> DataFrame:
+    """Join ``table`` on equal ``keys`` where a null key equals a null key."""
+    keys = list(keys)
+    t = table.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    on = [F.col(f"__k_{k}").eqNullSafe(F.col(f"__d_{k}")) for k in keys]
+    d = df.withColumns({f"__d_{k}": F.col(k) for k in keys})
+    return d.join(t, on, how).drop(*[f"__k_{k}" for k in keys], *[f"__d_{k}" for k in keys])
+
+
 def split_back(df: DataFrame, tag: str = "split", names=("train", "test")) -> tuple[DataFrame, DataFrame]:
     """U3."""
     return df.filter(F.col(tag) == names[0]), df.filter(F.col(tag) == names[1])

@@ -23,6 +23,12 @@ def _by(by):
     return list(by or [])
 
 
+def complete_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows that both raters rated; agreement is defined on these only, so a
+    group without any has no row in the result."""
+    return df.filter(c(a).isNotNull() & c(b).isNotNull())
+
+
 def _keyed(df: DataFrame, by):
     """Grouping keys; an ungrouped metric groups on a constant key so that
     its partial results still combine by equi-join, never by a cross join."""
@@ -49,7 +55,7 @@ def qwk(df: DataFrame, a: str, b: str, by=None, out: str = "kappa") -> DataFrame
     """
     by = _by(by)
     a_, b_ = c(a).cast("double"), c(b).cast("double")
-    g = df.groupBy(*by).agg(
+    g = complete_pairs(df, a, b).groupBy(*by).agg(
         F.count(F.lit(1)).alias("__n"),
         F.sum((a_ - b_) * (a_ - b_)).alias("__o"),
         F.var_pop(a_).alias("__va"), F.var_pop(b_).alias("__vb"),
@@ -70,7 +76,7 @@ def linear_kappa(df: DataFrame, a: str, b: str, by=None, out: str = "kappa") ->
 
     The expected term ``sum_ij ha_i hb_j |i-j|`` is computed from running sums
     of the b-histogram in rating order (no rating x rating pairs)."""
-    df, by, keep = _keyed(df, by)
+    df, by, keep = _keyed(complete_pairs(df, a, b), by)
     h = _hist_pair(df, a, b, by)
     word = Window.partitionBy(*by).orderBy("v")
     below = word.rowsBetween(Window.unboundedPreceding, -1)
@@ -91,7 +97,7 @@ def linear_kappa(df: DataFrame, a: str, b: str, by=None, out: str = "kappa") ->
 
 def cohen_kappa(df: DataFrame, a: str, b: str, by=None, out: str = "kappa") -> DataFrame:
     """M5: unweighted kappa; expected disagreement ``n - sum_v ha_v hb_v / n``."""
-    df, by, keep = _keyed(df, by)
+    df, by, keep = _keyed(complete_pairs(df, a, b), by)
     h = _hist_pair(df, a, b, by)
     e = h.groupBy(*by).agg(F.sum(F.col("ca") * F.col("cb")).alias("__m"), F.sum("ca").alias("__n"))
     o = df.groupBy(*by).agg(F.sum(F.when(c(a) != c(b), 1.0).otherwise(0.0)).alias("__o"))

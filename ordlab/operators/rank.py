@@ -68,7 +68,8 @@ def position(df: DataFrame, order_by, out: str = "pos", partition_by=None,
     part_names = [p if isinstance(p, str) else None for p in parts]
     if any(p is None for p in part_names):
         raise ValueError("partition_by must be column names")
-    return (out_df.join(starts, part_names)
+    from ordlab.operators.frame import match
+    return (match(out_df, starts, part_names, "inner")
             .withColumn(out, F.col(out) - F.col("__start"))
             .drop("__start"))
 

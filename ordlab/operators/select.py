@@ -21,12 +21,12 @@ from ordlab.operators.rank import position
 def f_scores(df: DataFrame, features, label: str) -> DataFrame:
     """Univariate regression F statistic per feature,
     ``F = r^2 / (1 - r^2) * (n - 2)`` with ``r = corr(x, y)``; a constant
-    feature gives null (guarded, not an ANSI error)."""
+    feature or a constant label gives null (guarded, not an ANSI error)."""
     y = c(label).cast("double")
     aggs = [F.count(F.lit(1)).alias("__n")]
     for f in features:
         x = c(f).cast("double")
-        aggs.append(F.when(F.stddev_pop(x) > 0, F.corr(x, y)).alias(f"r__{f}"))
+        aggs.append(F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y)).alias(f"r__{f}"))
     wide = df.agg(*aggs)
     long = wide.unpivot(["__n"], [f"r__{f}" for f in features], "__f", "r")
     r2 = F.col("r") * F.col("r")
