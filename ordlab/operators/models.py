@@ -156,13 +156,33 @@ def class_probabilities(df: DataFrame, features, label: str, kind: str = "rf", n
                                             handleInvalid="keep"), est]).fit(d)
 
 
+def with_probability(model, df: DataFrame, out: str) -> DataFrame:
+    """Class probabilities of a fitted pipeline as an array column.  A
+    one-vs-rest model has none of its own: each class's binary margins go
+    through the logistic function and are normalised to sum 1."""
+    extra = ("features", "rawPrediction", "probability", "prediction")
+    cols = [F.col(x) for x in df.columns]
+    ovr = model.stages[-1]
+    if not hasattr(ovr, "models"):
+        return model.transform(df).select(*cols, vector_to_array("probability").alias(out))
+    cur = model.stages[0].transform(df)
+    each = []
+    for k, m in enumerate(ovr.models):
+        cur = m.transform(cur).withColumn(f"__c{k}", vector_to_array("probability")[1]).drop(*extra[1:])
+        each.append(F.col(f"__c{k}"))
+    total = each[0]
+    for e in each[1:]:
+        total = total + e
+    share = [F.when(total > 0, e / total).otherwise(F.lit(1.0 / len(each))) for e in each]
+    return cur.select(*cols, F.array(*share).alias(out))
+
+
 def stack_probabilities(models, df: DataFrame, n_classes: int = 8, prefix: str = "stack_p") -> DataFrame:
     """Mean class probability of several fitted probability models
     (pipelines from ``class_probabilities``), added as K columns."""
     cur, names = df, []
     for i, m in enumerate(models):
-        cur = (m.transform(cur).withColumn(f"__p{i}", vector_to_array("probability"))
-               .drop("features", "rawPrediction", "probability", "prediction"))
+        cur = with_probability(m, cur, f"__p{i}")
         names.append(f"__p{i}")
     mean = F.col(names[0])
     for a in names[1:]:
