@@ -14,6 +14,13 @@ def c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def uniform(cols, seed: int) -> Column:
+    """A repeatable number in [0, 1) for each row: 52 bits of a hash of the
+    columns and the seed (the same for any partitioning and any retry)."""
+    cols = [cols] if isinstance(cols, str) else list(cols)
+    return F.pmod(F.xxhash64(*[F.col(x) for x in cols], F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+
+
 def guarded_ratio(num, den) -> Column:
     """``num/den`` and 0 where the divisor is 0 (or null)."""
     d = c(den)

@@ -67,7 +67,7 @@ def _best(scores: DataFrame, cands):
 
 
 def fit_cutpoints(df: DataFrame, score: str, label: str, start, step: float = 0.5,
-                  min_step: float = 0.01, max_rounds: int = 60):
+                  min_step: float = 0.01):
     """Coordinate search from ``start``; each round scores the current
     vector and every single-cut move of +-step in one job, keeps the best,
     and halves the step when nothing improves.  Returns ``(cuts, kappa)``."""
@@ -75,7 +75,7 @@ def fit_cutpoints(df: DataFrame, score: str, label: str, start, step: float = 0.
     base = materialize(df.select(c(score).alias("s"), c(label).alias("y")), "cuts")
     cur = sorted(float(v) for v in start)
     best_k = None
-    for _ in range(max_rounds):
+    while True:  # each pass improves the kappa or halves the step
         cands = [cur]
         for i in range(len(cur)):
             for d in (-step, step):

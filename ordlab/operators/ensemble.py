@@ -96,7 +96,7 @@ def candidate_scores(preds: DataFrame, current: DataFrame | None, current_weight
 
 
 def greedy_selection(preds: DataFrame, cdf: DataFrame, weights=(0.25, 0.5, 1.0), init_top_k: int = 1,
-                     max_rounds: int = 10, tol: float = 1e-9):
+                     tol: float = 1e-9):
     """Greedy ensemble selection with replacement.
 
     Starts from the mean of the ``init_top_k`` best single models, then each
@@ -114,7 +114,9 @@ def greedy_selection(preds: DataFrame, cdf: DataFrame, weights=(0.25, 0.5, 1.0),
         best = float(_decode_and_score(
             cur.join(preds.select("run", "id", "target").distinct(), ["run", "id"]), cdf, ["run"])
             .agg(F.avg("kappa")).first()[0])
-    for rnd in range(1, max_rounds + 1):
+    rnd = 0
+    while True:
+        rnd += 1
         sc = candidate_scores(preds, cur, total_w, weights, cdf)
         win = sc.orderBy(F.desc("kappa_mean"), "model", "weight").first()
         if win is None or win["kappa_mean"] <= best + tol:

@@ -11,41 +11,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordlab.functions.scalar import c, guarded_ratio, row_sum, row_sum_skip_null, safe_div
-from ordlab.operators.frame import attach
+from ordlab.functions.scalar import c, guarded_ratio, row_sum, row_sum_skip_null, safe_div, uniform
+from ordlab.operators.frame import attach, match
 from ordlab.session import fitted
 from ordlab.operators.rank import position, window_position
 
 
-def label_encode(df: DataFrame, col: str, out: str | None = None, per_split: str | None = None,
-                 max_levels: int = 100_000) -> DataFrame:
+def label_encode(df: DataFrame, col: str, out: str | None = None, per_split: str | None = None) -> DataFrame:
     """code = index of the value among the sorted distinct values.
 
     Default fits on all rows (E2, the union of train and test); with
     ``per_split`` the codes are refitted inside each split (Q5).  Nulls keep a
-    null code.  The level table is measured first: up to ``max_levels`` rows the
-    codes are assigned from the collected levels (one job), beyond that by the
-    scalable ``position``."""
+    null code.  The levels are numbered by the scalable ``position`` and joined
+    back; their written size decides how."""
     out = out or f"{col}_code"
     keys = [per_split] if per_split else []
-    d = df.select(*keys, col).filter(F.col(col).isNotNull()).distinct()
-    levels = d.limit(max_levels + 1).collect()  # at most max_levels + 1 rows reach the driver
-    if len(levels) <= max_levels:
-        # checked small level table: codes assigned on the driver, shipped as a local relation
-        # nulls first, then ascending: the same order as Spark's sort
-        ordered = sorted(levels, key=lambda r: tuple((x is not None, x if x is not None else 0) for x in r))
-        seen, rows = {}, []
-        for r in ordered:
-            g = tuple(r[k] for k in keys)
-            seen[g] = seen.get(g, -1) + 1
-            rows.append((*r, seen[g]))
-        from pyspark.sql.types import IntegerType, StructField, StructType
-        schema = StructType(list(d.schema.fields) + [StructField(out, IntegerType(), True)])
-        codes = F.broadcast(df.sparkSession.createDataFrame(rows, schema))  # at most max_levels rows
-    else:
-        codes = position(d, [col], out, partition_by=keys or None)
-        codes = fitted(codes.withColumn(out, F.col(out).cast("int")), "codes")
-    return df.join(codes, keys + [col], "left")
+    levels = df.select(*keys, col).filter(F.col(col).isNotNull()).distinct()
+    codes = position(levels, [col], out, partition_by=keys or None)
+    codes = fitted(codes.withColumn(out, F.col(out).cast("int")), "codes")
+    return match(df, codes, keys + [col])
 
 
 def one_hot_levels(df: DataFrame, cols, max_levels: int = 1000) -> dict:
@@ -160,7 +144,7 @@ def target_encode_loo(df: DataFrame, col: str, y: str, is_train, out: str | None
     unseen category gets ``n=0, S=m`` (Q9).  Category statistics are a partial
     aggregate joined back on the category (skew-safe), the train mean a
     one-row aggregate joined on a constant key.  ``noise`` multiplies train
-    rows by ``1 + noise*(u-0.5)`` with a seeded uniform (off by default)."""
+    rows by ``1 + noise*(u-0.5)``, u hashed from the row and the seed (off by default)."""
     out = out or f"{col}_te"
     tr = F.col("__tr")
     d = df.withColumn("__tr", F.when(c(is_train), 1).otherwise(0))
@@ -173,7 +157,7 @@ def target_encode_loo(df: DataFrame, col: str, y: str, is_train, out: str | None
     enc = (csm + F.lit(prior_weight) * F.col("__m")) / (cnt + F.lit(prior_weight))
     enc = F.coalesce(enc, F.col("__m"))
     if noise:
-        enc = F.when(tr == 1, enc * (F.lit(1.0) + F.lit(noise) * (F.rand(seed) - F.lit(0.5)))).otherwise(enc)
+        enc = F.when(tr == 1, enc * (F.lit(1.0) + F.lit(noise) * (uniform(df.columns, seed) - F.lit(0.5)))).otherwise(enc)
     return j.withColumn(out, enc).drop("__tr", "__s", "__n", "__m")
 
 
@@ -204,7 +188,7 @@ def standardize(df: DataFrame, cols, fit_on=None, by=None, suffix: str = "") ->
         aggs += [F.avg(x).alias(f"__m_{x}"), F.stddev_pop(x).alias(f"__s_{x}")]
     if by:
         mom = fitted(base.groupBy(*by).agg(*aggs), "moments")
-        j = df.join(mom, by, "left")
+        j = match(df, mom, by)
     else:
         j = attach(df, base.agg(*aggs))
     j = j.withColumns({f"{x}{suffix}": safe_div(F.col(x) - F.col(f"__m_{x}"), F.col(f"__s_{x}")) for x in cols})

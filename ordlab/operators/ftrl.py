@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordlab.functions.scalar import sigmoid
+from ordlab.functions.scalar import sigmoid, uniform
 from ordlab.session import materialize
 
 
@@ -66,7 +66,7 @@ def gradient(long_batch: DataFrame, labels_batch: DataFrame, state: DataFrame, p
     p = predict(long_batch, state, prm.link)
     y = F.col("y").cast("double")
     if prm.dropout:
-        y = y * F.when(F.rand(prm.seed) >= F.lit(prm.dropout), 1.0).otherwise(0.0)
+        y = y * F.when(uniform("id", prm.seed) >= F.lit(prm.dropout), 1.0).otherwise(0.0)
     diff = F.col("p") - y
     if weight:
         diff = diff * F.col(weight)

@@ -186,7 +186,7 @@ def q_cutpoint_search_grid(spark, sf):
 def q_cutpoint_search(spark, sf):
     """Coordinate search of 7 cut points from the fixed start vector."""
     o = orders_scored(spark, sf).select("score", "y")
-    cuts, kappa = cp.fit_cutpoints(o, "score", "y", CUTS, step=0.5, min_step=0.0625, max_rounds=30)
+    cuts, kappa = cp.fit_cutpoints(o, "score", "y", CUTS, step=0.5, min_step=0.0625)
     return spark.createDataFrame([(i + 1, float(v), float(kappa)) for i, v in enumerate(cuts)],
                                  "k int, cut double, kappa double")
 
@@ -248,7 +248,7 @@ def q_ensemble_round(spark, sf):
 @query("ensemble_greedy")
 def q_ensemble_greedy(spark, sf):
     """Greedy selection with replacement until no candidate improves."""
-    chosen = en.greedy_selection(ens_preds(spark, sf), ens_cdf(spark, sf), weights=ENS_WEIGHTS, max_rounds=4)
+    chosen = en.greedy_selection(ens_preds(spark, sf), ens_cdf(spark, sf), weights=ENS_WEIGHTS)
     return spark.createDataFrame(chosen, "round int, model string, weight double, kappa_mean double")
 
 

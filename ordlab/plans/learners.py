@@ -264,7 +264,7 @@ def q_forward_feature_test(spark, sf):
     tr, _ = _split(spark, sf)
     folds = fold_table(tr.select(F.col("p_partkey").alias("id")), "id", runs=3)
     base = ["f_price", "f_key97"]
-    cands = ["f_size", "f_namelen", "f_key13"]
+    cands = [f for f in FEATS if f not in base]
     return tune.forward_feature_test(
         tr, folds, base, cands, "yd", "p_partkey",
         lambda: DecisionTreeRegressor(labelCol="yd", featuresCol="features", maxDepth=6, seed=1), CUTS)

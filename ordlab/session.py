@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -43,18 +45,35 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared folder there; it is used as is.  Only when the
-    setting is absent (local tests) a private scratch folder is created.
+    setting is absent and the master is local (tests) a private scratch folder
+    is created, and deleted when the process ends.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="ordlab-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that ``materialize`` has written in this process; call
+    it when no result that reads them is needed any more."""
+    hadoop, n = spark._jsc.hadoopConfiguration(), 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(path.getFileSystem(hadoop).delete(path, True))
+    return n
+
+
 def materialize(df, tag: str = "stage", partition_by=None):
     """Write ``df`` to a fresh folder under the shared checkpoint location and
     read it back: cuts lineage and pins the data, so every later use (and any
@@ -67,24 +86,15 @@ def materialize(df, tag: str = "stage", partition_by=None):
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+    _written.append(path)
     return spark.read.parquet(path)
 
 
-def fitted(df, tag: str = "fitted", max_rows: int = 1000):
+def fitted(df, tag: str = "fitted"):
     """Pin a fitted aggregate (per-group statistics, codes, CDFs) as a table
-    whose size the planner knows.
-
-    Up to ``max_rows`` rows it is rebuilt from the collected rows and hinted
-    for broadcast (a handful of fitted values); above that it is written to the shared
-    checkpoint folder and its on-disk size decides between broadcast and a
-    shuffle join with AQE skew splitting.  Either way the size is measured,
-    not guessed, and the data side is never shuffled for a few groups."""
-    from pyspark.sql import functions as F
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        # proven small (at most max_rows rows): hinted for broadcast, because a
-        # driver-built frame carries no size statistics of its own
-        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    whose size the planner knows: it is written to the shared checkpoint folder
+    and its size there decides between a broadcast and a shuffle join with AQE
+    skew splitting."""
     return materialize(df, tag)
 
 

@@ -58,20 +58,25 @@ def read_fold_lines(spark: SparkSession, path: str) -> DataFrame:
     return t.select("run", "role", F.explode(split_ints("value")).alias("id"))
 
 
-def write_vector(df: DataFrame, path: str, value: str, order_by, max_rows: int = 1_000_000) -> None:
-    """One number per line, in order, in a single file (the legacy format
-    for small vectors: a CDF, group sizes).  Larger vectors belong in a keyed
-    table, e.g. per-row weights as an ``(id, weight)`` column."""
-    if df.limit(max_rows + 1).count() > max_rows:
-        raise ValueError("vector too long for the one-file text format; write a keyed table instead")
-    df.orderBy(*order_by).select(F.col(value).cast("string").alias("value")).coalesce(1) \
+def write_vector(df: DataFrame, path: str, value: str, order_by) -> None:
+    """One number per line with its position before it, in part files; of
+    any length.  A vector of the legacy form (numbers alone, one file) can be
+    read by ``read_vector`` too."""
+    from ordlab.operators.rank import position
+    v = position(df.select(F.col(value).cast("double").alias("__value"), *order_by), order_by, "__ix")
+    v.select(F.concat_ws(" ", F.col("__ix").cast("string"), F.coalesce(F.col("__value").cast("string"), F.lit(""))).alias("value")) \
         .write.mode("overwrite").text(path)
 
 
 def read_vector(spark: SparkSession, path: str) -> DataFrame:
-    """One double per line, with its 0-based line position."""
-    t = spark.read.text(path).select(F.col("value").cast("double").alias("value"))
-    return t.withColumn("ix", F.monotonically_increasing_id())
+    """``(value, ix)`` with the 0-based position; a line without a position
+    (legacy form) is numbered by its place in its one file."""
+    t = spark.read.text(path).withColumn("__at", F.monotonically_increasing_id())
+    part = F.split("value", " ", 2)
+    keyed = F.col("value").contains(" ")
+    number = F.when(keyed, part[1]).otherwise(F.col("value"))
+    return t.select(F.nullif(number, F.lit("")).cast("double").alias("value"),
+                    F.when(keyed, part[0].cast("bigint")).otherwise(F.col("__at")).alias("ix"))
 
 
 def write_libsvm(df: DataFrame, path: str, label: str = "label", features: str = "features") -> None:

@@ -38,7 +38,7 @@ def test_candidate_scores_vs_brute_force(scored):
 def test_fit_cutpoints_improves(scored):
     df, s, y = scored
     start = [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0]
-    cuts, k = cp.fit_cutpoints(df, "s", "y", start, step=0.5, min_step=0.125, max_rounds=12)
+    cuts, k = cp.fit_cutpoints(df, "s", "y", start, step=0.5, min_step=0.125)
     k0 = dense_kappa(y, _cut(s, start), "quadratic")
     assert k >= k0 - 1e-12
     assert k == pytest.approx(dense_kappa(y, _cut(s, cuts), "quadratic"), abs=1e-12)
@@ -91,7 +91,7 @@ def test_greedy_selection_improves(spark):
     preds = spark.createDataFrame(rows, "model string, run int, id long, prediction double, target int")
     from ordlab.operators.profile import class_cdf
     cdf = class_cdf(preds.filter("model = 'good'"), "target", by=["run"])
-    chosen = en.greedy_selection(preds, cdf, weights=(0.5, 1.0), max_rounds=3)
+    chosen = en.greedy_selection(preds, cdf, weights=(0.5, 1.0))
     assert chosen[0][1] == "good"
     ks = [c[3] for c in chosen]
     assert ks == sorted(ks)
