@@ -2,10 +2,9 @@
 
 1. Documents are range-partitioned by doc_id and sorted; each task encodes whole
    texts with the tokenizers library.  Byte-level BPE never merges across
-   pre-tokens, and a space that is followed by a printable character starts one,
-   so the library encodes each distinct pre-token once per worker and the ids of
-   a text are those of its space-delimited pieces; a text with any other kind of
-   space is encoded whole.  The ids are written once to the shared folder.
+   pre-tokens, so a text is cut where a pre-token starts whatever surrounds it,
+   the library encodes each distinct piece once per worker, and the ids of a
+   text are those of its pieces.  The ids are written once to the shared folder.
 2. Token counts over all documents give each id its frequency rank.
 3. Each writer task stores the ranks of the runs of documents that it reads: a
    control byte holds the byte lengths (1 to 4) of four ranks, the rank bytes
@@ -28,31 +27,27 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ordlab.llm import kernels
 from ordlab.llm.common import batch, filesystem, narrow, pin, scratch, shuffle_partitions, write_bytes
 
 END_ID = 0
 #: pieces whose ids a worker remembers (about 100 MB); results do not depend on it
-PIECES = 500_000
-#: fixed value: the pre-token pattern of byte-level BPE
-PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-#: pieces that the pattern may cut; others the library encodes as they are
-PLAIN = regex.compile("[!-~¡-ɏ\n]+")
+PIECES = 2_000_000
+SLICE = 1 << 20
 BLOCK_TOKENS = 1 << 20
 MAGIC = b"OLT1"
 HEAD = struct.Struct("<4sIQQQ")  # magic, documents, tokens, control bytes, data bytes
 
 
-def piece_start(c: str) -> bool:
-    """A space before this character always starts a new piece."""
-    return "!" <= c <= "~" or ("¡" <= c <= "ɏ" and c.isprintable())
-
-
 class PieceEncoder:
-    """Ids of texts by way of their distinct pieces; see the module text."""
+    """Ids of texts by way of their distinct pieces; see the module text.
+
+    Pieces are told apart by length and a 64-bit hash.  Known ones stand in two
+    sorted tables of (hash, first id, number of ids): a small one that grows
+    slice by slice and a large one that takes it up from time to time."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,61 +55,111 @@ class PieceEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.type = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         self.line = self.encode(["\n"])[0]
+        self.forget()
+
+    def forget(self) -> None:
+        self.tables = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2
+        self.pool, self.used = np.zeros(1 << 16, self.type), 0
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         enc = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-        return [np.array(e.ids, self.type).tobytes() for e in enc(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.type) for e in enc(texts, add_special_tokens=False)]
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
+    def encode_words(self, words: list[str]) -> list[np.ndarray]:
         """Runs of letters, each perhaps after a space, encoded as the lines of
         one text: a line end between them is always an id of its own."""
-        out, line = [], np.frombuffer(self.line, self.type)
+        out = []
         for i in range(0, len(words), 4096):
             part = words[i:i + 4096]
-            ids = np.frombuffer(self.encode(["\n".join(part)])[0], self.type)
-            cut = np.flatnonzero(ids == line[0])
-            raw, size = ids.tobytes(), ids.itemsize
-            begin = [0, *((cut + 1) * size).tolist()]
-            end = [*(cut * size).tolist(), len(raw)]
-            if len(begin) != len(part):
-                out += self.encode(part)
+            ids = self.encode(["\n".join(part)])[0]
+            cut = np.flatnonzero(ids == self.line[0])
+            if len(cut) == len(part) - 1:
+                out += [x[1:] if k else x for k, x in enumerate(np.split(ids, cut))]
             else:
-                out += [raw[x:y] for x, y in zip(begin, end)]
+                out += self.encode(part)
         return out
 
-    def learn(self, pieces) -> None:
-        """Encode the distinct pieces that are new, by their pre-tokens."""
-        for memory in (self.known, self.parts):
-            if len(memory) > PIECES:  # the older half holds the frequent ones
-                for k in list(memory)[PIECES // 2:]:
-                    del memory[k]
-        cut = {p: PATTERN.findall(" " + p) if PLAIN.fullmatch(p) else [" " + p] for p in pieces}
-        new = {x for c in cut.values() for x in c}.difference(self.parts)
-        words = [x for x in new if x.lstrip(" ").isalpha()]
-        rest = [x for x in new if not x.lstrip(" ").isalpha()]
-        self.parts.update(zip(words, self.encode_words(words)))
-        self.parts.update(zip(rest, self.encode(rest)))
-        parts = self.parts
-        self.known.update((p, b"".join([parts[x] for x in c])) for p, c in cut.items())
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of every text."""
-        split = [t.split(" ") for t in texts]
-        heads = self.encode([p[0] for p in split])
-        new = {x for p in split for x in p[1:]}.difference(self.known)
-        good = [p for p in new if p and piece_start(p[0])]
-        whole = new.difference(good)
-        self.learn(good)
-        known, out = self.known, []
-        for t, p, h in zip(texts, split, heads):
-            if whole and not whole.isdisjoint(p[1:]):
-                out.append(self.encode([t])[0])
-            else:
-                out.append(b"".join([h, *[known[x] for x in p[1:]]]))
-        return out
+    def learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        """Encode new pieces and enter them in the small table."""
+        plain = [len(x) > 0 and x.isalpha() and (x.isascii() or max(x) <= "ɏ") for x in (p[1:] if p[0] == " " else p for p in pieces)]
+        words = iter(self.encode_words([p for p, w in zip(pieces, plain) if w]))
+        rest = iter(self.encode([p for p, w in zip(pieces, plain) if not w]))
+        ids = [next(words) if w else next(rest) for w in plain]
+        n = np.array([len(x) for x in ids])
+        flat = np.concatenate(ids)
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool[:self.used], np.zeros(len(flat) + self.used, self.type)])
+        self.pool[self.used:self.used + len(flat)] = flat
+        new = (hashes, self.used + np.cumsum(n) - n, n)
+        self.used += len(flat)
+        k = 1 if len(self.tables[1][0]) < PIECES // 8 else 0
+        if not k:  # the large table takes up the small one
+            new = tuple(np.concatenate(x) for x in zip(self.tables[1], new))
+            self.tables[1] = tuple(x[:0] for x in new)
+        merged = [np.concatenate(x) for x in zip(self.tables[k], new)]
+        order = np.argsort(merged[0], kind="stable")
+        self.tables[k] = tuple(x[order] for x in merged)
+
+    def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first id, number of ids) of sorted hashes; number -1: not known."""
+        first, n = np.zeros(len(h), np.int64), np.full(len(h), -1)
+        for keys, at, num in self.tables:
+            if len(keys):
+                i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = keys[i] == h
+                first[hit], n[hit] = at[i[hit]], num[i[hit]]
+        return first, n
+
+    def ids(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a slice, one after another, and the first of each."""
+        if sum(len(t[0]) for t in self.tables) > PIECES:
+            self.forget()
+        start = cuts(buf, off)
+        if not len(start):
+            return np.zeros(0, self.type), np.zeros(len(off), np.int64)
+        end = np.append(start[1:], len(buf))
+        h = kernels.mix(kernels.span_hash(kernels.prefix_hash(buf), start, end) + (end - start).astype(np.uint64))
+        keys, one, inverse = np.unique(h, return_index=True, return_inverse=True)
+        first, n = self.look(keys)
+        new = np.flatnonzero(n < 0)
+        if len(new):
+            raw = buf.tobytes()
+            self.learn(keys[new], [raw[x:y].decode() for x, y in zip(start[one[new]].tolist(), end[one[new]].tolist())])
+            first[new], n[new] = self.look(keys[new])
+        num = n[inverse]
+        last = np.cumsum(num)
+        flat = self.pool[np.arange(last[-1]) + np.repeat(first[inverse] - (last - num), num)]
+        return flat, np.concatenate(([0], last))[np.searchsorted(start, off)]
+
+
+# byte classes: what surely starts a pre-token after a space (printable ASCII, Latin letters),
+# ASCII letters, and marks that never belong to the pre-token of a letter before them
+STARTS = np.zeros(256, bool)
+STARTS[0x21:0x7F] = True
+STARTS[0xC3:0xCA] = True
+LETTER = np.zeros(256, bool)
+LETTER[65:91] = LETTER[97:123] = True
+MARK = np.zeros(256, bool)
+MARK[list(b".,;:!?|*#$%&-()")] = True
+
+
+def cuts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """First bytes of pieces: places where a pre-token starts whatever the rest
+    of the text is.  These are a text's start; a space before a printable
+    character; a line end between a printable and a printable character, and
+    what follows it; a mark after a letter."""
+    n = len(buf)
+    cut = np.zeros(n + 1, bool)
+    if n:
+        nxt, prev = np.append(buf[1:], 32), np.append(32, buf[:-1])
+        cut[:-1] = (buf == 32) & STARTS[nxt]
+        ink = (prev > 32) & (prev < 127)
+        line = (buf == 10) & STARTS[nxt] & ink
+        cut[:-1] |= line | (MARK[buf] & LETTER[prev])
+        cut[1:] |= line
+        cut[off] = True
+    return np.flatnonzero(cut[:-1])
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -137,11 +182,11 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col: s
         part, idx, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer_path)
         end = np.array([end_id], enc.type).tobytes()
         for b in batches:
-            ids, texts = b.column(0), b.column(1)
-            step = max(1, min(512, (8 << 20) * len(b) // max(texts.nbytes, 1)))
-            for i in range(0, len(b), step):
-                got = [x + end for x in enc.ids([t or "" for t in texts.slice(i, step).to_pylist()])]
-                yield batch(schema, np.full(len(got), part, np.int32), np.arange(idx, idx + len(got)), ids.slice(i, step), got)
+            for i, buf, off in kernels.slices(b.column(1), SLICE):
+                flat, first = enc.ids(buf, off)
+                raw, at = flat.tobytes(), (first * flat.itemsize).tolist()
+                got = [raw[x:y] + end for x, y in zip(at, at[1:])]
+                yield batch(schema, np.full(len(got), part, np.int32), np.arange(idx, idx + len(got)), b.column(0).slice(i, len(got)), got)
                 idx += len(got)
 
     n = num_partitions or shuffle_partitions(docs.sparkSession)
