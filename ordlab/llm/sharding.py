@@ -1,8 +1,8 @@
 """Sharding by sampled splitters (operator 10).
 
 Records are ordered by the key (hash of the text, doc_id), so equal texts lie
-next to each other.  A size-weighted sample of keys (Efraimidis-Spirakis: the
-smallest ``-ln(u) / size``) gives quantile boundaries; a key that holds more
+next to each other.  A size-weighted sample of keys (those with
+``-ln(u) / size < m / total``, ``m`` in expectation) gives quantile boundaries; a key that holds more
 than a range's share has several boundaries that differ in doc_id only, which
 subdivides it.  Exact bytes and rows of the ranges, then a running sum of bytes
 inside each range, place every record: shard ``s`` takes the records whose
@@ -38,11 +38,13 @@ def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def splitters(keys: DataFrame, n_ranges: int, seed: int = 7) -> np.ndarray:
-    """Up to ``n_ranges - 1`` (hash, id) boundaries: quantiles of a size-weighted sample."""
-    m = n_ranges * SAMPLE_PER_RANGE
+    """Up to ``n_ranges - 1`` (hash, id) boundaries: quantiles of a size-weighted
+    sample of ``n_ranges * SAMPLE_PER_RANGE`` keys in expectation."""
+    total = keys.agg(F.sum("size")).first()[0]
+    if not total:
+        return np.zeros((0, 2), np.int64)
     u = (F.pmod(F.xxhash64("h", "ident", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    rows = (keys.select("h", "ident", (-F.log(u) / F.col("size")).alias("p"))
-            .orderBy("p", "h", "ident").limit(m).select("h", "ident").collect())
+    rows = keys.filter(-F.log(u) / F.col("size") < n_ranges * SAMPLE_PER_RANGE / total).select("h", "ident").collect()
     got = np.array(sorted((r[0], r[1]) for r in rows), np.int64).reshape(-1, 2)
     if not len(got):
         return got
