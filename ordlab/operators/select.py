@@ -26,7 +26,7 @@ def f_scores(df: DataFrame, features, label: str) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("__n")]
     for f in features:
         x = c(f).cast("double")
-        aggs.append(F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y)).alias(f"r__{f}"))
+        aggs.append((F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))).alias(f"r__{f}"))
     wide = df.agg(*aggs)
     long = wide.unpivot(["__n"], [f"r__{f}" for f in features], "__f", "r")
     r2 = F.col("r") * F.col("r")
