@@ -87,34 +87,57 @@ def impute_ridge_single(df: DataFrame, x: str, y: str, alpha: float, by=None,
     return j.withColumn(out, F.coalesce(c(y).cast("double"), pred)).drop("slope", "intercept")
 
 
+def ridge_multi_fit(df: DataFrame, features, target: str, alpha: float, by=None) -> DataFrame:
+    """C6 with many predictors: ridge on the normalised design, fitted for all
+    groups in one aggregate of the complete rows' covariances; each group's
+    normal equations (one row) are then solved inside a task.  Returns
+    ``by, __coef, __intercept``; a predictor that does not vary gets 0."""
+    import numpy as np
+    features, by = list(features), list(by or [])
+    cols = [c(f).cast("double") for f in features] + [c(target).cast("double")]
+    full = df
+    for x in cols:
+        full = full.filter(x.isNotNull())
+    d = len(features)
+    pairs = [(i, j) for i in range(d + 1) for j in range(i, d + 1)]
+    g = full.groupBy(*by).agg(F.array(*[F.avg(x) for x in cols]).alias("__m"),
+                              F.array(*[F.covar_pop(cols[i], cols[j]) for i, j in pairs]).alias("__c"))
+
+    def solve(frames):
+        for pdf in frames:
+            coef, intercept = [], []
+            for m, flat in zip(pdf["__m"], pdf["__c"]):
+                cov = np.zeros((d + 1, d + 1))
+                for (i, j), v in zip(pairs, flat):
+                    cov[i, j] = cov[j, i] = v
+                sd = np.sqrt(np.diag(cov)[:d])
+                use = sd > 0
+                w = np.zeros(d)
+                corr = cov[:d, :d][np.ix_(use, use)] / np.outer(sd[use], sd[use])
+                w[use] = np.linalg.solve(corr + alpha * np.eye(use.sum()), cov[:d, d][use] / sd[use]) / sd[use]
+                coef.append(w.tolist())
+                intercept.append(float(m[d] - w @ np.asarray(m[:d], float)))
+            out = pdf[by].copy()
+            out["__coef"], out["__intercept"] = coef, intercept
+            yield out
+
+    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema]
+                       + ["__coef array<double>", "__intercept double"])
+    return g.mapInPandas(solve, fields)
+
+
 def impute_ridge_multi(df: DataFrame, features, target: str, alpha: float, by: str | None = None,
                        categorical: bool = False, out: str | None = None) -> DataFrame:
-    """C6 with many predictors: ``LinearRegression`` on the complete rows with
-    the normalised-ridge penalty ``alpha * std_pop(y)`` (V5); nulls replaced by
-    the prediction (``rint`` for categorical targets).  One fit per value of
-    ``by`` (train and test separately, as the reference)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-    out = out or f"{target}_filled"
-    va = VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="keep")
-    groups = [None]
-    if by:
-        # one fit per split: the split values are a handful, checked before use
-        groups = [r[0] for r in df.select(by).distinct().limit(101).collect()]
-        if len(groups) > 100:
-            raise ValueError(f"{by} has more than 100 values; fit per split is meant for a few splits")
-    parts = []
-    for gval in groups:
-        part = df if gval is None else df.filter(F.col(by) == gval)
-        known = part.filter(F.col(target).isNotNull())
-        sd = known.agg(F.stddev_pop(target)).first()[0] or 0.0
-        lr = LinearRegression(featuresCol="__x", labelCol=target, regParam=alpha * sd,
-                              elasticNetParam=0.0, standardization=True, solver="normal")
-        model = lr.fit(va.transform(known))
-        pred = model.transform(va.transform(part)).withColumnRenamed("prediction", "__p")
-        p = F.rint("__p") if categorical else F.col("__p")
-        parts.append(pred.withColumn(out, F.coalesce(F.col(target).cast("double"), p)).drop("__x", "__p"))
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res
+    """C6 with many predictors: null targets get the prediction of
+    ``ridge_multi_fit`` (``rint`` of it for categorical targets), fitted per
+    value of ``by`` (train and test separately, as the reference), of which
+    there may be any number."""
+    out, by = out or f"{target}_filled", [by] if by else []
+    fit = fitted(ridge_multi_fit(df, features, target, alpha, by), "ridge-multi")
+    j = match(df, fit, by) if by else attach(df, fit)
+    p = F.col("__intercept")
+    for i, f in enumerate(features):
+        p = p + F.col("__coef")[i] * c(f).cast("double")
+    if categorical:
+        p = F.rint(p)
+    return j.withColumn(out, F.coalesce(c(target).cast("double"), p)).drop("__coef", "__intercept")

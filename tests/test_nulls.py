@@ -79,3 +79,24 @@ def test_replayed_batch_gives_the_same_state(spark, tmp_path):
     once = state()
     step(rows.filter("id >= 20"), 1)
     assert {r["feature"]: (r["z"], r["n"], r["w"]) for r in fs._latest_state(spark, str(tmp_path)).collect()} == once
+
+
+def test_ridge_per_group_for_any_number_of_groups(spark):
+    """150 groups and a null group, against the normal equations."""
+    import numpy as np
+    r, rows = np.random.default_rng(0), []
+    for g in range(151):
+        for _ in range(12):
+            a, b = r.normal(size=2)
+            rows.append((len(rows), g if g else None, float(a), float(b), float(a * g - b + r.normal())))
+    rows += [(len(rows) + g, g or None, 0.5, -0.5, None) for g in range(151)]
+    df = spark.createDataFrame(rows, "id int, g int, a double, b double, y double")
+    got = {x["id"]: x["y_filled"] for x in clean.impute_ridge_multi(df, ["a", "b"], "y", 0.3, by="g").collect()}
+    assert len(got) == len(rows)
+    for g in range(151):
+        part = np.array([x[2:] for x in rows[12 * g:12 * g + 12]], float)
+        x, y = part[:, :2], part[:, 2]
+        z = x - x.mean(0)
+        norm = np.sqrt((z ** 2).sum(0))
+        w = np.linalg.solve((z / norm).T @ (z / norm) + 0.3 * np.eye(2), (z / norm).T @ (y - y.mean())) / norm
+        assert got[12 * 151 + g] == pytest.approx(y.mean() + (np.array([0.5, -0.5]) - x.mean(0)) @ w)
