@@ -47,61 +47,49 @@ def percentile_keep(scores: DataFrame, percentiles, score: str = "f_score") -> D
                   .drop("__k"))
 
 
-def _ntile_bin(pos, n, b):
-    """0-based ``ntile(b)`` bucket of a 0-based position among ``n`` rows."""
-    q = F.floor(n / b)
-    r = n - q * b
-    big = r * (q + 1)
-    return F.when(pos < big, F.floor(pos / (q + 1))).otherwise(r + F.floor((pos - big) / q)).cast("int")
-
-
-def grid_sizes(n: int, exponent: float = 0.6):
-    """All (bx, by) with bx, by >= 2 and bx * by <= n^exponent (B(n) of MIC)."""
-    B = int(math.floor(n ** exponent))
-    return [(bx, by) for bx in range(2, B // 2 + 1) for by in range(2, B // 2 + 1) if bx * by <= B]
+def grid_levels(n: int, exponent: float = 0.6) -> tuple[int, list[tuple[int, int]]]:
+    """Finest level of a feature and all (x, y) levels of grids of ``2^x`` by
+    ``2^y`` cells, both at least 2, with at most ``n^exponent`` cells (B(n) of MIC)."""
+    total = int(math.floor(exponent * math.log2(n))) if n else 0
+    return total - 1, [(x, y) for x in range(1, total) for y in range(1, total) if x + y <= total]
 
 
 def pair_mic(df: DataFrame, id_col: str, features, exponent: float = 0.6) -> DataFrame:
     """Approximate maximal information coefficient for every feature pair.
 
-    Equal-frequency bins (``ntile`` by value, ties by id) per feature and bin
-    count; for every grid ``bx * by <= n^0.6`` the mutual information of the
-    joint bins is normalised by ``ln(min(bx, by))``; the maximum over grids is
-    reported (no dynamic-programming partition search, see README)."""
+    Each feature is cut once into ``2^finest`` bins of equal frequency (by value,
+    ties by id); halving the number of bins merges neighbours, so one table of
+    joint counts per pair serves all grids, and rows are exploded over pairs
+    only.  The mutual information of a grid is normalised by the logarithm of
+    its shorter side; the greatest is reported (no dynamic-programming partition
+    search, see README)."""
     feats = list(features)
     long = df.select(c(id_col).alias("id"), F.explode(F.array(*[
         F.struct(F.lit(i).alias("fi"), c(f).cast("double").alias("v")) for i, f in enumerate(feats)])).alias("__x")) \
         .select("id", "__x.fi", "__x.v")
     n = df.count()  # one number: the bin layout depends on it
-    grids = grid_sizes(n, exponent)
+    finest, grids = grid_levels(n, exponent)
     pos = position(long, ["v", "id"], "pos", partition_by=["fi"])
-    wide = pos.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("fi", "pos"))).alias("pm"))
-    pairs = [(a, b) for a in range(len(feats)) for b in range(a + 1, len(feats))]
-    # the (pair, grid) parameter list is generated from two index sequences and
-    # small constant arrays, so the plan stays compact for any feature count
-    pa, pb = F.array(*[F.lit(a) for a, _ in pairs]), F.array(*[F.lit(b) for _, b in pairs])
-    gx, gy = F.array(*[F.lit(x) for x, _ in grids]), F.array(*[F.lit(y) for _, y in grids])
-    nn = F.lit(float(n))
-    per_pair = (wide.select("pm", F.explode(F.sequence(F.lit(0), F.lit(len(pairs) - 1))).alias("p"))
-                .select(pa[F.col("p")].alias("fa"), pb[F.col("p")].alias("fb"),
-                        F.col("pm")[pa[F.col("p")]].cast("double").alias("pa"),
-                        F.col("pm")[pb[F.col("p")]].cast("double").alias("pb")))
-    per_grid = (per_pair.select("fa", "fb", "pa", "pb",
-                                F.explode(F.sequence(F.lit(0), F.lit(len(grids) - 1))).alias("gi"))
-                .select("fa", "fb", gx[F.col("gi")].alias("bx"), gy[F.col("gi")].alias("by"), "pa", "pb"))
-    cells = (per_grid.select("fa", "fb", "bx", "by", _ntile_bin(F.col("pa"), nn, F.col("bx")).alias("ix"),
-                             _ntile_bin(F.col("pb"), nn, F.col("by")).alias("iy"))
-             .groupBy("fa", "fb", "bx", "by", "ix", "iy").agg(F.count(F.lit(1)).alias("cnt")))
-    g = ["fa", "fb", "bx", "by"]
+    bins = pos.select("id", "fi", F.floor(F.col("pos") * (1 << max(finest, 0)) / F.lit(max(n, 1))).cast("int").alias("b"))
+    wide = bins.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("fi", "b"))), lambda x: x["b"]).alias("bs"))
+    last = F.lit(len(feats) - 1)
+    pairs = (wide.select("bs", F.explode(F.sequence(F.lit(0), last - 1)).alias("fa"))
+             .select("bs", "fa", F.explode(F.sequence(F.col("fa") + 1, last)).alias("fb"))
+             .select("fa", "fb", F.col("bs")[F.col("fa")].alias("ix"), F.col("bs")[F.col("fb")].alias("iy")))
+    joint = pairs.groupBy("fa", "fb", "ix", "iy").agg(F.count(F.lit(1)).alias("cnt"))
+    levels = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in grids]) if grids else \
+        F.array().cast("array<struct<x:int,y:int>>")
+    cells = joint.select("*", F.explode(levels).alias("g")).select("fa", "fb", "g.x", "g.y", "ix", "iy", "cnt")
+    down = lambda b, level: F.floor(F.col(b) / F.pow(F.lit(2.0), F.lit(finest) - F.col(level))).cast("int").alias(b)
+    cells = (cells.select("fa", "fb", "x", "y", down("ix", "x"), down("iy", "y"), "cnt")
+             .groupBy("fa", "fb", "x", "y", "ix", "iy").agg(F.sum("cnt").alias("cnt")))
+    g, nn = ["fa", "fb", "x", "y"], F.lit(float(n))
     cells = cells.select("*", F.sum("cnt").over(Window.partitionBy(*g, "ix")).alias("cx"),
                          F.sum("cnt").over(Window.partitionBy(*g, "iy")).alias("cy"))
-    mi = cells.groupBy(*g).agg(F.sum(F.col("cnt") / nn * F.ln(F.col("cnt") * nn / (F.col("cx") * F.col("cy"))))
-                               .alias("mi"))
-    mic = mi.groupBy("fa", "fb").agg(F.max(F.col("mi") / F.ln(F.least("bx", "by"))).alias("mic"))
-    names = df.sparkSession.createDataFrame([(i, f) for i, f in enumerate(feats)], "i int, name string")
-    return (mic.join(F.broadcast(names.withColumnRenamed("i", "fa").withColumnRenamed("name", "feature_a")), "fa")
-               .join(F.broadcast(names.withColumnRenamed("i", "fb").withColumnRenamed("name", "feature_b")), "fb")
-               .select("feature_a", "feature_b", "mic"))
+    mi = cells.groupBy(*g).agg(F.sum(F.col("cnt") / nn * F.ln(F.col("cnt") * nn / (F.col("cx") * F.col("cy")))).alias("mi"))
+    mic = mi.groupBy("fa", "fb").agg(F.max(F.col("mi") / (F.least("x", "y") * F.ln(F.lit(2.0)))).alias("mic"))
+    name = F.array(*[F.lit(f) for f in feats])
+    return mic.select(name[F.col("fa")].alias("feature_a"), name[F.col("fb")].alias("feature_b"), "mic")
 
 
 def mrmr(pairs: DataFrame, label: str, n_select: int | None = None, beta: float = 1.0):

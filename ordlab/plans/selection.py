@@ -49,7 +49,7 @@ def q_f_score_percentile(spark, sf):
                     F.col("rank").cast("bigint"))
 
 
-N_DIMS = 8
+N_DIMS = 64  # all dimensions
 
 
 def emb_features(spark, sf):
@@ -60,24 +60,25 @@ def emb_features(spark, sf):
 SQL_PAIR_MIC = f"""
 with e as (select vec_id id, embedding from embeddings),
 l as (select id, g.f fi, cast(embedding[g.f] as double) v from e, (select unnest(generate_series(1, {N_DIMS})) f) g),
-n as (select count(*) n, cast(floor(pow(count(*), 6e-1)) as bigint) bmax from e),
-bb as (select b from (select unnest(generate_series(2, 1000)) b) s, n where b * 2 <= n.bmax),
-bins as (select l.id, l.fi, bb.b, ntile(bb.b) over (partition by l.fi, bb.b order by l.v, l.id) bin from l, bb),
-grids as (select x.b gx, y.b gy from bb x, bb y, n where x.b * y.b <= n.bmax),
-cells as (select x.fi fa, y.fi fb, g.gx, g.gy, x.bin ix, y.bin iy, count(*) c
-          from bins x join bins y on y.id = x.id and x.fi < y.fi join grids g on g.gx = x.b and g.gy = y.b
-          group by x.fi, y.fi, g.gx, g.gy, x.bin, y.bin),
+n as (select count(*) n, cast(floor(6e-1 * log2(count(*))) as integer) total from e),
+bins as (select id, fi, cast(floor((row_number() over (partition by fi order by v, id) - 1) * pow(2, n.total - 1) / n.n) as integer) b from l, n),
+joint as (select x.fi fa, y.fi fb, x.b ix, y.b iy, count(*) c from bins x join bins y on y.id = x.id and x.fi < y.fi
+          group by x.fi, y.fi, x.b, y.b),
+s as (select cast(unnest(generate_series(1, 60)) as integer) k),
+grids as (select x.k gx, y.k gy from s x, s y, n where x.k + y.k <= n.total),
+cells as (select fa, fb, gx, gy, ix >> (n.total - 1 - gx) ix, iy >> (n.total - 1 - gy) iy, sum(c) c from joint, grids, n
+          group by fa, fb, gx, gy, ix >> (n.total - 1 - gx), iy >> (n.total - 1 - gy)),
 m as (select *, sum(c) over (partition by fa, fb, gx, gy, ix) cx, sum(c) over (partition by fa, fb, gx, gy, iy) cy from cells),
 mi as (select fa, fb, gx, gy, sum(c / n.n * ln(c * n.n / (cx * cy))) mi from m, n group by fa, fb, gx, gy)
 select 'e' || cast(fa as varchar) feature_a, 'e' || cast(fb as varchar) feature_b,
-       round(max(mi / ln(least(gx, gy))), 6) mic, max(mi / ln(least(gx, gy))) > 1e-1 selected
+       round(max(mi / (least(gx, gy) * ln(2))), 6) mic, max(mi / (least(gx, gy) * ln(2))) > 1e-1 selected
 from mi group by fa, fb"""
 
 
 @query("pair_mi_grid", SQL_PAIR_MIC)
 def q_pair_mi_grid(spark, sf):
-    """Approximate MIC for every pair of the first eight embedding
-    dimensions, and the pairs above 0.10."""
+    """Approximate MIC for every pair of embedding dimensions, and the
+    pairs above 0.10."""
     e = emb_features(spark, sf)
     m = sel.pair_mic(e, "vec_id", [f"e{i + 1}" for i in range(N_DIMS)])
     return m.select("feature_a", "feature_b", round6("mic").alias("mic"), (F.col("mic") > 0.1).alias("selected"))
@@ -85,7 +86,7 @@ def q_pair_mi_grid(spark, sf):
 
 @query("mrmr_select")
 def q_mrmr_select(spark, sf):
-    """Z3: greedy mRMR over the MIC table of eight dimensions and the label."""
+    """Z3: greedy mRMR over the MIC table of all dimensions and the label."""
     e = emb_features(spark, sf)
     feats = [f"e{i + 1}" for i in range(N_DIMS)] + ["label"]
     pairs = sel.pair_mic(e, "vec_id", feats)

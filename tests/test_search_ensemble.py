@@ -121,17 +121,15 @@ def test_pair_mic_vs_numpy(spark):
                                "id long, a double, b double, c double")
     got = {(r["feature_a"], r["feature_b"]): r["mic"] for r in sel.pair_mic(df, "id", ["a", "b", "c"]).collect()}
 
-    def ntile(v, k):
-        order = np.lexsort((np.arange(n), v))
+    def equal_bins(v, k):
         pos = np.empty(n, int)
-        pos[order] = np.arange(n)
-        q, r = divmod(n, k)
-        return np.where(pos < r * (q + 1), pos // (q + 1), r + (pos - r * (q + 1)) // max(q, 1))
+        pos[np.lexsort((np.arange(n), v))] = np.arange(n)
+        return pos * k // n
 
     def mic(u, v):
         best = 0.0
-        for bx, by in sel.grid_sizes(n):
-            x, yy = ntile(u, bx), ntile(v, by)
+        for bx, by in [(2 ** x, 2 ** y) for x, y in sel.grid_levels(n)[1]]:
+            x, yy = equal_bins(u, bx), equal_bins(v, by)
             j = np.zeros((bx, by))
             np.add.at(j, (x, yy), 1)
             pj = j / n
