@@ -50,7 +50,9 @@ def test_coding_round_trip():
 
 def test_files_hold_every_document(spark, docs, rows, library):
     got = tokens.token_files(docs, PATH, with_ids=True).collect()
-    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    from pyspark.sql import functions as F
+    h = {r["t"]: r["h"] for r in docs.select(F.coalesce("text", F.lit("")).alias("t")).withColumn("h", F.xxhash64("t")).collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, h[r[1] or ""]))
     want, start = [], 0
     for r in ordered:
         ids = np.array(library.encode(r[1] or "", add_special_tokens=False).ids + [0], "<u4").tobytes()
