@@ -125,12 +125,14 @@ def likeness(a: Column, b: Column) -> Column:
 
 def ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text, pos, total): the place of each document by falling doc_id."""
-    src = narrow(docs, doc_id=id_col, text=F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).withColumn("h", F.xxhash64("text"))
-    keys = position(src.select("doc_id", "h"), [F.col("doc_id").desc_nulls_last(), F.col("h")], "pos")
-    keys = pin(keys, "fingerprint-order")
-    first = keys.groupBy(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).agg(F.min("pos").alias("first"))
-    equal = Window.partitionBy("doc_id", "h").orderBy(F.lit(0))  # rows equal in both
-    j = src.withColumn("k", F.row_number().over(equal)).join(first, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("h") == F.col("__h")))
+    # keys without nulls, so that the window and the join share one shuffle of the texts
+    src = narrow(docs, doc_id=id_col, text=F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    src = src.withColumns({"kid": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))), "h": F.xxhash64("text", F.col("doc_id").isNull())})
+    keys = position(src.select("doc_id", "kid", "h"), [F.col("doc_id").desc_nulls_last(), F.col("h")], "pos")
+    keys = pin(keys.select("kid", "h", "pos"), "fingerprint-order")
+    first = keys.groupBy("kid", "h").agg(F.min("pos").alias("first"))
+    equal = Window.partitionBy("kid", "h").orderBy(F.lit(0))  # rows equal in both
+    j = src.withColumn("k", F.row_number().over(equal)).join(first, ["kid", "h"])
     return j.select("doc_id", "text", (F.col("first") + F.col("k") - 1).alias("pos"), F.lit(keys.count()).alias("total"))
 
 
