@@ -14,7 +14,7 @@
 What the driver holds is bounded by the vocabulary and by the number of tasks.
 
 Null or empty text: only the end id.  Null doc_id: sorts first and is kept.
-Rows that repeat a doc_id follow each other in the order of their texts.  Very
+Rows that repeat a doc_id follow each other, equal texts together.  Very
 long texts: one block each, never cut.  An empty table gives no files and no
 rows.  Extra columns are ignored.
 """
@@ -191,7 +191,7 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col: s
 
     n = num_partitions or shuffle_partitions(docs.sparkSession)
     src = narrow(docs, doc_id=F.col(f"`{id_col}`").cast("bigint"), text=text_col)
-    src = src.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    src = src.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
     return pin(src.mapInArrow(run, "part int, idx bigint, doc_id bigint, ids binary"), "token-ids")
 
 
