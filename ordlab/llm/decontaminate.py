@@ -1,6 +1,6 @@
 """Benchmark decontamination by CGK embeddings and bit-sampling LSH (operator 9).
 
-Texts are sequences of words (white-space separated, A-Z lower-cased).  A
+Texts are sequences of words (lower-cased, white-space separated).  A
 document leaks an item if some stretch of it is within ``edits(len(item))`` word
 edits (insertions, deletions, substitutions) of the item.
 
@@ -34,6 +34,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,9 +73,13 @@ def grams(h: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
+def lower(col: pa.Array) -> pa.Array:
+    return pc.utf8_lower(col)
+
+
 def words(text: str | None) -> np.ndarray:
-    raw = np.frombuffer((text or "").encode(), np.uint8)
-    return kernels.word_hashes(raw, np.array([0, len(raw)]))[0]
+    buf, off = kernels.text_arrays(lower(pa.array([text], pa.string())))
+    return kernels.word_hashes(buf, off)[0]
 
 
 def samples(n: int, tables: int) -> np.ndarray:
@@ -214,7 +219,7 @@ class Items:
     def scan(self, col: pa.Array):
         """Yield (row, item id, distance, first word, end word) of a text column."""
         least = min((needed(len(w)) for _, w in self.items), default=1)
-        for i, buf, off in kernels.slices(col):
+        for i, buf, off in kernels.slices(lower(col)):
             h, doc = kernels.word_hashes(buf, off)
             maybe = np.zeros(len(h), bool)
             for q in self.grams:
