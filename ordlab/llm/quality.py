@@ -32,7 +32,7 @@ WIDTH, FILTERS, STRIDE = 8, 16, 2
 BLOCK, CHUNK, HOP = 64, 4, 2  # bytes, blocks, blocks
 TRAIN_ROWS = 3000
 THRESHOLD = 0.3
-EPOCHS, RATE, SEED = 6, 0.01, 11
+EPOCHS, STEPS, RATE, SEED = 6, 400, 0.01, 11  # at least EPOCHS passes and STEPS steps of 32 texts
 SLICE = 256 << 10
 
 
@@ -109,7 +109,7 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = S
     p["w0"] = f32(np.log(y.mean() / (1 - y.mean())))
     m1 = {k: np.zeros_like(v) for k, v in p.items()}
     m2 = {k: np.zeros_like(v) for k, v in p.items()}
-    step = 0
+    step, epochs = 0, max(epochs, -(-STEPS * 32 // len(texts)))
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(len(texts))
