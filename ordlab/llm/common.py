@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +46,41 @@ def write_bytes(folder: str, name: str, chunks) -> int:
     return n
 
 
+FILTER_BITS = 1 << 25  # 4 MB
+
+
+def bitmap(keys: DataFrame, col: str):
+    """Broadcast bitmap of ``FILTER_BITS`` bits of 64-bit keys.  Its size is
+    fixed: more keys let more rows pass, and an exact join always follows."""
+    schema = pa.schema([("bits", pa.binary())])
+
+    def run(batches):
+        bits = np.zeros(FILTER_BITS, bool)
+        for b in batches:
+            bits[b.column(0).to_numpy(zero_copy_only=False) & (FILTER_BITS - 1)] = True
+        yield batch(schema, [np.packbits(bits, bitorder="little").tobytes()])
+
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in keys.select(col).coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(r[0], np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(out)
+
+
+def hits(bits, keys):
+    """Which 64-bit keys (a numpy array) the bitmap lets pass."""
+    slot = keys.view("uint64") & (FILTER_BITS - 1)
+    return (bits.value[(slot >> 3).astype("int64")] >> (slot & 7).astype("uint8") & 1).astype(bool)
+
+
+def may_contain(bits):
+    """``hits`` as a column function."""
+    @F.pandas_udf("boolean")
+    def udf(key: pd.Series) -> pd.Series:
+        return pd.Series(hits(bits, key.to_numpy("int64")))
+
+    return udf
+
+
 def batch(schema: pa.Schema, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)
 

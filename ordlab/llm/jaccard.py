@@ -6,21 +6,23 @@ hashes.  Documents with equal sets are one node (told apart by 128 bits).
 
 1. A global order of tokens puts rare ones first, by counts over all documents
    in ``BUCKETS`` buckets; any order gives the same links.  Two sets that link
-   share a token among the first ``n - ceil(num * n / den) + 1`` of each.
-2. Nodes with no such token in common with another node are settled.  The texts
-   of the others are fetched once.
+   share ``SHARED`` tokens among the first ``n - ceil(num * n / den) + SHARED``
+   of each (fewer where the sets are that small).
+2. Tokens that no other node has among its first ones are settled.
 3. Similar nodes are partitioned into groups of about ``GROUP`` nodes: first by
    least hash, where each chunk also holds a few nodes common to all chunks of
    that hash.  Linked nodes inside a group become one class.
 4. The matrix holds, per group of one class, the union of its members' first
    tokens with the least and greatest set size.  A node queries the groups of
-   other classes that share a token and have fitting sizes.  There the overlap
+   other classes that share enough tokens and have fitting sizes.  There the overlap
    with the union of the group's whole sets bounds that with any member; only
    groups whose bound reaches the threshold are opened and compared exactly.
 5. Classes are joined by the links found.  Nodes of one class are never compared
    again, so a large group of near copies costs far less than all its pairs.
 
-Nothing is capped: groups and query blocks are split by size, never cut.
+Nothing is capped: groups and query blocks are split by size, never cut.  Each
+comparison fetches the texts that it needs once; a bitmap of fixed size keeps
+most others out of that shuffle.
 
 Null or empty text, or one without words: an empty set, linked with nothing.
 Null doc_id: kept; it is never a component_id unless all ids of the class are
@@ -37,12 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordlab.llm import kernels
-from ordlab.llm.common import batch, narrow, pin, shuffle_partitions
+from ordlab.llm.common import batch, bitmap, may_contain, narrow, pin, shuffle_partitions
 from ordlab.llm.graph import components
 
 U = np.uint64
 BUCKETS, PARTS = 1 << 20, 64
 GROUP, PIVOTS, QUERIES = 200, 8, 500
+SHARED = 3
 TOKEN = U((1 << 48) - 1)  # tokens of the matrix only point at candidates
 
 
@@ -91,11 +94,12 @@ def describe(src: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 rows = [[], [], [], [], []]
                 for s in kernels.shingle_sets(buf, off, k):
                     n = len(s)
-                    p = n - least_overlap(n, num, den) + 1 if n else 0
+                    least = least_overlap(n, num, den)
+                    p = n - least + min(SHARED, least)
                     order = np.lexsort((s, count[(s >> U(44)).astype(np.int64)]))[:p]
                     d = [kernels.mix(s + U(c)).sum(dtype=U).astype(np.int64) for c in (1, 2)]
-                    least = np.int64(kernels.mix(s).min().view(np.int64)) if n else 0
-                    for r, x in zip(rows, (n, *d, least, np.unique(s[order] & TOKEN).astype(np.int64))):
+                    low = np.int64(kernels.mix(s).min().view(np.int64)) if n else 0
+                    for r, x in zip(rows, (n, *d, low, (s[order] & TOKEN).astype(np.int64))):
                         r.append(x)
                 yield batch(schema, b.column(0).slice(i, len(off) - 1), b.column(1).slice(i, len(off) - 1), *rows)
 
@@ -209,6 +213,21 @@ def _chunk(size, per: int, salt: int):
     return F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(size / F.lit(per))).cast("bigint")
 
 
+def fetch(src: DataFrame, places: DataFrame) -> DataFrame:
+    """The rows of ``places`` (node, doc_id, tx, at) with their texts, one for
+    each entry (g, block, query) of ``at``.  Rows that repeat a document repeat
+    a node; comparing it twice does no harm."""
+    places = pin(places.withColumn("key", F.xxhash64("doc_id", "tx")), "jaccard-places")
+    some = src.filter(may_contain(bitmap(places, "key"))(F.xxhash64("doc_id", "tx")))
+    p = places.select("node", F.col("doc_id").alias("__d"), F.col("tx").alias("__t"), "at")
+    rows = some.join(p, some["doc_id"].eqNullSafe(F.col("__d")) & (some["tx"] == F.col("__t")))
+    return rows.select("node", "text", F.explode("at").alias("at")).select("at.g", "at.block", "at.query", "node", "text")
+
+
+def _place(g, block, query: int):
+    return F.struct(g.alias("g"), block.alias("block"), F.lit(query).alias("query"))
+
+
 def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tx, n_shingles, component_id, rep_id, rep_tx) of every document;
     (rep_id, rep_tx) tells the document that stands for its class."""
@@ -219,52 +238,45 @@ def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col:
     key = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "tx")
     nodes = sets.filter("n > 0").groupBy("d1", "d2").agg(F.min(key).alias("ex"), F.first("n").alias("n"), F.first("least").alias("least"))
     nodes = pin(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
-    ex = nodes.select("node", "n", "least", F.col("ex.doc_id").alias("__d"), F.col("ex.tx").alias("__t"))
-
-    # nodes that share a first token with another node
-    first = sets.select("doc_id", "tx", "first").filter(F.size("first") > 0)
-    post = first.join(ex, first["doc_id"].eqNullSafe(F.col("__d")) & (first["tx"] == F.col("__t"))).select("node", "n", "least", F.explode("first").alias("token"))
-    post = pin(post, "jaccard-postings")
-    shared = post.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("token")
-    post = pin(post.join(shared, "token", "left_semi"), "jaccard-shared")
-    active = post.groupBy("node").agg(F.first("n").alias("n"), F.first("least").alias("least"))
-    active = active.join(ex.select("node", "__d", "__t"), "node")
-    texts = src.join(active, src["doc_id"].eqNullSafe(F.col("__d")) & (src["tx"] == F.col("__t"))).select("node", "n", "least", "text")
-    texts = pin(texts, "jaccard-texts")  # repeated rows repeat a node; comparing it twice does no harm
+    ex = nodes.select("node", "n", "least", F.col("ex.doc_id").alias("doc_id"), F.col("ex.tx").alias("tx"))
+    place = ex.select("node", "doc_id", "tx")
 
     # inside groups of equal least hash
-    size = texts.groupBy("least").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    member = texts.join(size, "least")
+    size = ex.groupBy("least").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     chunks = F.ceil(F.col("size") / F.lit(GROUP)).cast("bigint")
     pivot = (chunks > 1) & (F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("size") / F.lit(PIVOTS))) == 0)
     at = F.when(pivot, F.sequence(F.lit(0).cast("bigint"), chunks - 1)).otherwise(F.array(_chunk(F.col("size"), GROUP, 1)))
-    rows = member.select(F.col("least").alias("g"), F.explode(at).alias("block"), F.lit(0).alias("query"), "node", "text")
-    inner = pin(compare(rows, k, num, den), "jaccard-inner")
+    member = ex.join(size, "least").select("node", "doc_id", "tx", F.transform(at, lambda b: _place(F.col("least"), b, 0)).alias("at"))
+    inner = pin(compare(fetch(src, member), k, num, den), "jaccard-inner")
     comp = pin(components(inner), "jaccard-classes")
-
-    # across groups
-    def with_class(df):
-        return df.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-
-    post = with_class(post.select("token", "node", "n"))
-    sizes = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    post = post.join(sizes, "comp", "left").withColumn("chunk", F.when(F.col("size") > GROUP, _chunk(F.col("size"), GROUP, 2)).otherwise(F.lit(0)))
-    post = pin(post.drop("size"), "jaccard-matrix")
+    sizes = pin(comp.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "jaccard-class-sizes")
+
+    # the matrix: first tokens that two classes share
+    first = sets.select(F.col("doc_id").alias("__d"), F.col("tx").alias("__t"), "first")
+    post = first.join(ex, ex["doc_id"].eqNullSafe(F.col("__d")) & (ex["tx"] == F.col("__t"))).join(comp, "node", "left")
+    post = post.withColumn("comp", F.coalesce("comp", "node")).join(sizes, "comp", "left")
+    chunk = F.when(F.col("size") > GROUP, _chunk(F.col("size"), GROUP, 2)).otherwise(F.lit(0).cast("bigint"))
+    post = pin(post.select("node", "n", "comp", chunk.alias("chunk"), F.explode("first").alias("token")), "jaccard-postings")
     cross = post.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("token")
-    post = post.join(cross, "token", "left_semi")
+    post = pin(post.join(cross, "token", "left_semi"), "jaccard-matrix")
     matrix = post.groupBy("token", F.col("comp").alias("g_comp"), F.col("chunk").alias("g_chunk")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     ask = post.select("token", "node", "n", "comp").join(matrix, "token").filter(
         (F.col("comp") < F.col("g_comp")) & (F.col("n") * den >= F.col("lo") * num) & (F.col("hi") * den >= F.col("n") * num))
-    ask = pin(ask.select("node", "g_comp", "g_chunk").distinct(), "jaccard-queries")
+    ask = ask.groupBy("node", "g_comp", "g_chunk").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.min("lo").alias("lo"))
+    floor = F.least(F.lit(SHARED), F.ceil(F.col("n") * num / F.lit(den)), F.ceil(F.col("lo") * num / F.lit(den)))
+    ask = pin(ask.filter(F.col("shared") >= floor).select("node", "g_comp", "g_chunk"), "jaccard-queries")
+
+    # queries and members of the groups asked, each text fetched once
     g = F.xxhash64("g_comp", "g_chunk")
-    groups = ask.groupBy("g_comp", "g_chunk").agg(F.count(F.lit(1)).alias("asked")).withColumn("blocks", F.ceil(F.col("asked") / F.lit(QUERIES)).cast("bigint"))
-    members = with_class(texts.select("node", "n", "text")).join(sizes, "comp", "left").select(
-        "node", "text", F.col("comp").alias("g_comp"), F.when(F.col("size") > GROUP, _chunk(F.col("size"), GROUP, 2)).otherwise(F.lit(0)).alias("g_chunk"))
-    members = members.join(groups, ["g_comp", "g_chunk"]).select(
-        g.alias("g"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("query"), "node", "text")
-    asking = ask.join(groups, ["g_comp", "g_chunk"]).join(texts.select("node", "text"), "node").select(
-        g.alias("g"), F.pmod(F.xxhash64("node", F.lit(4)), F.col("blocks")).cast("bigint").alias("block"), F.lit(1).alias("query"), "node", "text")
-    outer = pin(compare(members.unionByName(asking), k, num, den), "jaccard-outer")
+    groups = ask.groupBy("g_comp", "g_chunk").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERIES)).cast("bigint").alias("blocks"))
+    groups = pin(groups, "jaccard-groups")
+    asking = ask.join(groups, ["g_comp", "g_chunk"]).select("node", _place(g, F.pmod(F.xxhash64("node", F.lit(4)), F.col("blocks")), 1).alias("at"))
+    whole = ex.select("node").join(comp, "node", "left").withColumn("g_comp", F.coalesce("comp", "node")).drop("comp")
+    whole = whole.join(sizes.withColumnRenamed("comp", "g_comp"), "g_comp", "left").withColumn("g_chunk", chunk)
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
+    member = whole.join(groups, ["g_comp", "g_chunk"]).select("node", F.explode(F.transform(blocks, lambda b: _place(g, b, 0))).alias("at"))
+    wanted = asking.unionByName(member).groupBy("node").agg(F.collect_list("at").alias("at")).join(place, "node")
+    outer = pin(compare(fetch(src, wanted), k, num, den), "jaccard-outer")
     final = components(inner.unionByName(outer))
 
     # back to the documents

@@ -35,13 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordlab.llm import kernels
-from ordlab.llm.common import batch, narrow, pin, shuffle_partitions
+from ordlab.llm.common import batch, bitmap, hits, narrow, pin, shuffle_partitions
 
 U = np.uint64
 LENGTH, GRAM = 200, 64
 LOCAL = 4096
 SLICE = 512 << 10
-FILTER_BITS = 1 << 25  # 4 MB
 HIGH = U(0xFFFFFFFF00000000)
 
 
@@ -100,8 +99,7 @@ def suffixes(src: DataFrame, length: int, gram: int, only_anchor: bool, bits=Non
             for i, buf, off in kernels.slices(b.column(2), SLICE):
                 doc, a, n, at, anchor, seg = runs(buf, off, length, gram)
                 if bits is not None:
-                    slot = anchor & U(FILTER_BITS - 1)
-                    keep = np.flatnonzero(bits.value[(slot >> U(3)).astype(np.int64)] >> (slot & U(7)).astype(np.uint8) & 1)
+                    keep = np.flatnonzero(hits(bits, anchor))
                     doc, a, n, at, anchor, seg = doc[keep], a[keep], n[keep], at[keep], anchor[keep], seg[keep]
                 if only_anchor:
                     yield batch(schema, anchor.view(np.int64))
@@ -112,23 +110,6 @@ def suffixes(src: DataFrame, length: int, gram: int, only_anchor: bool, bits=Non
     return src.mapInArrow(run, ", ".join(f"{k} bigint" for k, _ in fields))
 
 
-def bitmap(anchors: DataFrame) -> np.ndarray:
-    """A bitmap of ``FILTER_BITS`` bits of the anchors; more of them let more
-    rows pass, and the join that follows decides."""
-    schema = pa.schema([("bits", pa.binary())])
-
-    def run(batches):
-        bits = np.zeros(FILTER_BITS, bool)
-        for b in batches:
-            bits[b.column(0).to_numpy(zero_copy_only=False) & (FILTER_BITS - 1)] = True
-        yield batch(schema, [np.packbits(bits, bitorder="little").tobytes()])
-
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in anchors.select("anchor").coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
-        out |= np.frombuffer(r[0], np.uint8)
-    return out
-
-
 def windows(ctx: list[bytes], n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(run, hash) of every window of every run."""
     size = np.array([len(x) for x in ctx])
@@ -237,8 +218,7 @@ def repeated_spans(src: DataFrame, length: int = LENGTH, gram: int = GRAM, local
     spark = src.sparkSession
     first = suffixes(src, length, gram, True)
     again = pin(first.groupBy("anchor").count().filter("count > 1").select("anchor"), "repeat-anchors")
-    bits = spark.sparkContext.broadcast(bitmap(again))  # FILTER_BITS bits
-    occ = pin(suffixes(src, length, gram, False, bits).join(again, "anchor", "left_semi"), "repeat-runs")
+    occ = pin(suffixes(src, length, gram, False, bitmap(again, "anchor")).join(again, "anchor", "left_semi"), "repeat-runs")
     var = occ.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "crc", "pos")).alias("ex"))
     var = pin(var, "repeat-variants")
     many = var.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants"))
