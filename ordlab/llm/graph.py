@@ -29,17 +29,20 @@ def _star(e: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether every node has one link to a lesser node, or only greater ones."""
+    ends = e.select(F.col("u").alias("n"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(
+        e.select(F.col("v").alias("n"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    n = ends.groupBy("n").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return n.filter("below > 1 OR (below > 0 AND above > 0)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) of every node that has a link; ``comp`` is the least node
     reachable.  ``links`` has bigint columns ``u`` and ``v``; loops and repeats
     do no harm."""
     e = materialize(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    seen = None
-    while True:
-        state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            break
-        seen = state
+    while not _stars(e):
         e = materialize(_star(_star(e, True), False), "links")
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())

@@ -12,9 +12,11 @@ hashes.  Documents with equal sets are one node (told apart by 128 bits).
 3. Similar nodes are partitioned into groups of about ``GROUP`` nodes: first by
    least hash, where each chunk also holds a few nodes common to all chunks of
    that hash.  Linked nodes inside a group become one class.
-4. The matrix holds, per group of one class, the union of its members' first
-   tokens with the least and greatest set size.  A node queries the groups of
-   other classes that share enough tokens and have fitting sizes.  There the overlap
+4. The groups of the matrix are the classes so far, and the remaining nodes by
+   the shared token that most nodes hold, in chunks of about ``GROUP``.  The
+   matrix holds the union of a group's first tokens with the least and greatest
+   set size.  A node queries the groups, but those of its own class, that share
+   enough tokens and have fitting sizes.  There the overlap
    with the union of the group's whole sets bounds that with any member; only
    groups whose bound reaches the threshold are opened and compared exactly.
 5. Classes are joined by the links found.  Nodes of one class are never compared
@@ -146,18 +148,26 @@ def link_members(nodes: np.ndarray, sets: list[np.ndarray], num: int, den: int):
 
 
 def link_queries(nodes: np.ndarray, sets: list[np.ndarray], queries: np.ndarray, asked: list[np.ndarray], num: int, den: int):
-    """Links of queries to members of one group of one class (one for each
-    query); only queries whose bound qualifies open the group."""
-    union = np.unique(np.concatenate(sets))
-    bound = np.array([np.isin(q, union, assume_unique=True).sum() for q in asked])
+    """Links that span the classes of queries and members of one group; only
+    queries whose bound qualifies open the group."""
+    union, again = np.unique(np.concatenate(sets), return_counts=True)
+    inside = np.isin(queries, nodes)  # a query's own tokens say nothing about other members
+    bound = np.array([np.isin(q, union[again > 1] if own else union, assume_unique=True).sum() for q, own in zip(asked, inside)])
     opened = np.flatnonzero([b >= least_overlap(len(q), num, den) for b, q in zip(bound, asked)])
     if not len(opened):
         return queries[:0], queries[:0]
-    part = [asked[i] for i in opened]
+    part, who = [asked[i] for i in opened], queries[opened]
     inter = overlaps(part + sets)[:len(part), len(part):]
     adj = linked(inter, np.array([len(s) for s in part]), np.array([len(s) for s in sets]), num, den)
-    hit = adj.any(1)
-    return queries[opened[hit]], nodes[adj[hit].argmax(1)]
+    adj |= who[:, None] == nodes[None, :]
+    far = np.int64((1 << 63) - 1)
+    ask, mem = who.copy(), nodes.copy()
+    while True:  # the least node that each can reach inside this group
+        new_ask = np.minimum(ask, np.where(adj, mem[None, :], far).min(1))
+        new_mem = np.minimum(mem, np.where(adj, new_ask[:, None], far).min(0))
+        if (new_ask == ask).all() and (new_mem == mem).all():
+            return np.concatenate([who, nodes]), np.concatenate([ask, mem])
+        ask, mem = new_ask, new_mem
 
 
 def compare(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -249,32 +259,36 @@ def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col:
     member = ex.join(size, "least").select("node", "doc_id", "tx", F.transform(at, lambda b: _place(F.col("least"), b, 0)).alias("at"))
     inner = pin(compare(fetch(src, member), k, num, den), "jaccard-inner")
     comp = pin(components(inner), "jaccard-classes")
-    sizes = pin(comp.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "jaccard-class-sizes")
 
-    # the matrix: first tokens that two classes share
+    # the matrix: first tokens that two classes share.  A node of a class of its own belongs to the
+    # group of the token, among its shared first ones, that most nodes hold
     first = sets.select(F.col("doc_id").alias("__d"), F.col("tx").alias("__t"), "first")
     post = first.join(ex, ex["doc_id"].eqNullSafe(F.col("__d")) & (ex["tx"] == F.col("__t"))).join(comp, "node", "left")
-    post = post.withColumn("comp", F.coalesce("comp", "node")).join(sizes, "comp", "left")
-    chunk = F.when(F.col("size") > GROUP, _chunk(F.col("size"), GROUP, 2)).otherwise(F.lit(0).cast("bigint"))
-    post = pin(post.select("node", "n", "comp", chunk.alias("chunk"), F.explode("first").alias("token")), "jaccard-postings")
-    cross = post.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("token")
-    post = pin(post.join(cross, "token", "left_semi"), "jaccard-matrix")
-    matrix = post.groupBy("token", F.col("comp").alias("g_comp"), F.col("chunk").alias("g_chunk")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    ask = post.select("token", "node", "n", "comp").join(matrix, "token").filter(
-        (F.col("comp") < F.col("g_comp")) & (F.col("n") * den >= F.col("lo") * num) & (F.col("hi") * den >= F.col("n") * num))
-    ask = ask.groupBy("node", "g_comp", "g_chunk").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.min("lo").alias("lo"))
+    post = pin(post.select("node", "n", F.coalesce("comp", "node").alias("comp"), F.col("comp").isNull().alias("single"), F.explode("first").alias("token")), "jaccard-postings")
+    cross = post.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("df")).filter("a <> b").select("token", "df")
+    post = pin(post.join(cross, "token"), "jaccard-shared")
+    label = post.groupBy("node").agg(F.max(F.struct("df", "token"))["token"].alias("token"), F.first("comp").alias("comp"), F.first("single").alias("single"))
+    label = pin(label.withColumn("label", F.when(F.col("single"), F.col("token")).otherwise(F.col("comp"))).select("node", "single", "label"), "jaccard-labels")
+    sizes = label.groupBy("single", "label").agg(F.count(F.lit(1)).alias("size"))
+    group = label.join(sizes, ["single", "label"]).select("node", F.xxhash64("single", "label", _chunk(F.col("size"), GROUP, 2)).alias("g"))
+    group = pin(group, "jaccard-group-of-node")
+    post = pin(post.drop("df").join(group, "node"), "jaccard-matrix")
+    matrix = post.groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("held"),
+                                            F.min(F.when(~F.col("single"), F.col("comp"))).alias("g_comp"))
+    matrix = matrix.withColumnRenamed("g", "to")
+    ask = post.select("token", "node", "n", "comp", "g").join(matrix, "token").filter(
+        ((F.col("g") < F.col("to")) & (F.col("g_comp").isNull() | (F.col("g_comp") != F.col("comp")))
+         | (F.col("g") == F.col("to")) & F.col("g_comp").isNull() & (F.col("held") > 1))
+        & (F.col("n") * den >= F.col("lo") * num) & (F.col("hi") * den >= F.col("n") * num))
+    ask = ask.groupBy("node", "to").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.min("lo").alias("lo"))
     floor = F.least(F.lit(SHARED), F.ceil(F.col("n") * num / F.lit(den)), F.ceil(F.col("lo") * num / F.lit(den)))
-    ask = pin(ask.filter(F.col("shared") >= floor).select("node", "g_comp", "g_chunk"), "jaccard-queries")
+    ask = pin(ask.filter(F.col("shared") >= floor).select("node", F.col("to").alias("g")), "jaccard-queries")
 
     # queries and members of the groups asked, each text fetched once
-    g = F.xxhash64("g_comp", "g_chunk")
-    groups = ask.groupBy("g_comp", "g_chunk").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERIES)).cast("bigint").alias("blocks"))
-    groups = pin(groups, "jaccard-groups")
-    asking = ask.join(groups, ["g_comp", "g_chunk"]).select("node", _place(g, F.pmod(F.xxhash64("node", F.lit(4)), F.col("blocks")), 1).alias("at"))
-    whole = ex.select("node").join(comp, "node", "left").withColumn("g_comp", F.coalesce("comp", "node")).drop("comp")
-    whole = whole.join(sizes.withColumnRenamed("comp", "g_comp"), "g_comp", "left").withColumn("g_chunk", chunk)
+    groups = pin(ask.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERIES)).cast("bigint").alias("blocks")), "jaccard-groups")
+    asking = ask.join(groups, "g").select("node", _place(F.col("g"), F.pmod(F.xxhash64("node", F.lit(4)), F.col("blocks")), 1).alias("at"))
     blocks = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
-    member = whole.join(groups, ["g_comp", "g_chunk"]).select("node", F.explode(F.transform(blocks, lambda b: _place(g, b, 0))).alias("at"))
+    member = group.join(groups, "g").select("node", F.explode(F.transform(blocks, lambda b: _place(F.col("g"), b, 0))).alias("at"))
     wanted = asking.unionByName(member).groupBy("node").agg(F.collect_list("at").alias("at")).join(place, "node")
     outer = pin(compare(fetch(src, wanted), k, num, den), "jaccard-outer")
     final = components(inner.unionByName(outer))
