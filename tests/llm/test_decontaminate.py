@@ -70,7 +70,9 @@ def test_whole_table_finds_every_exact_passage(spark):
     want = {(i, b["item_id"]) for b in bench.collect() for i, t in texts if " ".join(b["text"].lower().split()) in t}
     got = {(r["doc_id"], r["item_id"]) for r in dc.find_leaks(docs, bench).collect()}
     assert want and want <= got
-    verbatim = {(d["doc_id"], b["item_id"]) for b in bench.collect() for d in docs.collect() if b["text"] in d["text"]}
+    # whole words: an item whose last word runs on in the document is found at distance 1
+    verbatim = {(d["doc_id"], b["item_id"]) for b in bench.collect() for d in docs.collect()
+                if f" {' '.join(b['text'].split())} " in f" {' '.join(d['text'].split())} "}
     assert verbatim <= {(r["doc_id"], r["item_id"]) for r in dc.find_leaks(docs, bench).filter("distance = 0").collect()}
     kept = {r["doc_id"] for r in dc.drop_leaks(docs, bench).select("doc_id").collect()}
     assert kept == {i for i, _ in texts} - {r["doc_id"] for r in dc.find_leaks(docs, bench).collect()}
