@@ -80,6 +80,13 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from ordlab.llm import bpe
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def _sql():
     from ordlab.llm import mixing, warc
     SQL["op2_poisson_mix"] = mixing.SQL
