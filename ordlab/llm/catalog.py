@@ -87,6 +87,12 @@ def op11_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+@query
+def op12_frequency_split_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ordlab.llm import periodic
+    return periodic.summary(table(spark, sf_dir, "documents"))
+
+
 def _sql():
     from ordlab.llm import mixing, warc
     SQL["op2_poisson_mix"] = mixing.SQL
