@@ -93,6 +93,12 @@ def op12_frequency_split_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.summary(table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_auction_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ordlab.llm import conversations
+    return conversations.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
 def _sql():
     from ordlab.llm import mixing, warc
     SQL["op2_poisson_mix"] = mixing.SQL
