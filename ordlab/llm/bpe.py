@@ -23,9 +23,9 @@ doc_ids: a row each.  Empty table: no rows.  Extra columns are ignored.
 from __future__ import annotations
 
 import base64
-import heapq
 import zlib
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -38,8 +38,9 @@ from ordlab.llm.common import batch, narrow
 
 U = np.uint64
 LETTER, NUMBER, OTHER, SPACE = range(4)
-#: pieces whose ids a worker remembers (about 200 bytes each); results do not depend on it
-REMEMBERED = 1_000_000
+#: pieces whose ids a worker remembers (about 250 bytes each), once more if they were asked for
+#: since; results do not depend on it
+REMEMBERED = 150_000
 #: bytes of text looked at together
 WINDOW = 2 << 20
 
@@ -140,25 +141,23 @@ def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, siz
 def merge(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
     """Ids of one pre-token: parts are linked by their ends, a heap holds the
     pairs that form an entry.  A pair is out of date if its parts have changed."""
-    n = len(piece)
+    n, get = len(piece), ranks.get
     end, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i:i + 2])) is not None]
-    heapq.heapify(heap)
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(piece[i:i + 2])) is not None]
+    heapify(heap)
     while heap:
-        _, i, e = heapq.heappop(heap)
+        _, i, e = heappop(heap)
         j = end[i]
         if not 0 < j < n or end[j] != e:
             continue
         end[i], end[j] = e, 0
-        pairs = []
         if e < n:
-            before[e] = i
-            pairs.append((i, end[e]))
-        if before[i] >= 0:
-            pairs.append((before[i], e))
-        for a, b in pairs:
-            if b - a <= longest and (r := ranks.get(piece[a:b])) is not None:
-                heapq.heappush(heap, (r, a, b))
+            before[e], k = i, end[e]
+            if k - i <= longest and (r := get(piece[i:k])) is not None:
+                heappush(heap, (r, i, k))
+        k = before[i]
+        if k >= 0 and e - k <= longest and (r := get(piece[k:e])) is not None:
+            heappush(heap, (r, k, e))
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i:end[i]]])
@@ -180,17 +179,20 @@ class Bpe:
         self.hash = MinimalHash(keys)
         self.entry = np.empty(len(entries), np.int64)  # entry at each place of the hash
         self.entry[self.hash(keys)] = np.arange(len(entries))
-        self.remembered: dict[bytes, list[int]] = {}
+        self.young: dict[bytes, tuple[int, ...]] = {}
+        self.old: dict[bytes, tuple[int, ...]] = {}
 
-    def miss(self, piece: bytes) -> list[int]:
+    def miss(self, piece: bytes) -> tuple[int, ...]:
         """Ids of a pre-token that is no entry (second tier), remembered if short."""
-        ids = self.remembered.get(piece)
+        ids = self.young.get(piece)
         if ids is None:
-            ids = merge(piece, self.ranks, self.longest)
+            ids = self.old.get(piece)
+            if ids is None:
+                ids = tuple(merge(piece, self.ranks, self.longest))
             if len(piece) <= 64:
-                if len(self.remembered) >= REMEMBERED:
-                    self.remembered.clear()
-                self.remembered[piece] = ids
+                if len(self.young) >= REMEMBERED:
+                    self.young, self.old = {}, self.young
+                self.young[piece] = ids
         return ids
 
     def entries(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -224,10 +226,10 @@ class Bpe:
 
         def ids_of(i):  # of a piece that shares a hash with another one
             piece = raw[start[i]:start[i] + size[i]]
-            return [self.ranks[piece]] if piece in self.ranks else self.miss(piece)
+            return (self.ranks[piece],) if piece in self.ranks else self.miss(piece)
 
         known = entry >= 0
-        pool = [[int(x)] for x in self.ids[entry[known]]]
+        pool = [(x,) for x in self.ids[entry[known]].tolist()]
         order = np.empty(len(keys), np.int64)
         order[known] = np.arange(len(pool))
         order[~known] = np.arange(len(pool), len(keys))
@@ -319,7 +321,7 @@ def decode(tokens: DataFrame, vocab) -> DataFrame:
     def run(batches):
         bpe = _coder(vocab)
         for b in batches:
-            for i, buf, off in kernels.slices(b.column(1), 4 * WINDOW):
+            for i, buf, off in kernels.slices(b.column(1), WINDOW):
                 n = len(off) - 1
                 out = [bpe.decode(np.frombuffer(buf[x:y].tobytes(), "<u4")).tobytes() for x, y in zip(off[:-1], off[1:])]
                 yield batch(schema, b.column(0).slice(i, n), b.column(1).slice(i, n), out)
