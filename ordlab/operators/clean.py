@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ordlab.functions.scalar import c
 from ordlab.operators.frame import attach, match
+from ordlab.operators.orderstats import medians
 from ordlab.session import fitted
 
 
@@ -20,14 +21,11 @@ def fill_sentinel(df: DataFrame, cols, value=-1) -> DataFrame:
     return df.na.fill(value, list(cols))
 
 
-def _stat_fill(df: DataFrame, cols, stat, by=None, suffix: str = "") -> DataFrame:
+def _stat_fill(df: DataFrame, cols, stats, by=None, suffix: str = "") -> DataFrame:
+    """``stats(df, cols, by)`` gives a row of fill values per group."""
     by = list(by or [])
-    aggs = [stat(F.col(x)).alias(f"__f_{x}") for x in cols]
-    if by:
-        st = fitted(df.groupBy(*by).agg(*aggs), "fill")
-        j = match(df, st, by)
-    else:
-        j = attach(df, df.agg(*aggs))
+    st = stats(df, list(cols), by).withColumnsRenamed({x: f"__f_{x}" for x in cols})
+    j = match(df, fitted(st, "fill"), by) if by else attach(df, st)
     j = j.withColumns({f"{x}{suffix}": F.coalesce(F.col(x).cast("double"), F.col(f"__f_{x}")) for x in cols})
     return j.drop(*[f"__f_{x}" for x in cols])
 
@@ -35,12 +33,15 @@ def _stat_fill(df: DataFrame, cols, stat, by=None, suffix: str = "") -> DataFram
 def fill_mean(df: DataFrame, cols, by=None, suffix: str = "") -> DataFrame:
     """Null-skipping mean fill; ``by=['split']`` gives train and test
     each their own mean (C2), no ``by`` the whole-table imputer (C4)."""
-    return _stat_fill(df, cols, lambda x: F.avg(x.cast("double")), by, suffix)
+    def means(d, names, keys):
+        return d.groupBy(*keys).agg(*[F.avg(F.col(x).cast("double")).alias(x) for x in names])
+
+    return _stat_fill(df, cols, means, by, suffix)
 
 
 def fill_median(df: DataFrame, cols, by=None, suffix: str = "") -> DataFrame:
-    """Exact median of the non-null values (Q10)."""
-    return _stat_fill(df, cols, lambda x: F.median(x.cast("double")), by, suffix)
+    """Exact median of the non-null values (Q10), by refined histograms."""
+    return _stat_fill(df, cols, medians, by, suffix)
 
 
 def fill_mean_or_value(df: DataFrame, cols, strategy="mean", by=None) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordlab.functions.scalar import c, expected_class, half_away, trunc_int
-from ordlab.operators.rank import position
+from ordlab.operators.frame import attach, match
+from ordlab.operators.orderstats import keyed, rank_keys, spread
 from ordlab.session import fitted
 
 
@@ -15,40 +16,58 @@ def decode_cdf(df: DataFrame, score: str, id_col: str, cdf: DataFrame, by=None,
                cdf_col: str = "cdf", n_classes: int = 8, cdf_by=None) -> DataFrame:
     """Give the lowest-ranked ``cdf_1`` share class 1, the next share class 2, ...
 
-    Rows are ranked by ``(score, id)`` inside each ``by`` group with the
-    scalable ``position`` (no single-task window).  With ``strict`` the
-    reference's slice ends ``int(n*cdf_k - 1)`` are kept, so the row just below
+    A row's rank is its place by ``(score, id)`` inside its ``by`` group (ids that
+    are no whole numbers go by their hash).  Only the rows at the class boundaries are looked for
+    (``orderstats.rank_keys``), and each row is then compared with them: nothing is
+    sorted or written.  Rows of equal score and id get one class.  With ``strict``
+    the reference's slice ends ``int(n*cdf_k - 1)`` are kept, so the row just below
     each boundary stays in the last class (Q1); ``strict=False`` closes the gaps.
     ``cdf`` has columns ``cdf_by + [cls_col, cdf_col]`` (``cdf_by`` defaults to
-    ``by``) with ``n_classes`` rows per group; it is folded into one array per
-    group before the (broadcast) join.
+    ``by``) with ``n_classes`` rows per group.
     """
     by = list(by or [])
     cdf_by = list(by if cdf_by is None else cdf_by)
-    ranked = position(df, [score, id_col], "__r", partition_by=by or None, with_count="__n")
-    arr = (cdf.groupBy(*cdf_by)
-              .agg(F.array_sort(F.collect_list(F.struct(F.col(cls_col).alias("k"),
-                                                        F.col(cdf_col).cast("double").alias("f"))))
-                   .alias("__cdf")))
-    if cdf_by:
-        ranked = ranked.join(fitted(arr, "cdf"), cdf_by)
-    else:
-        ranked = ranked.withColumn("__cdf", arr.select("__cdf").scalar())
-    n = F.col("__n").cast("double")
-    r = F.col("__r")
+    rows = keyed(df, score, id_col)
+    shares = (cdf.groupBy(*cdf_by)
+                 .agg(F.array_sort(F.collect_list(F.struct(F.col(cls_col).alias("k"),
+                                                           F.col(cdf_col).cast("double").alias("f"))))
+                      .alias("__cdf")))
+    n = F.col("n").cast("double")
 
     def bounds(k):
         f = F.col("__cdf")[k - 1]["f"]
         pf = F.col("__cdf")[k - 2]["f"] if k > 1 else F.lit(0.0)
-        lo = F.lit(0) if k == 1 else F.floor(n * pf)
+        lo = F.lit(0).cast("bigint") if k == 1 else F.floor(n * pf)
         hi = F.floor(F.greatest(n * f - F.lit(1.0), F.lit(0.0))) if strict else F.floor(n * f)
         return lo, hi
 
-    expr: Column = F.lit(n_classes)
-    for k in range(n_classes - 1, 0, -1):
-        lo, hi = bounds(k)
-        expr = F.when((r >= lo) & (r < hi), F.lit(k)).otherwise(expr)
-    return ranked.withColumn(out, expr.cast("int")).drop("__r", "__n", "__cdf")
+    ends = [x for k in range(1, n_classes) for x in bounds(k)]
+
+    def class_at(r) -> Column:
+        out_ = F.lit(n_classes)
+        for k in range(n_classes - 1, 0, -1):
+            lo, hi = (F.col("__ends")[2 * k - 2 + j] for j in (0, 1))
+            out_ = F.when((r >= lo) & (r < hi), F.lit(k)).otherwise(out_)
+        return out_
+
+    def boundary_ranks(groups: DataFrame) -> DataFrame:
+        g = groups.join(shares, cdf_by) if cdf_by else attach(groups, shares)
+        return g.withColumn("__ends", F.array(*ends)).drop("__cdf")
+
+    sizes, at = rank_keys(rows.select(*by, "__v", "__i"), by, boundary_ranks)
+    at = at.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("v", "i", "rank"))).alias("__at"))
+    found = match(sizes, at, by) if by else attach(sizes, at)
+    # per group the keys of the boundary rows in order, and the class from each on (rank 0 is the first)
+    keys = [F.struct(F.get("__at", F.lit(j))["v"].alias("v"), F.get("__at", F.lit(j))["i"].alias("i")) for j in range(len(ends))]
+    found = found.select(*by, *[x[y].alias(f"__{y}{j}") for j, x in enumerate(keys) for y in "vi"],
+                         F.transform("__at", lambda x: class_at(x["rank"])).alias("__cls"))
+    both = spread(rows, fitted(found, "boundaries"), by)
+    passed = F.lit(-1)
+    for j in range(len(ends)):
+        v, i = F.col(f"__v{j}"), F.col(f"__i{j}")
+        passed = passed + F.when((F.col("__v") > v) | ((F.col("__v") == v) & (F.col("__i") >= i)), 1).otherwise(0)
+    both = both.withColumn(out, F.get("__cls", passed).cast("int"))
+    return both.select(*df.columns, *([] if out in df.columns else [out]))
 
 
 def decode_cut(score, cuts) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ordlab.functions.scalar import c
 from ordlab.operators.decode import decode_cdf
 from ordlab.operators.metrics import qwk
+from ordlab.session import materialize, shuffle_partitions
 
 
 def blend_weighted(preds: DataFrame, weights: DataFrame, key=("id",), model: str = "model",
@@ -82,9 +83,14 @@ def candidate_scores(preds: DataFrame, current: DataFrame | None, current_weight
     ``(run, id, blend)`` or None; ``cdf``: ``(run, cls, cdf)`` per run.
     Returns ``(model, weight, kappa_mean)``."""
     wt = F.explode(F.array(*[F.lit(float(x)) for x in weights])).alias("weight")
-    cand = preds.select("model", "run", "id", "prediction", "target", wt)
+    cand = preds.select("model", "run", "id", "prediction", "target")
     if current is not None:
-        cand = (cand.join(current, ["run", "id"])
+        # dealt by the join's keys and joined once; the decoder reads the rows of all weights from it several times
+        cand = cand.repartition(shuffle_partitions(preds.sparkSession), "run", "id")
+        cand = materialize(cand.join(current, ["run", "id"]), "candidates")
+    cand = cand.select("*", wt)
+    if current is not None:
+        cand = (cand
                 .withColumn("blend", (F.col("blend") * F.lit(current_weight) + F.col("weight") * F.col("prediction"))
                             / (F.lit(current_weight) + F.col("weight"))))
     else:
@@ -128,7 +134,6 @@ def greedy_selection(preds: DataFrame, cdf: DataFrame, weights=(0.25, 0.5, 1.0),
         cur = (cur.join(add, ["run", "id"])
                .select("run", "id", ((F.col("blend") * F.lit(total_w) + F.lit(w) * F.col("__p"))
                                      / F.lit(total_w + w)).alias("blend")))
-        from ordlab.session import materialize
         cur = materialize(cur, "ensemble")  # cut the growing lineage every round
         total_w += w
     return chosen

@@ -23,10 +23,13 @@ def _by(by):
     return list(by or [])
 
 
-def complete_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Rows that both raters rated; agreement is defined on these only, so a
-    group without any has no row in the result."""
-    return df.filter(c(a).isNotNull() & c(b).isNotNull())
+def _rated(a: str, b: str) -> tuple:
+    """The two ratings, null unless both raters rated the row: agreement is
+    defined on such rows only, and a group without any has no row in the result.
+    This is an expression and no filter, because a filter on a decoded class
+    would be moved below the decoder and copy it into every condition."""
+    both = c(a).isNotNull() & c(b).isNotNull()
+    return F.when(both, c(a)), F.when(both, c(b))
 
 
 def _keyed(df: DataFrame, by):
@@ -54,19 +57,21 @@ def qwk(df: DataFrame, a: str, b: str, by=None, out: str = "kappa") -> DataFrame
     algebraically the dense-matrix definition, computed in one pass.
     """
     by = _by(by)
-    a_, b_ = c(a).cast("double"), c(b).cast("double")
-    g = complete_pairs(df, a, b).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("__n"),
+    a_, b_ = (x.cast("double") for x in _rated(a, b))
+    g = df.groupBy(*by).agg(
+        F.count(a_).alias("__n"),
         F.sum((a_ - b_) * (a_ - b_)).alias("__o"),
         F.var_pop(a_).alias("__va"), F.var_pop(b_).alias("__vb"),
         F.avg(a_).alias("__ma"), F.avg(b_).alias("__mb"))
     e = F.col("__n") * (F.col("__va") + F.col("__vb") + (F.col("__ma") - F.col("__mb")) ** 2)
-    return g.select(*by, (F.lit(1.0) - safe_div("__o", e)).alias(out))
+    return (g.filter("__n > 0") if by else g).select(*by, (F.lit(1.0) - safe_div("__o", e)).alias(out))
 
 
 def _hist_pair(df: DataFrame, a: str, b: str, by):
-    ha = df.groupBy(*by, c(a).alias("v")).agg(F.count(F.lit(1)).alias("ca"))
-    hb = df.groupBy(*by, c(b).alias("v")).agg(F.count(F.lit(1)).alias("cb"))
+    """Counts of both raters' ratings; rows that only one rated count as 0 under a null rating."""
+    a_, b_ = _rated(a, b)
+    ha = df.groupBy(*by, a_.alias("v")).agg(F.count(a_).alias("ca"))
+    hb = df.groupBy(*by, b_.alias("v")).agg(F.count(b_).alias("cb"))
     return (ha.join(hb, by + ["v"], "full")
               .na.fill(0, ["ca", "cb"]))
 
@@ -76,7 +81,7 @@ def linear_kappa(df: DataFrame, a: str, b: str, by=None, out: str = "kappa") ->
 
     The expected term ``sum_ij ha_i hb_j |i-j|`` is computed from running sums
     of the b-histogram in rating order (no rating x rating pairs)."""
-    df, by, keep = _keyed(complete_pairs(df, a, b), by)
+    df, by, keep = _keyed(df, by)
     h = _hist_pair(df, a, b, by)
     word = Window.partitionBy(*by).orderBy("v")
     below = word.rowsBetween(Window.unboundedPreceding, -1)
@@ -91,18 +96,20 @@ def linear_kappa(df: DataFrame, a: str, b: str, by=None, out: str = "kappa") ->
     exp_part = F.col("ca") * (v * F.col("cb_lo") - F.col("sb_lo") + F.col("sb_hi") - v * F.col("cb_hi"))
     e = h.groupBy(*by).agg(F.sum(exp_part).alias("__e"), F.sum("ca").alias("__n"))
     o = df.groupBy(*by).agg(F.sum(F.abs(c(a) - c(b)).cast("double")).alias("__o"))
-    return _combine(o, e, by, keep).select(*keep, (F.lit(1.0) - safe_div("__o", F.col("__e") / F.col("__n")))
+    both = _combine(o, e, by, keep)
+    return (both.filter("__n > 0") if keep else both).select(*keep, (F.lit(1.0) - safe_div("__o", F.col("__e") / F.col("__n")))
                                            .alias(out))
 
 
 def cohen_kappa(df: DataFrame, a: str, b: str, by=None, out: str = "kappa") -> DataFrame:
     """M5: unweighted kappa; expected disagreement ``n - sum_v ha_v hb_v / n``."""
-    df, by, keep = _keyed(complete_pairs(df, a, b), by)
+    df, by, keep = _keyed(df, by)
     h = _hist_pair(df, a, b, by)
     e = h.groupBy(*by).agg(F.sum(F.col("ca") * F.col("cb")).alias("__m"), F.sum("ca").alias("__n"))
     o = df.groupBy(*by).agg(F.sum(F.when(c(a) != c(b), 1.0).otherwise(0.0)).alias("__o"))
     exp_ = F.col("__n") - F.col("__m") / F.col("__n")
-    return _combine(o, e, by, keep).select(*keep, (F.lit(1.0) - safe_div("__o", exp_)).alias(out))
+    both = _combine(o, e, by, keep)
+    return (both.filter("__n > 0") if keep else both).select(*keep, (F.lit(1.0) - safe_div("__o", exp_)).alias(out))
 
 
 def mean_kappa_z(df: DataFrame, kappa: str, weight: str | None = None, by=None,

@@ -115,7 +115,12 @@ models as (
 
 def model_preds(spark, sf):
     """Long predictions of four formula models on orders: ``(model, id, prediction)``."""
-    o = T(spark, sf, "orders")
+    o = _with_models(T(spark, sf, "orders"))
+    return o.select(F.col("o_orderkey").alias("id"), "target", "m.model", "m.prediction")
+
+
+def _with_models(o):
+    """Order rows, one per model, with the label and the model's prediction."""
     m = F.explode(F.array(
         F.struct(F.lit("m1").alias("model"), (F.col("o_totalprice") / 6.25e4).alias("prediction")),
         F.struct(F.lit("m2").alias("model"), (F.col("o_totalprice") / 6.25e4
@@ -124,8 +129,7 @@ def model_preds(spark, sf):
         F.struct(F.lit("m3").alias("model"), ((F.col("o_custkey") % 97) / 12.0).alias("prediction")),
         F.struct(F.lit("m4").alias("model"), (((F.col("o_custkey") % 8) + 1).cast("double")
                                               + 3.0 * F.sin("o_orderkey")).alias("prediction"))))
-    return o.select(F.col("o_orderkey").alias("id"), ((F.col("o_custkey") % 8) + 1).cast("int").alias("target"),
-                    m.alias("m")).select("id", "target", "m.model", "m.prediction")
+    return o.select("*", ((F.col("o_custkey") % 8) + 1).cast("int").alias("target"), m.alias("m"))
 
 
 @query("blend_weighted", f"""with {SQL_MODELS.strip()},
@@ -182,6 +186,40 @@ def q_cutpoint_search_grid(spark, sf):
     return k.select("cand", round6("kappa").alias("kappa"))
 
 
+# grid of the exact search over all cut triples; the value below it stands for an empty first class
+TRIPLE_GRID = [0.5 * j for j in range(1, 16)]
+SQL_LABEL4 = "cast(1 + least(greatest(floor(o_totalprice / 1.25e5 + ((o_custkey % 5) - 2) / 2.5e0), 0), 3) as integer)"
+SQL_CUTPOINT_TRIPLES = f"""with ob as (select o_totalprice / 6.25e4 score, {SQL_LABEL4} y from orders),
+g as (select unnest([-5e-1, {', '.join(f'{v}e0' for v in TRIPLE_GRID)}]) v),
+cd as (select a.v c1, b.v c2, c.v c3 from g a join g b on a.v <= b.v join g c on b.v <= c.v),
+iv as (select (select count(*) from g where g.v < score) b, y, count(*) n from ob group by all),
+d as (select c1, c2, c3, y, n, 1 + (gv >= c1)::int + (gv >= c2)::int + (gv >= c3)::int cls
+      from cd, (select iv.*, (select max(v) from (select v, row_number() over (order by v) r from g) where r = iv.b) gv from iv)),
+k as (select c1, c2, c3, sum(n) t, sum(n * (y - cls) * (y - cls)) o, sum(n * y) sa, sum(n * cls) sb,
+             sum(n * (y * y + cls * cls)) sq from d group by all),
+r as (select c1, c2, c3, 1 - o / nullif(sq - 2e0 * sa * sb / t, 0) kappa from k)
+select c1, c2, c3, round(kappa, 6) kappa from r order by kappa desc, c1, c2, c3 limit 1"""
+
+
+@query("cutpoint_exact_triples", SQL_CUTPOINT_TRIPLES)
+def q_cutpoint_exact_triples(spark, sf):
+    """The best three cuts of a grid by Dinkelbach's iteration, against
+    the score of every triple; the label follows the score with noise."""
+    o = T(spark, sf, "orders")
+    y = F.lit(1) + F.least(F.greatest(F.floor(F.col("o_totalprice") / 1.25e5 + ((F.col("o_custkey") % 5) - 2) / F.lit(2.5)), F.lit(0)), F.lit(3))
+    d = o.select((F.col("o_totalprice") / 6.25e4).alias("score"), y.cast("int").alias("y"))
+    b = cp.exact_cutpoints(d, "score", "y", n_classes=4, grid=TRIPLE_GRID)
+    pick = [F.max(F.when(F.col("k") == j, F.col("cut"))).alias(f"c{j}") for j in (1, 2, 3)]
+    return b.agg(*pick, F.max("kappa").alias("kappa")).select("c1", "c2", "c3", round6("kappa").alias("kappa"))
+
+
+@query("cutpoint_exact")
+def q_cutpoint_exact(spark, sf):
+    """The best seven cuts of the order score over all real cut vectors."""
+    o = orders_scored(spark, sf).select("score", "y")
+    return cp.exact_cutpoints(o, "score", "y")
+
+
 @query("cutpoint_search")
 def q_cutpoint_search(spark, sf):
     """Coordinate search of 7 cut points from the fixed start vector."""
@@ -193,9 +231,9 @@ def q_cutpoint_search(spark, sf):
 
 def ens_preds(spark, sf, runs: int = 3):
     """Long ``(model, run, id, prediction, target)`` on the test part of each run."""
-    p = model_preds(spark, sf)
-    f = holdout(p, "id", runs=runs, test_fraction=0.2)
-    return f.filter(F.col("role") == "test").drop("role")
+    f = holdout(T(spark, sf, "orders"), "o_orderkey", runs=runs, test_fraction=0.2)
+    f = _with_models(f.filter(F.col("role") == "test"))
+    return f.select(F.col("o_orderkey").alias("id"), "target", "m.model", "m.prediction", "run")
 
 
 def ens_cdf(spark, sf, runs: int = 3):

@@ -12,6 +12,7 @@ from ordlab.operators.profile import class_cdf
 from ordlab.operators.split import holdout
 from ordlab.plans.catalog import query
 from ordlab.plans.standins import SQL_SPLIT_KEY, orders_scored
+from ordlab.session import materialize
 
 RUNS = 6
 TEST_FRACTION = 0.2
@@ -51,7 +52,8 @@ def formula_holdout_kappa(spark, sf, runs: int = RUNS, test_fraction: float = TE
     d = expression_scores(d, {"score": "o_totalprice / 6.25e4 + 2.5e-1 * prio_code"})
     folds = holdout(d.select("id", "y", "score"), "id", runs=runs, test_fraction=test_fraction)
     cdf = class_cdf(folds.filter(F.col("role") == "train"), "y", by=["run"])
-    test = folds.filter(F.col("role") == "test")
+    # the stored holdout rows: the decoder and the count read them instead of hashing every id again
+    test = materialize(folds.filter(F.col("role") == "test").select("run", "id", "y", "score"), "holdout")
     dec = decode_cdf(test, "score", "id", cdf, by=["run"], out="cls")
     k = qwk(dec, "y", "cls", by=["run"])
     n = test.groupBy("run").agg(F.count(F.lit(1)).alias("n_test"))
