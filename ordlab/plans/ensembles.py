@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ordlab.functions.scalar import round6
+from ordlab.operators import bagging as bg
 from ordlab.operators import cutpoints as cp
 from ordlab.operators import decode as dc
 from ordlab.operators import ensemble as en
@@ -290,6 +291,49 @@ def q_ensemble_greedy(spark, sf):
     return spark.createDataFrame(chosen, "round int, model string, weight double, kappa_mean double")
 
 
+# members and first models of two bags
+BAGS = {0: (["m1", "m2", "m3"], ["m1"]), 1: (["m2", "m4"], ["m4", "m2"])}
+BAG_WEIGHTS = [-0.25, 0.25, 0.5, 1.0]
+SQL_BAGGED_ROUND = SQL_ENS_BASE + f""",
+mem as (select * from (values {", ".join(f"({b}, '{m}')" for b, (ms, _) in BAGS.items() for m in ms)}) t(bag, model)),
+st as (select * from (values {", ".join(f"({b}, '{m}')" for b, (_, ms) in BAGS.items() for m in ms)}) t(bag, model)),
+cur as (select st.bag, run, id, avg(prediction) blend from tp join st using (model) group by all),
+wt as (select unnest([{", ".join(f"{w!r}e0" for w in BAG_WEIGHTS)}]) weight),
+cand as (select cur.bag, tp.model, wt.weight, tp.run, tp.id, tp.target, (cur.blend + wt.weight * tp.prediction) / (1e0 + wt.weight) blend
+         from tp join mem on mem.model = tp.model join cur on cur.bag = mem.bag and cur.run = tp.run and cur.id = tp.id, wt),
+r as (select *, row_number() over (partition by bag, model, weight, run order by blend, id) - 1 r,
+             count(*) over (partition by bag, model, weight, run) n from cand),
+dec as (select r.bag, r.model, r.weight, r.run, r.target, coalesce(g.cls, 8) cls from r left join g
+        on g.run = r.run and g.cls < 8 and r.r >= (case when g.cls = 1 then 0 else floor(r.n * g.pf) end)
+        and r.r < floor(greatest(r.n * g.f - 1, 0e0))),
+k as (select bag, model, weight, run, 1 - sum((target - cls) * (target - cls))
+        / nullif(count(*) * (var_pop(target) + var_pop(cls) + (avg(target) - avg(cls)) ^ 2), 0) kappa from dec group by all)
+select cast(bag as integer) bag, model, round(weight, 6) weight, round(avg(kappa), 6) kappa_mean from k group by all"""
+
+
+@query("bagged_round", SQL_BAGGED_ROUND)
+def q_bagged_round(spark, sf):
+    """One round of two bags in one job, weights as shares of the blend's weight."""
+    preds = ens_preds(spark, sf)
+    members = spark.createDataFrame([(b, m) for b, (ms, _) in BAGS.items() for m in ms], "bag int, model string")
+    blend = bg.start_blends(preds, [st for _, st in BAGS.values()])
+    s = bg.bag_candidate_scores(preds, members, blend, BAG_WEIGHTS, ens_cdf(spark, sf))
+    return s.select("bag", "model", round6("weight").alias("weight"), round6("kappa_mean").alias("kappa_mean"))
+
+
+@query("library_ensemble")
+def q_library_ensemble(spark, sf):
+    """Trial log -> best trials per family -> bagged selection -> all orders, by CDF and by cut-offs."""
+    name = F.concat(F.lit("f"), F.substring("model", 2, 1).cast("int") % 2, F.lit("@"), F.substring("model", 2, 1))
+    preds = ens_preds(spark, sf).withColumn("model", name)
+    trials = preds.groupBy("model").agg(F.corr("prediction", "target").alias("kappa_mean")).select(
+        F.split("model", "@")[0].alias("family"), F.split("model", "@")[1].cast("int").alias("trial"), "kappa_mean")
+    cdf = ens_cdf(spark, sf)
+    out, _ = bg.library_ensemble(trials, preds, model_preds(spark, sf).withColumn("model", name), cdf, mean_cdf_pdf(cdf, over="run"),
+                                 per_family=2, bags=2, init_top_k=1, weights=ENS_WEIGHTS)
+    return out.select("id", round6("blend").alias("blend"), "cls_cdf", "cls_cut")
+
+
 # fixed ensemble applied by ``ensemble_apply``
 CHOSEN = {"m2": 1.0, "m4": 0.5, "m1": 0.25}
 
