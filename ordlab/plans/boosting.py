@@ -75,6 +75,25 @@ def q_boost_softkappa(spark, sf):
     return spark.createDataFrame([(m, r, round(k, 6)) for m, r, k in rows], "model string, rounds int, kappa double")
 
 
+#: parameters that the proposer searches for a tree on the explained label
+TREE_SPACE = {"maxDepth": ("quniform", 1, 9, 1), "minInstancesPerNode": ("loguniform", 1.0, 300.0), "minInfoGain": ("uniform", 0.0, 0.5)}
+
+
+@query("param_proposer_log")
+def q_param_proposer_log(spark, sf):
+    """16 trials proposed in batches of four from the log so far, cross-validated by kappa."""
+    from pyspark.ml.regression import DecisionTreeRegressor
+    from ordlab.operators import propose as pr
+    from ordlab.operators.models import KappaEvaluator
+    d = explained(spark, sf).filter(~F.col("test"))
+    est = DecisionTreeRegressor(labelCol="y", featuresCol="features", seed=1)
+    log = pr.search(pr.cv_evaluator(d, FEATURES, "p_partkey", est, KappaEvaluator(labelCol="y", cuts=[k + 0.5 for k in range(1, 8)])),
+                    TREE_SPACE, trials=16, batch=4, start=8)
+    best = max(t["kappa_mean"] for t in log)
+    rows = [(t["trial"], *[float(t[k]) for k in TREE_SPACE], t["kappa_mean"], t["kappa_std"], t["kappa_mean"] == best) for t in log]
+    return spark.createDataFrame(rows, "trial int, " + ", ".join(f"{k} double" for k in TREE_SPACE) + ", kappa_mean double, kappa_std double, best boolean")
+
+
 def _sql_hook(value: str) -> str:
     """Kappa of ``value`` decoded by the class CDF of the same rows."""
     return f"""v as (select id, y, {value} s from ps),
