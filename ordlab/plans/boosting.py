@@ -75,6 +75,32 @@ def q_boost_softkappa(spark, sf):
     return spark.createDataFrame([(m, r, round(k, 6)) for m, r, k in rows], "model string, rounds int, kappa double")
 
 
+SQL_PAIR_GRADIENT = f"""with p as (select p_partkey id, y, f_size / 1e1 + f_price / 1e3 s from ({SQL_EXPLAINED})),
+g as (select a.id i, b.id j, -2e0 * greatest(1e0 - (a.s - b.s), 0e0) g from p a join p b on a.y > b.y)
+select id, round(coalesce(gi, 0e0) - coalesce(gj, 0e0), 6) grad from p
+left join (select i, sum(g) gi from g group by i) on i = id left join (select j, sum(g) gj from g group by j) on j = id"""
+
+
+@query("pair_gradient", SQL_PAIR_GRADIENT)
+def q_pair_gradient(spark, sf):
+    """The squared-hinge gradient over all pairs of parts, without forming a pair."""
+    from ordlab.operators.ranking import pair_gradient
+    d = explained(spark, sf).withColumn("s", F.col("f_size") / 10 + F.col("f_price") / 1e3)
+    return pair_gradient(d, "p_partkey", "y", "s").select("id", round6("grad").alias("grad"))
+
+
+@query("pairwise_all")
+def q_pairwise_all(spark, sf):
+    """A linear score trained on all pairs; share of test rows above class 4 ranked above the others."""
+    from ordlab.operators.metrics import auc
+    from ordlab.operators.models import linear_score
+    from ordlab.operators.ranking import pairwise_fit
+    d = explained(spark, sf)
+    w = pairwise_fit(d.filter(~F.col("test")), FEATURES, "y", "p_partkey", iters=6)
+    s = d.filter(F.col("test")).select("p_partkey", (F.col("y") > 4).cast("int").alias("hi"), linear_score(w, FEATURES).alias("score"))
+    return auc(s, "hi", "score", "p_partkey").select(F.lit("pairwise_all").alias("model"), round6("auc").alias("auc_high_classes"))
+
+
 #: parameters that the proposer searches for a tree on the explained label
 TREE_SPACE = {"maxDepth": ("quniform", 1, 9, 1), "minInstancesPerNode": ("loguniform", 1.0, 300.0), "minInfoGain": ("uniform", 0.0, 0.5)}
 

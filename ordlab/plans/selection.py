@@ -49,17 +49,16 @@ def q_f_score_percentile(spark, sf):
                     F.col("rank").cast("bigint"))
 
 
-N_DIMS = 64  # all dimensions
-
-
 def emb_features(spark, sf):
+    """Embeddings with a column per dimension, as many as the table has."""
     e = T(spark, sf, "embeddings")
-    return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i + 1}") for i in range(N_DIMS)])
+    dims = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return e.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i + 1}") for i in range(dims)])
 
 
-SQL_PAIR_MIC = f"""
+SQL_PAIR_MIC = """
 with e as (select vec_id id, embedding from embeddings),
-l as (select id, g.f fi, cast(embedding[g.f] as double) v from e, (select unnest(generate_series(1, {N_DIMS})) f) g),
+l as (select id, g.f fi, cast(embedding[g.f] as double) v from e, (select unnest(generate_series(1, (select max(len(embedding)) from embeddings))) f) g),
 n as (select count(*) n, cast(floor(6e-1 * log2(count(*))) as integer) total from e),
 bins as (select id, fi, cast(floor((row_number() over (partition by fi order by v, id) - 1) * pow(2, n.total - 1) / n.n) as integer) b from l, n),
 joint as (select x.fi fa, y.fi fb, x.b ix, y.b iy, count(*) c from bins x join bins y on y.id = x.id and x.fi < y.fi
@@ -80,15 +79,26 @@ def q_pair_mi_grid(spark, sf):
     """Approximate MIC for every pair of embedding dimensions, and the
     pairs above 0.10."""
     e = emb_features(spark, sf)
-    m = sel.pair_mic(e, "vec_id", [f"e{i + 1}" for i in range(N_DIMS)])
+    m = sel.pair_mic(e, "vec_id", [x for x in e.columns if x not in ("vec_id", "label")])
     return m.select("feature_a", "feature_b", round6("mic").alias("mic"), (F.col("mic") > 0.1).alias("selected"))
 
 
+@query("pair_mic_search")
+def q_pair_mic_search(spark, sf):
+    """MIC with a partition search for every pair of embedding dimensions, beside the dyadic value."""
+    e = emb_features(spark, sf)
+    names = [x for x in e.columns if x not in ("vec_id", "label")]
+    fine = sel.pair_mic_search(e, "vec_id", names)
+    coarse = sel.pair_mic(e, "vec_id", names).withColumnRenamed("mic", "mic_dyadic")
+    return fine.join(coarse, ["feature_a", "feature_b"]).select("feature_a", "feature_b", round6("mic").alias("mic"),
+                                                               round6("mic_dyadic").alias("mic_dyadic"))
+
+
 @query("mrmr_select")
 def q_mrmr_select(spark, sf):
     """Z3: greedy mRMR over the MIC table of all dimensions and the label."""
     e = emb_features(spark, sf)
-    feats = [f"e{i + 1}" for i in range(N_DIMS)] + ["label"]
+    feats = [x for x in e.columns if x not in ("vec_id", "label")] + ["label"]
     pairs = sel.pair_mic(e, "vec_id", feats)
     picks = sel.mrmr(pairs, "label")
     return spark.createDataFrame(picks, "step int, feature string, gain double")
