@@ -10,7 +10,7 @@ from ordlab.operators import hooks as hk
 from ordlab.operators import models as md
 from ordlab.operators.metrics import qwk
 from ordlab.operators.profile import class_cdf
-from ordlab.operators.split import split_key
+from ordlab.operators.split import fold_table, split_key
 from ordlab.plans.catalog import T, query
 from ordlab.plans.standins import SQL_PART_SCORES, SQL_SPLIT_KEY, part_scores
 
@@ -101,6 +101,38 @@ def q_pairwise_all(spark, sf):
     return auc(s, "hi", "score", "p_partkey").select(F.lit("pairwise_all").alias("model"), round6("auc").alias("auc_high_classes"))
 
 
+SQL_GRAM = f"""with p as ({SQL_EXPLAINED}),
+f as (select r.run, p.* from p, (select cast(unnest(generate_series(1, 3)) as integer) run) r
+      where {SQL_SPLIT_KEY.format(run='r.run', id='p_partkey')} >= 2000),
+x as (select run, 'f_brand' feature, f_size a, f_brand b, y from f union all select run, 'f_price', f_size, f_price, y from f),
+m as (select run, feature, avg(a) ma, avg(b) mb, avg(y) my, var_pop(a) aa, var_pop(b) bb, covar_pop(a, b) ab, covar_pop(a, y) ay,
+             covar_pop(b, y) by_ from x group by all),
+c as (select *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) wa, (by_ * aa - ay * ab) / (aa * bb - ab * ab) wb from m)
+select run, feature, round(my - wa * ma - wb * mb, 6) intercept, round(wa, 6) w_base, round(wb, 6) w_candidate from c"""
+
+
+@query("add_one_gram", SQL_GRAM)
+def q_add_one_gram(spark, sf):
+    """Base feature plus one candidate, fitted for three runs from one aggregate."""
+    from ordlab.operators import tune
+    d = explained(spark, sf)
+    folds = fold_table(d.select(F.col("p_partkey").alias("id")), "id", runs=3)
+    feats = ["f_size", "f_brand", "f_price"]
+    fits = tune.add_one_fits(tune.gram_table(d, folds, feats, "y", "p_partkey"), feats, ["f_size"], feats[1:])
+    return spark.createDataFrame([(r, x, round(i, 6), round(w["f_size"], 6), round(w[x], 6)) for r, x, i, w in fits],
+                                 "run int, feature string, intercept double, w_base double, w_candidate double")
+
+
+@query("forward_linear_test")
+def q_forward_linear_test(spark, sf):
+    """Kappa of each added feature over three runs from one aggregate and one scoring job."""
+    from ordlab.operators import tune
+    d = explained(spark, sf)
+    folds = fold_table(d.select(F.col("p_partkey").alias("id")), "id", runs=3)
+    k = tune.forward_linear_test(d, folds, ["f_size"], FEATURES[1:], "y", "p_partkey", [j + 0.5 for j in range(1, 8)])
+    return k.select("feature", round6("kappa_mean").alias("kappa_mean"), round6("kappa_std").alias("kappa_std"))
+
+
 #: parameters that the proposer searches for a tree on the explained label
 TREE_SPACE = {"maxDepth": ("quniform", 1, 9, 1), "minInstancesPerNode": ("loguniform", 1.0, 300.0), "minInfoGain": ("uniform", 0.0, 0.5)}
 

@@ -104,3 +104,32 @@ def q_ftrl_stream(spark, sf):
     root = os.path.join(checkpoint_dir(spark), f"ordlab-stream-{uuid.uuid4().hex}")
     st = run_stream(spark, src, emb_long, prm, batch_size=100, root=root)
     return st.select("feature", round6("w").alias("w"))
+
+
+SQL_FTRL_MULTICLASS = f"""with {SQL_PART_LONG.strip()},
+c as (select cast(unnest(generate_series(1, 4)) as integer) cls),
+y as (select p_partkey id, p_size % 4 + 1 y, 1e0 + p_partkey % 3 w from part),
+s0 as (select l.feature, c.cls, sum(y.w * (5e-1 - (y.y = c.cls)::int) * l.value) g from l join y on y.id = l.id, c group by all),
+s1 as (select feature, cls, g z, g * g n,
+         case when abs(g) <= 1e0 then 0e0 else (sign(g) - g) / ((1e0 + abs(g)) / 1e-1 + 1e0) end w from s0),
+m as (select l.id, s1.cls, sum(s1.w * l.value) m from l join s1 on s1.feature = l.feature group by all),
+d as (select m.id, m.cls, y.w * (1e0 / (1e0 + exp(-greatest(-35e0, least(35e0, m.m)))) - (y.y = m.cls)::int) d from m join y on y.id = m.id),
+g as (select l.feature, d.cls, sum(d.d * l.value) g from l join d on d.id = l.id group by all),
+u as (select feature, cls, z + g - (sqrt(n + g * g) - sqrt(n)) / 1e-1 * w z, n + g * g n from s1 join g using (feature, cls))
+select feature, cls, round(z, 6) z, round(n, 6) n,
+  round(case when abs(z) <= 1e0 then 0e0 else (sign(z) - z) / ((1e0 + sqrt(n)) / 1e-1 + 1e0) end, 6) w from u"""
+
+
+@query("ftrl_multiclass", SQL_FTRL_MULTICLASS)
+def q_ftrl_multiclass(spark, sf):
+    """Two weighted steps of four classes over all parts, state keyed (feature, class)."""
+    from ordlab.operators import ftrl_multi as fm
+    long = part_long(spark, sf)
+    labels = T(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 4 + 1).alias("y"),
+                                         (F.lit(1.0) + F.col("p_partkey") % 3).alias("weight"))
+    classes, prm = [1, 2, 3, 4], ftrl.FtrlParams(**PRM)
+    st = fm.zero_state(long, classes)
+    for _ in range(2):
+        st = fm.step(long, labels, st, prm, classes, "weight")
+    rows = st.select("feature", F.posexplode(F.arrays_zip("z", "n", "w")).alias("j", "x"))
+    return rows.select("feature", (F.col("j") + 1).alias("cls"), *[round6(f"x.{x}").alias(x) for x in "znw"])
