@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from ordlab.llm import kernels
 from ordlab.llm.common import batch, narrow
+from ordlab.llm.kernels import spans
 
 U = np.uint64
 LETTER, NUMBER, OTHER, SPACE = range(4)
@@ -126,11 +127,6 @@ class MinimalHash:
         return out
 
 
-def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Places of all bytes of the spans, one after another."""
-    return np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)
-
-
 def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether ``a[at:at+size]`` equals ``b[bt:bt+size]``, for each of the spans (of one byte or more)."""
     if not len(size):

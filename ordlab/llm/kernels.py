@@ -79,6 +79,42 @@ def span_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((c[end] - c[start]) * inv[start])
 
 
+#: two primes below 2**31 with a random base and random byte values each: unlike a
+#: polynomial modulo 2**64, no structured text (such as a Thue-Morse word) collides with another
+_PRIMES = (2147483647, 2147483629)
+_BASES = [int(_rng.integers(1 << 20, p - 1)) for p in _PRIMES]
+_VALUES = [_rng.integers(1, p, 256, dtype=np.uint64) for p in _PRIMES]
+_place = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_of(j: int, n: int) -> np.ndarray:
+    """``base**i`` modulo the prime for ``i < n`` (grown on demand, by doubling)."""
+    a, p = _place[j], _PRIMES[j]
+    while len(a) < n:
+        a = np.concatenate((a, a * U(pow(_BASES[j], len(a), p)) % U(p)))
+    _place[j] = a
+    return a
+
+
+def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of all bytes of the spans, one after another."""
+    return np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)
+
+
+def byte_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """62-bit hash of the bytes of each span (none is empty), independent of where they stand."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = end - start
+    at, first = spans(start, size), np.cumsum(size) - size
+    place, most = at - np.repeat(start, size), int(size.max())
+    out = []
+    for j, p in enumerate(_PRIMES):
+        x = _VALUES[j][buf[at]] * _powers_of(j, most)[place] % U(p)
+        out.append(np.add.reduceat(x, first) % U(p))
+    return mix(mix(out[0] << U(31) | out[1]) + size.astype(np.uint64))
+
+
 def sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
     """Leftmost position of the minimum in every window of ``w`` values."""
     n = len(h) - w + 1
@@ -107,8 +143,7 @@ def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     word = ~gap
     start = np.flatnonzero(word & (np.concatenate(([True], gap[:-1])) | edge[:-1])) if len(low) else np.zeros(0, np.int64)
     end = np.flatnonzero(word & (np.concatenate((gap[1:], [True])) | edge[1:])) + 1 if len(low) else start
-    h = span_hash(prefix_hash(low), start, end) if len(start) else np.zeros(0, np.uint64)
-    return h, np.searchsorted(off, start, "right") - 1
+    return byte_hash(low, start, end), np.searchsorted(off, start, "right") - 1
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int):

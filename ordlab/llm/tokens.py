@@ -4,7 +4,9 @@
    texts with the tokenizers library.  Byte-level BPE never merges across
    pre-tokens, so a text is cut where a pre-token starts whatever surrounds it,
    the library encodes each distinct piece once per worker, and the ids of a
-   text are those of its pieces.  The ids are written once to the shared folder.
+   text are those of its pieces.  A text that holds one of the vocabulary's added
+   tokens, and every text if the tokenizer is not the plain byte-level one, goes
+   to the library whole.  The ids are written once to the shared folder.
 2. Token counts over all documents give each id its frequency rank.
 3. Each writer task stores the ranks of the runs of documents that it reads: a
    control byte holds the byte lengths (1 to 4) of four ranks, the rank bytes
@@ -21,6 +23,7 @@ rows.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -45,17 +48,22 @@ HEAD = struct.Struct("<4sIQQQ")  # magic, documents, tokens, control bytes, data
 class PieceEncoder:
     """Ids of texts by way of their distinct pieces; see the module text.
 
-    Pieces are told apart by length and a 64-bit hash.  Known ones stand in two
+    Pieces are told apart by a 62-bit hash with two prime moduli.  Known ones stand in two
     sorted tables of (hash, first id, number of ids): a small one that grows
     slice by slice and a large one that takes it up from time to time."""
 
-    def __init__(self, path: str):
+    def __init__(self, text: str):
+        """``text``: the tokenizer file."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.type = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.line = self.encode(["\n"])[0]
+        self.tok = Tokenizer.from_str(text)
+        self.type = np.dtype(id_type(text))
+        self.added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values() if t.content]
+        parts = json.loads(text)
+        pre = parts.get("pre_tokenizer") or {}
+        self.cuttable = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+                         and not parts.get("normalizer") and parts.get("model", {}).get("type", "BPE") == "BPE")
+        self.line = self.encode(["\n"])[0] if self.cuttable else None
         self.forget()
 
     def forget(self) -> None:
@@ -113,13 +121,43 @@ class PieceEncoder:
 
     def ids(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice, one after another, and the first of each."""
+        raw = buf.tobytes()
+        whole = self.with_added(raw, off) if self.cuttable else range(len(off) - 1)
+        if not whole:
+            return self.piece_ids(buf, off)
+        texts = self.encode([raw[off[d]:off[d + 1]].decode() for d in whole])
+        if not self.cuttable:
+            got = texts
+        else:
+            flat, first = self.piece_ids(buf, off)
+            got = [flat[a:b] for a, b in zip(first, first[1:])]
+            for d, x in zip(whole, texts):
+                got[d] = x
+        return (np.concatenate(got) if got else np.zeros(0, self.type)), np.concatenate(([0], np.cumsum([len(x) for x in got], dtype=np.int64)))
+
+    def with_added(self, raw: bytes, off: np.ndarray) -> list[int]:
+        """Texts that hold an added token."""
+        found = set()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                d = int(np.searchsorted(off, at, "right")) - 1
+                if at + len(token) <= off[d + 1]:
+                    found.add(d)
+                    at = raw.find(token, int(off[d + 1]))
+                else:
+                    at = raw.find(token, at + 1)
+        return sorted(found)
+
+    def piece_ids(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``ids`` by way of the pieces."""
         if sum(len(t[0]) for t in self.tables) > PIECES:
             self.forget()
         start = cuts(buf, off)
         if not len(start):
             return np.zeros(0, self.type), np.zeros(len(off), np.int64)
         end = np.append(start[1:], len(buf))
-        h = kernels.mix(kernels.span_hash(kernels.prefix_hash(buf), start, end) + (end - start).astype(np.uint64))
+        h = kernels.byte_hash(buf, start, end)
         keys, one, inverse = np.unique(h, return_index=True, return_inverse=True)
         first, n = self.look(keys)
         new = np.flatnonzero(n < 0)
@@ -162,24 +200,34 @@ def cuts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut[:-1])
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[int, PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    """The worker's encoder; its memory of pieces outlives a task."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+def encoder(shared) -> PieceEncoder:
+    """The worker's encoder of a broadcast tokenizer; its memory of pieces outlives a task."""
+    text, mark = shared.value
+    if mark not in _encoders:
+        _encoders.clear()
+        _encoders[mark] = PieceEncoder(text)
+    return _encoders[mark]
 
 
-def encode(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id",
+def load(path: str) -> str:
+    """The tokenizer file, read on the driver."""
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
+def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id",
            text_col: str = "text", num_partitions: int | None = None) -> DataFrame:
-    """(part, idx, doc_id, ids): ids as little-endian bytes, in doc_id order."""
+    """(part, idx, doc_id, ids): ids as little-endian bytes, in doc_id order.
+    ``tokenizer`` is the text of a tokenizer file, whose size is fixed."""
+    shared = docs.sparkSession.sparkContext.broadcast((tokenizer, zlib.crc32(tokenizer.encode())))
     schema = pa.schema([("part", pa.int32()), ("idx", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
         from pyspark import TaskContext
-        part, idx, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer_path)
+        part, idx, enc = TaskContext.get().partitionId(), 0, encoder(shared)
         end = np.array([end_id], enc.type).tobytes()
         for b in batches:
             for i, buf, off in kernels.slices(b.column(1), SLICE):
@@ -195,9 +243,10 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col: s
     return pin(src.mapInArrow(run, "part int, idx bigint, doc_id bigint, ids binary"), "token-ids")
 
 
-def id_type(tokenizer_path: str) -> str:
+def id_type(tokenizer: str) -> str:
     from tokenizers import Tokenizer
-    return "<u2" if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else "<u4"
+    ids = Tokenizer.from_str(tokenizer).get_vocab(with_added_tokens=True).values()
+    return "<u2" if max(ids, default=0) < 1 << 16 else "<u4"
 
 
 def ranks(encoded: DataFrame, dtype: str) -> np.ndarray:
@@ -348,7 +397,8 @@ def token_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, rank, write and read back; ``folder`` is a URI that all executors share."""
     folder = folder or scratch(docs.sparkSession, "token-files")
-    dtype = id_type(tokenizer_path)
-    encoded = encode(docs, tokenizer_path, id_col=id_col, text_col=text_col)
+    tokenizer = load(tokenizer_path)
+    dtype = id_type(tokenizer)
+    encoded = encode(docs, tokenizer, id_col=id_col, text_col=text_col)
     order = ranks(encoded, dtype)
     return read(write(encoded, folder, order, dtype), folder, order, with_ids)

@@ -16,9 +16,7 @@ PATH = P.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def by_pieces(enc, texts, size):
@@ -34,10 +32,10 @@ def test_pieces_give_the_ids_of_whole_texts(library, monkeypatch):
     marks = ["a", "b", " ", "  ", "\n", ".", ",", "'s", "é", "1", "!", "\t", "-", "日", " ", "　", "\r", "$", "(", "Z", "'", "\x85", "😀", "<|endoftext|>"]
     texts = ["".join(r.choice(marks) for _ in range(r.randint(0, 14))) for _ in range(4000)]
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
-    enc = tokens.PieceEncoder(PATH)
+    enc = tokens.PieceEncoder(tokens.load(PATH))
     assert by_pieces(enc, texts, 1 << 20) == want
     monkeypatch.setattr(tokens, "PIECES", 300)  # a memory that is emptied again and again
-    assert by_pieces(tokens.PieceEncoder(PATH), texts, 2000) == want
+    assert by_pieces(tokens.PieceEncoder(tokens.load(PATH)), texts, 2000) == want
 
 
 def test_coding_round_trip():
@@ -63,3 +61,30 @@ def test_files_hold_every_document(spark, docs, rows, library):
 
 def test_empty(empty):
     assert tokens.token_files(empty, PATH).collect() == []
+
+
+def thue_morse(n):
+    x = "a"
+    while len(x) < n:
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x
+
+
+def test_structured_words_and_added_tokens(library):
+    one = thue_morse(4096)
+    two = one.translate(str.maketrans("ab", "ba"))
+    texts = [one, two, f"x {one} y", f"x {two} y", "a<|endoftext|>b", "<|endoftext|>", "x<|endoftext", "|>y", " <|endoftext|>\n<|endoftext|> end", ""]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert want[4] == [64, 50256, 65] and want[0] != want[1]
+    for size in (1 << 20, 3000):
+        assert by_pieces(tokens.PieceEncoder(tokens.load(PATH)), texts, size) == want
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json"])
+def test_other_tokenizers_get_whole_texts(name):
+    from tokenizers import Tokenizer
+    enc = tokens.PieceEncoder(tokens.load(P.path(name)))
+    assert not enc.cuttable
+    texts = ["Hello, World!", "", "a  b\nc", "<|startoftext|> it's"]
+    t = Tokenizer.from_file(P.path(name))
+    assert by_pieces(enc, texts, 1 << 20) == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
