@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordlab.llm import kernels
-from ordlab.llm.common import batch, narrow
+from ordlab.llm.common import batch, materialize, narrow
 from ordlab.llm.quality import fold
 
 BUCKETS, DIM = 1 << 15, 16
-ROWS_PER_LANG, MAX_LANGS = 600, 200
+ROWS_PER_LANG = 600
 EPOCHS, RATE, SEED = 4, 0.5, 5
 REJECT = 0.01
 SLICE = 256 << 10
@@ -119,19 +119,14 @@ def train(texts: list[bytes], y: list[str], epochs: int = EPOCHS, seed: int = SE
 def labelled_sample(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, id_col: str = "doc_id", text_col: str = "text",
                     lang_col: str = "lang") -> tuple[list[bytes], list[str]]:
     """Training texts and languages, ``rows_per_lang`` of each in expectation."""
-    d = narrow(docs, doc_id=id_col, lang=lang_col, text=F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    d = d.filter("doc_id IS NOT NULL AND lang IS NOT NULL").filter(fold(F.col("doc_id"), 4) != 2)
-    per = d.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
-    if len(per) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    if not per:
-        return [], []
-    u = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 40))
-    pick = [(F.col("lang") == r[0]) & (u < int((1 << 40) * min(1.0, rows_per_lang / r[1]))) for r in per]
-    keep = pick[0]
-    for k in pick[1:]:
-        keep = keep | k
-    rows = sorted(d.filter(keep).select("doc_id", "lang", "text").collect())
+    d = narrow(docs, doc_id=id_col, lang=lang_col, text=text_col)
+    d = d.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").filter(fold(F.col("doc_id"), 4) != 2)
+    per = materialize(d.groupBy("lang").count(), "langid-counts")  # a row per language
+    # the draw hangs on id and text, so that rows under one id are drawn one by one; equal rows count once
+    u = F.pmod(F.xxhash64("doc_id", "text", F.lit(SEED)), F.lit(1 << 40))
+    rate = F.least(F.lit(1.0), F.lit(float(rows_per_lang)) / F.col("count")) * float(1 << 40)
+    drawn = d.withColumn("u", u).join(per, "lang").filter(F.col("u") < rate)
+    rows = sorted(drawn.select("doc_id", "lang", "text").distinct().collect())
     return [r[2].encode() for r in rows], [r[1] for r in rows]
 
 

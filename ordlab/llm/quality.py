@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordlab.llm import kernels
-from ordlab.llm.common import batch, narrow
+from ordlab.llm.common import batch, materialize, narrow
 
 WIDTH, FILTERS, STRIDE = 8, 16, 2
 BLOCK, CHUNK, HOP = 64, 4, 2  # bytes, blocks, blocks
@@ -159,12 +159,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
     ``train_rows`` rows, else a hash sample of that size in expectation."""
     lab = narrow(labels, doc_id="doc_id", y=F.col(label_col).cast("int")).filter("doc_id IS NOT NULL AND y IS NOT NULL")
     lab = lab.filter(fold(F.col("doc_id"), 5) != 0)
-    n = lab.count()
+    lab = materialize(lab.distinct(), "quality-labels")
+    d = narrow(docs, doc_id=id_col, text=F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    n = d.select("doc_id").join(lab, "doc_id").count()
     if not n:
         return [], np.zeros(0)
-    lab = lab.filter(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 40)) < int((1 << 40) * min(1.0, train_rows / n)))
-    d = narrow(docs, doc_id=id_col, text=F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    rows = sorted(d.join(F.broadcast(lab), "doc_id").select("doc_id", "text", "y").collect())  # train_rows in expectation
+    # the draw hangs on id and text, so that rows under one id are drawn one by one; equal rows count once
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(SEED)), F.lit(1 << 40)) < int((1 << 40) * min(1.0, train_rows / n))
+    rows = sorted(d.filter(draw).join(lab, "doc_id").select("doc_id", "text", "y").distinct().collect())  # train_rows in expectation
     return [r[1].encode() for r in rows], np.array([r[2] for r in rows], np.float32)
 
 

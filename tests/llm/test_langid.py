@@ -50,3 +50,17 @@ def test_defined_results(spark, docs, rows, empty):
     only = spark.createDataFrame([doc(1, "abc", None), doc(2, "日本", None)], DOC)
     assert {r["lang_pred"] for r in langid.predict(only, langid.fit(only)).collect()} == {"und"}
     assert langid.has_letter(*kernels.text_arrays(pa.array(["日本", "1 2", "é"]))).tolist() == [True, False, True]
+
+
+def test_any_number_of_languages(spark):
+    """More than 200 languages, repeated ids and rows, and no text under a language."""
+    rows = [doc(3 * k + j, f"{chr(97 + k % 26)}{chr(97 + k // 26)}x " * 5, f"l{k}") for k in range(201) for j in range(3)]
+    rows += [doc(1, f"text {j}", "l0") for j in range(40)] + [doc(2, "same", "l1")] * 40 + [doc(9000, None, "nothing")]
+    df = spark.createDataFrame(rows, DOC)
+    texts, langs = langid.labelled_sample(df)
+    assert len(set(langs)) == 201 and "nothing" not in langs
+    assert texts.count(b"same") <= 1
+    few, _ = langid.labelled_sample(df, rows_per_lang=2)
+    assert len(few) < 0.9 * len(texts)
+    model = langid.train(texts, langs, epochs=1)
+    assert {r["lang_pred"] for r in langid.predict(df, model).collect()} <= {*langs, "und"}

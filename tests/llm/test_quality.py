@@ -72,3 +72,13 @@ def test_defined_results(spark, docs, rows, empty):
     assert quality.keep_good(docs, none).columns == DOC.names and quality.keep_good(docs, none).count() == len(rows)
     assert quality.score(empty, none).collect() == [] and quality.keep_good(empty, none).collect() == []
     assert quality.score(spark.createDataFrame([doc(1, "a")], DOC), none).count() == 1
+
+
+def test_rows_under_one_id_are_drawn_one_by_one(spark):
+    rows = [doc(7, f"text number {j}") for j in range(300)] + [doc(7, "same")] * 300
+    df = spark.createDataFrame(rows, DOC)
+    labels = spark.createDataFrame([(7, 1, 0), (7, 1, 0)], "doc_id long, quality int, toxic int")
+    texts, y = quality.labelled_sample(df, labels)
+    assert len(texts) == 301 and set(y) == {1.0}
+    few, _ = quality.labelled_sample(df, labels, train_rows=60)
+    assert 5 < len(few) < 90
