@@ -39,6 +39,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
 ARCHIVE_BYTES = 24 << 20
+FEED = 64 << 10  # compressed bytes given to the decompressor at a time
 DICT_BYTES = 16 << 10
 SAMPLE_BYTES = 1 << 20
 LEVEL = 3
@@ -106,21 +107,40 @@ def archive(records: list[bytes]):
         yield c.compress(r)
 
 
-def records_of(data: bytes):
-    """Yield every record of an archive."""
+def _reader(data):
+    """Decompressor of an archive, from its dictionary frame, and that frame's size."""
     import zstandard as zstd
     magic, n = struct.unpack_from("<II", data)
     if magic != DICT_MAGIC:
         raise ValueError("no dictionary frame")
-    raw = data[8:8 + n]
-    d = zstd.ZstdDecompressor(dict_data=zstd.ZstdCompressionDict(raw) if raw else None)
-    at = memoryview(data)[8 + n:]
-    while len(at):
-        one = d.decompressobj()
-        out = one.decompress(at)
-        rest = one.unused_data
-        yield out
-        at = at[len(at) - len(rest):]
+    raw = bytes(data[8:8 + n])
+    return zstd.ZstdDecompressor(dict_data=zstd.ZstdCompressionDict(raw) if raw else None), 8 + n
+
+
+def records_of(data: bytes):
+    """Yield every record of an archive.  Frames are fed in small parts, so that
+    what lies behind a frame's end is never copied as a whole."""
+    d, at = _reader(data)
+    view = memoryview(data)
+    while at < len(view):
+        one, out = d.decompressobj(), []
+        while not one.eof:
+            part = view[at:at + FEED]
+            if not len(part):
+                raise ValueError("a frame is cut short")
+            out.append(one.decompress(part))
+            at += len(part) - len(one.unused_data)
+        yield b"".join(out)
+
+
+def record_at(folder: str, name: str, offset: int, size: int) -> dict:
+    """One record of an archive by the place of its frame (see ``write``): the
+    dictionary frame and the record's own are all that is read."""
+    f, path = filesystem(folder)
+    with f.open_input_file(f"{path}/{name}") as src:
+        head = src.read_at(8, 0)
+        d, _ = _reader(head + src.read_at(struct.unpack("<II", head)[1], 8))
+        return parse_record(d.decompress(src.read_at(size, offset)))
 
 
 def revisits(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
@@ -135,20 +155,29 @@ def revisits(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", payl
 
 def write(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url",
           payload_col: str = "html") -> DataFrame:
-    """Write the archives; returns the manifest (name, n_records, n_bytes)."""
+    """Write the archives; returns the manifest (name, n_records, n_bytes,
+    offsets): the frame of record i lies from offsets[i] to offsets[i + 1]."""
     rows = narrow(pages, page_id=F.col(f"`{id_col}`").cast("bigint"), url=url_col,
                   payload=F.encode(F.coalesce(F.col(f"`{payload_col}`"), F.lit("")), "UTF-8"))
     r = revisits(pages, min_bytes, id_col, payload_col).select(F.col("page_id").alias("__p"), F.col("digest").alias("__d"), "refers_to")
     rows = rows.withColumn("__digest", F.sha1("payload"))
     rows = rows.join(r, rows["page_id"].eqNullSafe(r["__p"]) & (rows["__digest"] == r["__d"]), "left").select("page_id", "url", "payload", "refers_to")
-    schema = pa.schema([("name", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())])
+    schema = pa.schema([("name", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64()), ("offsets", pa.list_(pa.int64()))])
 
     def run(batches):
         held, size = [], 0
 
         def close():
             name = f"{uuid.uuid4().hex}.warc.zst"
-            return batch(schema, [name], [len(held)], [write_bytes(folder, name, archive(held))])
+            ends = [0]
+
+            def frames():
+                for x in archive(held):
+                    ends.append(ends[-1] + len(x))
+                    yield x
+
+            n_bytes = write_bytes(folder, name, frames())
+            return batch(schema, [name], [len(held)], [n_bytes], [ends[1:]])
 
         for b in batches:
             for i in range(0, len(b), 64):
@@ -161,7 +190,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page
         if held:
             yield close()
 
-    return pin(rows.mapInArrow(run, "name string, n_records bigint, n_bytes bigint"), "warc-manifest")
+    return pin(rows.mapInArrow(run, "name string, n_records bigint, n_bytes bigint, offsets array<bigint>"), "warc-manifest")
 
 
 def read(manifest: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:

@@ -64,3 +64,31 @@ def test_min_bytes_and_empty(spark):
     got = warc.warc_files(df, min_bytes=1000).collect()
     assert {r["record_type"] for r in got} == {"response"}
     assert warc.warc_files(df.limit(0)).collect() == []
+
+
+def test_reading_is_linear_and_a_record_can_be_read_alone(spark, monkeypatch):
+    df, rows = pages(spark)
+    folder = scratch(spark, "warc-test")
+    manifest = warc.write(df.coalesce(1), folder).collect()
+    seen = 0
+    for m in manifest:
+        data = open(os.path.join(folder.removeprefix("file://"), m["name"]), "rb").read()
+        whole = list(warc.records_of(data))
+        for feed in (7, 1000):  # a frame's end anywhere in what is fed
+            monkeypatch.setattr(warc, "FEED", feed)
+            assert list(warc.records_of(data)) == whole
+        assert len(m["offsets"]) == m["n_records"] + 1 and m["offsets"][-1] == m["n_bytes"]
+        for i, raw in enumerate(whole):
+            assert warc.record_at(folder, m["name"], m["offsets"][i], m["offsets"][i + 1] - m["offsets"][i]) == warc.parse_record(raw)
+            seen += 1
+    assert seen == len(rows)
+
+
+def test_several_archives_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3000)
+    df, rows = pages(spark)
+    folder = scratch(spark, "warc-test")
+    manifest = warc.write(df.coalesce(1), folder)
+    assert manifest.count() > 5
+    got = warc.read(manifest, folder).collect()
+    assert sorted(str(r["page_id"]) for r in got) == sorted(str(r[0]) for r in rows)
