@@ -20,6 +20,17 @@ def narrow(df: DataFrame, **cols: str | Column) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(k) for k, c in cols.items()])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as keep them apart from all columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A fresh folder name (a URI) under the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/ordlab-{tag}-{uuid.uuid4().hex}"

@@ -39,9 +39,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from ordlab.llm import kernels
-from ordlab.llm.common import batch, bitmap, may_contain, narrow, pin, shuffle_partitions
+from ordlab.llm.common import batch, bitmap, fresh, may_contain, narrow, pin, shuffle_partitions
 from ordlab.llm.graph import components
 
 U = np.uint64
@@ -308,16 +309,19 @@ def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col:
 
 def one_per_class(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, with one document of each class: the
-    one with the least doc_id (of rows equal in doc_id and text, one stays).
-    Documents without words all stay."""
-    t = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    one with the least doc_id (of rows equal in doc_id and text, that of the least
+    hash of all columns).  Documents without words all stay."""
+    ident, tx, gd, gt, wd, wt, n = fresh(docs, "_id", "_tx", "_gd", "_gt", "_wd", "_wt", "_n")
     found = classes(docs, k, num, den, id_col, text_col)
     gone = found.filter(~(F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("tx") == F.col("rep_tx"))))
-    words = found.filter("n_shingles > 0").select(F.col("doc_id").alias("__d"), F.col("tx").alias("__t"), F.lit(True).alias("__words"))
-    gone = gone.select(F.col("doc_id").alias("__gd"), F.col("tx").alias("__gt")).distinct()
-    rows = docs.withColumns({"__id": F.col(f"`{id_col}`").cast("bigint"), "__tx": F.xxhash64(t)})
-    rows = rows.join(gone, F.col("__id").eqNullSafe(F.col("__gd")) & (F.col("__tx") == F.col("__gt")), "left_anti")
-    twice = words.groupBy("__d", "__t").agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1")
-    rows = rows.join(twice, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__tx") == F.col("__t")), "left")
-    again = rows.filter("__c > 1").dropDuplicates(["__id", "__tx"])
-    return rows.filter("__c IS NULL").unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = gone.select(F.col("doc_id").alias(gd), F.col("tx").alias(gt)).distinct()
+    words = found.filter("n_shingles > 0").select(F.col("doc_id").alias(wd), F.col("tx").alias(wt))
+    twice = words.groupBy(wd, wt).agg(F.count(F.lit(1)).alias(n)).filter(F.col(n) > 1)
+    t = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.withColumns({ident: F.col(f"`{id_col}`").cast("bigint"), tx: F.xxhash64(t)})
+    rows = rows.join(gone, F.col(ident).eqNullSafe(F.col(gd)) & (F.col(tx) == F.col(gt)), "left_anti")
+    rows = rows.join(twice, F.col(ident).eqNullSafe(F.col(wd)) & (F.col(tx) == F.col(wt)), "left")
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (MapType, VariantType))])
+    again = rows.filter(F.col(n) > 1).groupBy(ident, tx).agg(F.min_by(F.struct(*cols), order).alias(gd)).select(f"{gd}.*")
+    return rows.filter(F.col(n).isNull()).select(*cols).unionByName(again)

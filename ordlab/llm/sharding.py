@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordlab.llm.common import materialize, narrow
+from ordlab.llm.common import fresh, materialize, narrow
 
 SAMPLE_PER_RANGE = 16
 NULL_ID = -(1 << 63)
@@ -101,16 +101,16 @@ def place(docs: DataFrame, n_shards: int = 24, n_ranges: int | None = None,
 def write_shards(docs: DataFrame, path: str, n_shards: int = 24, n_ranges: int | None = None,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write all columns of ``docs`` in folders ``__shard=N`` with their
-    ``__slot``, and return the table as read back.  Rows are matched by doc_id
+    ``__slot`` (with more underscores if ``docs`` has such columns), and return the table as read back.  Rows are matched by doc_id
     and text checksum; rows equal in both are interchangeable and are written
     once for each of them."""
-    keyed = docs.withColumns({"__id": F.col(f"`{id_col}`"), "__crc": F.crc32(F.encode(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "UTF-8"))})
-    w = Window.partitionBy("__id", "__crc")
-    keyed = keyed.withColumn("__k", F.row_number().over(w.orderBy(F.lit(0))))
+    ident, crc, k, pid, pcrc, pk, shard, slot = fresh(docs, "_id", "_crc", "_k", "_pid", "_pcrc", "_pk", "__shard", "__slot")
+    keyed = docs.withColumns({ident: F.col(f"`{id_col}`"), crc: F.crc32(F.encode(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "UTF-8"))})
+    keyed = keyed.withColumn(k, F.row_number().over(Window.partitionBy(ident, crc).orderBy(F.lit(0))))
     p = place(docs, n_shards, n_ranges, id_col, text_col).select(
-        F.col("doc_id").alias("__pid"), F.col("text_crc32").alias("__pcrc"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
-    p = p.withColumn("__pk", F.row_number().over(Window.partitionBy("__pid", "__pcrc").orderBy("__shard", "__slot")))
-    out = keyed.join(p, F.col("__id").eqNullSafe(F.col("__pid")) & (F.col("__crc") == F.col("__pcrc")) & (F.col("__k") == F.col("__pk")))
-    (out.drop("__id", "__crc", "__k", "__pid", "__pcrc", "__pk").repartition("__shard", F.pmod(F.col("__slot"), F.lit(8)))
-        .write.partitionBy("__shard").parquet(path))
+        F.col("doc_id").alias(pid), F.col("text_crc32").alias(pcrc), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    p = p.withColumn(pk, F.row_number().over(Window.partitionBy(pid, pcrc).orderBy(shard, slot)))
+    out = keyed.join(p, F.col(ident).eqNullSafe(F.col(pid)) & (F.col(crc) == F.col(pcrc)) & (F.col(k) == F.col(pk)))
+    (out.drop(ident, crc, k, pid, pcrc, pk).repartition(shard, F.pmod(F.col(slot), F.lit(8)))
+        .write.partitionBy(shard).parquet(path))
     return docs.sparkSession.read.parquet(path)

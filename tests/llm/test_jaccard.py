@@ -109,3 +109,36 @@ def test_overlaps_are_exact(sizes):
     got = jaccard.overlaps(sets)
     for a, b in itertools.combinations(range(len(sets)), 2):
         assert got[a, b] == len(np.intersect1d(sets[a], sets[b]))
+
+
+def test_words_of_thue_morse_order_differ():
+    """A polynomial hash modulo 2**64 takes such a word for its complement."""
+    import numpy as np
+    from ordlab.llm import kernels
+    a = "a"
+    while len(a) < 4096:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    buf = np.frombuffer(f"{a} {b} {a}".encode(), np.uint8)
+    h, _ = kernels.word_hashes(buf, np.array([0, len(buf)]))
+    assert h[0] != h[1] and h[0] == h[2]
+    one = kernels.byte_hash(np.frombuffer(b"zzabc", np.uint8), np.array([2]), np.array([5]))
+    assert one[0] == kernels.byte_hash(np.frombuffer(b"abc", np.uint8), np.array([0]), np.array([3]))[0]
+
+
+def test_columns_of_any_name_come_through(spark):
+    names = ["_id", "_tx", "_c", "_n", "_gd", "__id", "__tx", "__c"]
+    text = prose(0, 60)
+    rows = [(i, t, *[f"{c}-{i}" for c in names]) for i, t in [(2, text), (1, text), (3, "other words"), (3, "other words")]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    kept = jaccard.one_per_class(df, 5, 80, 100)
+    assert kept.columns == df.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [rows[1], rows[2]]
+
+
+def test_of_equal_rows_the_same_one_stays(spark):
+    text = prose(0, 60)
+    rows = [(1, text, f"v{j}", {"k": j}) for j in range(6)]
+    schema = "doc_id long, text string, v string, m map<string,int>"
+    got = {jaccard.one_per_class(spark.createDataFrame(rows[::s], schema).repartition(p), 5, 80, 100).collect()[0]["v"] for s, p in ((1, 1), (-1, 3), (1, 4))}
+    assert len(got) == 1

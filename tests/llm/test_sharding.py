@@ -55,3 +55,12 @@ def test_written_shards_hold_all_rows(spark, docs, rows):
     assert set(DOC.names) <= set(back.columns)
     assert sorted([str((r["doc_id"], r["text"], r["lang"], r["size"])) for r in back.collect()]) == sorted(str((r[0], r[1], r[2], "x")) for r in rows)
     assert back.select("__shard", "__slot").distinct().count() == len(rows)
+
+
+def test_columns_of_any_name_come_through(spark):
+    names = ["__id", "__crc", "__k", "__slot", "_id", "_k"]
+    rows = [(i, f"text {i % 7}", *[f"{c}-{i}" for c in names]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    got = sharding.write_shards(df, scratch(spark, "shards-test"), 5)
+    assert sorted(tuple(r) for r in got.select(*df.columns).collect()) == sorted(rows)
+    assert "___slot" in got.columns and {r[0] for r in got.select("__shard").distinct().collect()} <= set(range(5))
