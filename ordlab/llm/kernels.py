@@ -79,19 +79,19 @@ def span_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((c[end] - c[start]) * inv[start])
 
 
-#: two primes below 2**31 with a random base and random byte values each: unlike a
-#: polynomial modulo 2**64, no structured text (such as a Thue-Morse word) collides with another
-_PRIMES = (2147483647, 2147483629)
-_BASES = [int(_rng.integers(1 << 20, p - 1)) for p in _PRIMES]
-_VALUES = [_rng.integers(1, p, 256, dtype=np.uint64) for p in _PRIMES]
+#: a prime and two random bases: unlike a polynomial modulo 2**64, no structured text
+#: (such as a Thue-Morse word) collides with another
+_PRIME = (1 << 31) - 1
+_BASES = [int(_rng.integers(1 << 20, _PRIME)) for _ in range(2)]
+_VALUES = _rng.integers(1, _PRIME, 256, dtype=np.uint64)
 _place = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _powers_of(j: int, n: int) -> np.ndarray:
     """``base**i`` modulo the prime for ``i < n`` (grown on demand, by doubling)."""
-    a, p = _place[j], _PRIMES[j]
+    a = _place[j]
     while len(a) < n:
-        a = np.concatenate((a, a * U(pow(_BASES[j], len(a), p)) % U(p)))
+        a = np.concatenate((a, a * U(pow(_BASES[j], len(a), _PRIME)) % U(_PRIME)))
     _place[j] = a
     return a
 
@@ -106,12 +106,17 @@ def byte_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     if not len(start):
         return np.zeros(0, np.uint64)
     size = end - start
-    at, first = spans(start, size), np.cumsum(size) - size
-    place, most = at - np.repeat(start, size), int(size.max())
+    first = np.cumsum(size) - size
+    if start[0] == 0 and end[-1] == len(buf) and (start[1:] == end[:-1]).all():
+        value = _VALUES[buf]  # the spans are the whole buffer
+    else:
+        value = _VALUES[buf[spans(start, size)]]
+    place = (np.arange(len(value), dtype=np.int64) - np.repeat(first, size))
     out = []
-    for j, p in enumerate(_PRIMES):
-        x = _VALUES[j][buf[at]] * _powers_of(j, most)[place] % U(p)
-        out.append(np.add.reduceat(x, first) % U(p))
+    for j in range(2):
+        x = value * _powers_of(j, int(size.max()))[place]
+        x = (x & U(_PRIME)) + (x >> U(31))  # less than 2**32 and the same modulo 2**31 - 1
+        out.append(np.add.reduceat(x, first) % U(_PRIME))
     return mix(mix(out[0] << U(31) | out[1]) + size.astype(np.uint64))
 
 

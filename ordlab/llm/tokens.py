@@ -48,7 +48,7 @@ HEAD = struct.Struct("<4sIQQQ")  # magic, documents, tokens, control bytes, data
 class PieceEncoder:
     """Ids of texts by way of their distinct pieces; see the module text.
 
-    Pieces are told apart by a 62-bit hash with two prime moduli.  Known ones stand in two
+    Pieces are told apart by a 62-bit hash at two points of a prime field.  Known ones stand in two
     sorted tables of (hash, first id, number of ids): a small one that grows
     slice by slice and a large one that takes it up from time to time."""
 
