@@ -17,39 +17,34 @@ from ordlab.session import fitted
 from ordlab.operators.rank import position, window_position
 
 
+#: levels that a plain window may number
+FEW_LEVELS = 1 << 16
+
+
 def label_encode(df: DataFrame, col: str, out: str | None = None, per_split: str | None = None) -> DataFrame:
     """code = index of the value among the sorted distinct values.
 
     Default fits on all rows (E2, the union of train and test); with
     ``per_split`` the codes are refitted inside each split (Q5).  Nulls keep a
-    null code.  The levels are numbered by the scalable ``position`` and joined
-    back; their written size decides how."""
+    null code.  The levels are written once; many are numbered by the scalable
+    ``position``, few by a window, and their size decides how they are joined."""
     out = out or f"{col}_code"
     keys = [per_split] if per_split else []
-    levels = df.select(*keys, col).filter(F.col(col).isNotNull()).distinct()
-    codes = position(levels, [col], out, partition_by=keys or None)
-    codes = fitted(codes.withColumn(out, F.col(out).cast("int")), "codes")
-    return match(df, codes, keys + [col])
+    levels = fitted(df.select(*keys, col).filter(F.col(col).isNotNull()).distinct(), "levels")
+    if levels.count() <= FEW_LEVELS:  # measured: small enough for a window
+        codes = window_position(levels, [col], out, partition_by=keys or None)
+    else:
+        codes = fitted(position(levels, [col], out, partition_by=keys or None), "codes")
+    return match(df, codes.withColumn(out, F.col(out).cast("int")), keys + [col])
 
 
-def one_hot_levels(df: DataFrame, cols, max_levels: int = 1000) -> dict:
-    """Distinct levels of each column (they become output column names, so
-    they reach the driver).  Two passes over all columns at once: a
-    fixed-memory ``approx_count_distinct`` check refuses columns far above
-    ``max_levels``, then one aggregate collects every column's level set."""
+def one_hot_levels(df: DataFrame, cols) -> dict:
+    """Distinct levels of each column in order, from one aggregate.  They become
+    output columns, so they reach the driver; ``one_hot_vector`` is the form for
+    columns with more levels than a table should have columns."""
     cols = list(cols)
-    approx = df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in cols]).first()
-    big = [c for c in cols if approx[c] > max_levels * 1.2]
-    if big:
-        raise ValueError(f"{big} have more than {max_levels} levels; use one_hot_vector")
     sets = df.agg(*[F.collect_set(c).alias(c) for c in cols]).first()
-    levels = {}
-    for col in cols:
-        vals = sorted(v for v in sets[col] if v is not None)
-        if len(vals) > max_levels:
-            raise ValueError(f"{col} has more than {max_levels} levels; use one_hot_vector")
-        levels[col] = vals
-    return levels
+    return {c: sorted(v for v in sets[c] if v is not None) for c in cols}
 
 
 def one_hot(df: DataFrame, cols, levels: dict | None = None, sep: str = ".", keep=None) -> DataFrame:

@@ -152,6 +152,18 @@ def q_param_proposer_log(spark, sf):
     return spark.createDataFrame(rows, "trial int, " + ", ".join(f"{k} double" for k in TREE_SPACE) + ", kappa_mean double, kappa_std double, best boolean")
 
 
+@query("extra_trees")
+def q_extra_trees(spark, sf):
+    """Trees on random thresholds; error of the test rows beside that of the train mean."""
+    from ordlab.operators.extra_trees import extra_trees
+    d = explained(spark, sf)
+    train, test = d.filter(~F.col("test")), d.filter(F.col("test"))
+    m = extra_trees(train, FEATURES, "y", trees=8, depth=7, feature_share=0.75)
+    mean = train.agg(F.avg("y").alias("m")).scalar()
+    e = m.predict(test).agg(F.sqrt(F.avg((F.col("y") - F.col("prediction")) ** 2)).alias("rmse"), F.sqrt(F.avg((F.col("y") - mean) ** 2)).alias("rmse_mean"))
+    return e.select(F.lit(len(m.trees)).alias("trees"), round6("rmse").alias("rmse"), round6("rmse_mean").alias("rmse_mean"))
+
+
 def _sql_hook(value: str) -> str:
     """Kappa of ``value`` decoded by the class CDF of the same rows."""
     return f"""v as (select id, y, {value} s from ps),
