@@ -52,17 +52,14 @@ class PieceEncoder:
     sorted tables of (hash, first id, number of ids): a small one that grows
     slice by slice and a large one that takes it up from time to time."""
 
-    def __init__(self, text: str):
-        """``text``: the tokenizer file."""
+    def __init__(self, text: str, kind: tuple[str, bool] | None = None):
+        """``text``: the tokenizer file; ``kind``: what ``kind_of`` says of it."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_str(text)
-        self.type = np.dtype(id_type(text))
+        dtype, self.cuttable = kind or kind_of(text)
+        self.type = np.dtype(dtype)
         self.added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values() if t.content]
-        parts = json.loads(text)
-        pre = parts.get("pre_tokenizer") or {}
-        self.cuttable = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
-                         and not parts.get("normalizer") and parts.get("model", {}).get("type", "BPE") == "BPE")
         self.line = self.encode(["\n"])[0] if self.cuttable else None
         self.forget()
 
@@ -205,10 +202,10 @@ _encoders: dict[int, PieceEncoder] = {}
 
 def encoder(shared) -> PieceEncoder:
     """The worker's encoder of a broadcast tokenizer; its memory of pieces outlives a task."""
-    text, mark = shared.value
+    text, kind, mark = shared.value
     if mark not in _encoders:
         _encoders.clear()
-        _encoders[mark] = PieceEncoder(text)
+        _encoders[mark] = PieceEncoder(text, kind)
     return _encoders[mark]
 
 
@@ -218,11 +215,23 @@ def load(path: str) -> str:
         return f.read()
 
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id",
+def kind_of(text: str) -> tuple[str, bool]:
+    """Type of the ids of a tokenizer file, and whether its texts may be cut into
+    pieces.  Asked on the driver only: parsing the file takes many times its size."""
+    from tokenizers import Tokenizer
+    ids = Tokenizer.from_str(text).get_vocab(with_added_tokens=True).values()
+    parts = json.loads(text)
+    pre = parts.get("pre_tokenizer") or {}
+    cuttable = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+                and not parts.get("normalizer") and parts.get("model", {}).get("type", "BPE") == "BPE")
+    return "<u2" if max(ids, default=0) < 1 << 16 else "<u4", bool(cuttable)
+
+
+def encode(docs: DataFrame, tokenizer: str, kind: tuple[str, bool], end_id: int = END_ID, id_col: str = "doc_id",
            text_col: str = "text", num_partitions: int | None = None) -> DataFrame:
     """(part, idx, doc_id, ids): ids as little-endian bytes, in doc_id order.
     ``tokenizer`` is the text of a tokenizer file, whose size is fixed."""
-    shared = docs.sparkSession.sparkContext.broadcast((tokenizer, zlib.crc32(tokenizer.encode())))
+    shared = docs.sparkSession.sparkContext.broadcast((tokenizer, kind, zlib.crc32(tokenizer.encode())))
     schema = pa.schema([("part", pa.int32()), ("idx", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
@@ -243,12 +252,6 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str =
     return pin(src.mapInArrow(run, "part int, idx bigint, doc_id bigint, ids binary"), "token-ids")
 
 
-def id_type(tokenizer: str) -> str:
-    from tokenizers import Tokenizer
-    ids = Tokenizer.from_str(tokenizer).get_vocab(with_added_tokens=True).values()
-    return "<u2" if max(ids, default=0) < 1 << 16 else "<u4"
-
-
 def ranks(encoded: DataFrame, dtype: str) -> np.ndarray:
     """Ids by falling count over all documents, ties by id (a row per distinct id)."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
@@ -398,7 +401,8 @@ def token_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None,
     """Encode, rank, write and read back; ``folder`` is a URI that all executors share."""
     folder = folder or scratch(docs.sparkSession, "token-files")
     tokenizer = load(tokenizer_path)
-    dtype = id_type(tokenizer)
-    encoded = encode(docs, tokenizer, id_col=id_col, text_col=text_col)
+    kind = kind_of(tokenizer)
+    dtype = kind[0]
+    encoded = encode(docs, tokenizer, kind, id_col=id_col, text_col=text_col)
     order = ranks(encoded, dtype)
     return read(write(encoded, folder, order, dtype), folder, order, with_ids)
