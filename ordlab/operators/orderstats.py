@@ -15,7 +15,7 @@ per factor of 4,096 of the group's size beyond ``SMALL``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,11 +85,12 @@ def _collected() -> Column:
     return F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("rank", "at")))
 
 
-def _pinned(groups: DataFrame) -> tuple[DataFrame, int]:
-    """The groups as a table, and how many of them have open intervals."""
-    seen = Observation()
-    some = F.exists("want", lambda w: _open(w.at)).cast("int")
-    return fitted(groups.observe(seen, F.sum(some).alias("left")), "ranks"), seen.get["left"] or 0
+def _pinned(groups: DataFrame) -> tuple[DataFrame, bool]:
+    """The groups as a table, and whether some of them have open intervals.  (An
+    observed metric would save the look at the table, but a session that has
+    observed one can no longer be shipped inside ``pyspark.ml`` closures.)"""
+    table = fitted(groups, "ranks")
+    return table, not table.filter(F.exists("want", lambda w: _open(w.at))).isEmpty()
 
 
 def rank_keys(rows: DataFrame, by, ends) -> tuple[DataFrame, DataFrame]:
