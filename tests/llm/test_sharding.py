@@ -42,6 +42,27 @@ def test_one_group_holds_a_third_of_all_rows(spark):
     assert sum(len(s) > 1 for s in groups.values()) <= 23  # a boundary splits one group at most
 
 
+def test_small_groups_stay_whole_and_overfull_ranges_are_divided(spark):
+    rows = [doc(i, f"one of {i // 4}") for i in range(4000)] + [doc(None, "hot " * 20)] * 3000 + [doc(9999, "long " * 20000)]
+    df = spark.createDataFrame(rows, DOC)
+    got = sharding.place(df, 4).collect()
+    check(got, [r[:2] for r in rows], 4)
+    groups = defaultdict(set)
+    for r in got:
+        groups[r["text_crc32"]].add(r["shard"])
+    assert [c for c, s in groups.items() if len(s) > 1] == [zlib.crc32(b"hot " * 20)]
+    keys = sharding._keys(df, "doc_id", "text")
+    total = keys.agg({"size": "sum"}).first()[0]
+    _, per = sharding.ranges(keys, 128, total)
+    assert all(n == 1 or b <= sharding.OVERFULL * total / 128 for _, b, n in per)
+    assert (sum(b for _, b, _ in per), sum(n for *_, n in per)) == (total, len(rows))
+
+
+def test_records_of_more_than_a_range(spark):
+    rows = [doc(i, "x") for i in range(500)] + [doc(1000 + i, f"{i} " * 300000) for i in range(3)]
+    check(sharding.place(spark.createDataFrame(rows, DOC), 5).collect(), [r[:2] for r in rows], 5)
+
+
 @pytest.mark.parametrize("ranges", [None, 100])
 def test_table_and_any_partitioning(spark, ranges):
     docs = spark.read.parquet(f"{SF_MID}/documents.parquet")
