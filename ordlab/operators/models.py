@@ -135,16 +135,17 @@ def leaf_linear(df: DataFrame, features, label: str, trees: int = 20, depth: int
     return gbt, cv, lr
 
 
-def class_probabilities(df: DataFrame, features, label: str, kind: str = "rf", n_classes: int = 8, seed: int = 1):
+def class_probabilities(df: DataFrame, features, label: str, kind: str = "rf", n_classes: int = 8, seed: int = 1,
+                        reg: float = 0.01):
     """Class-probability models; ``label`` in 1..K is shifted to 0..K-1
-    inside.  Returns the fitted pipeline model."""
+    inside.  ``reg`` is the penalty of ``softmax``.  Returns the fitted pipeline model."""
     from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                            OneVsRest, RandomForestClassifier)
     d = df.withColumn("__lbl", (c(label) - 1).cast("double"))
     if kind == "rf":
         est = RandomForestClassifier(featuresCol="features", labelCol="__lbl", numTrees=50, maxDepth=6, seed=seed)
     elif kind == "softmax":
-        est = LogisticRegression(featuresCol="features", labelCol="__lbl", family="multinomial", regParam=0.01)
+        est = LogisticRegression(featuresCol="features", labelCol="__lbl", family="multinomial", regParam=reg)
     elif kind == "tree":
         est = DecisionTreeClassifier(featuresCol="features", labelCol="__lbl", maxDepth=6, seed=seed)
     elif kind == "gbt_ovr":

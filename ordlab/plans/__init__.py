@@ -11,6 +11,7 @@ from ordlab.plans import online  # noqa: F401
 from ordlab.plans import files  # noqa: F401
 from ordlab.plans import learners  # noqa: F401
 from ordlab.plans import boosting  # noqa: F401
+from ordlab.plans import closed_forms  # noqa: F401
 from ordlab.plans import relational  # noqa: F401
 
 REGISTRY = catalog.REGISTRY
