@@ -13,6 +13,7 @@ from ordlab.operators.profile import class_cdf
 from ordlab.operators.split import fold_table, split_key
 from ordlab.plans.catalog import T, query
 from ordlab.plans.standins import SQL_PART_SCORES, SQL_SPLIT_KEY, part_scores
+from ordlab.session import dealt, materialize
 
 FEATURES = ["f_size", "f_brand", "f_price", "f_name"]
 # a label that the features explain, with an interaction and hashed noise
@@ -25,9 +26,10 @@ def explained(spark, sf):
     p = T(spark, sf, "part").select("p_partkey", "p_size", F.expr("cast(substring(p_brand, 7) as int)").alias("f_brand"),
                                     F.col("p_retailprice").alias("f_price"), F.length("p_name").cast("double").alias("f_name"))
     p = p.withColumn("noise", split_key("p_partkey", F.lit(91)))
-    return p.select("p_partkey", F.expr(Y_EXPR.format(noise="noise")).alias("y"), F.col("p_size").cast("double").alias("f_size"),
+    d = p.select("p_partkey", F.expr(Y_EXPR.format(noise="noise")).alias("y"), F.col("p_size").cast("double").alias("f_size"),
                     F.col("f_brand").cast("double").alias("f_brand"), "f_price", "f_name",
                     (split_key("p_partkey", F.lit(92)) < 2000).alias("test"))
+    return materialize(dealt(d, "p_partkey"), "explained")
 
 
 SQL_EXPLAINED = f"""select p_partkey, {Y_EXPR.format(noise='noise')} y, cast(p_size as double) f_size, cast(f_brand as double) f_brand,
