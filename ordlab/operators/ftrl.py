@@ -8,17 +8,27 @@ batch).  The state update is column arithmetic on the joined state.
 Batches are sequential by definition, so the parallelism is inside a batch
 (rows x features); the state is written to the shared checkpoint folder
 every few batches to cut the lineage.
+
+A batch of a few thousand values is no work for a cluster, and a job per batch
+would make the jobs grow with the rows.  ``fit`` therefore hands runs of such
+batches, at most ``RUN_VALUES`` values together, with the state to one task each,
+which takes the same steps (``run_steps``); larger batches are one job each.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordlab.functions.scalar import sigmoid, uniform
-from ordlab.session import materialize
+from ordlab.session import materialize, shuffle_partitions
+
+#: values of a run of batches that one task takes, and rows of a state that goes with each run
+RUN_VALUES, RUN_FEATURES = 1 << 20, 1 << 18
 
 
 @dataclass
@@ -60,14 +70,19 @@ def update(state: DataFrame, grad: DataFrame, prm: FtrlParams) -> DataFrame:
     return j.select("feature", z2.alias("z"), n2.alias("n"), w2.alias("w"))
 
 
+def _target(prm: FtrlParams) -> Column:
+    """The label as a number, masked to zero at random with ``dropout``."""
+    y = F.col("y").cast("double")
+    if prm.dropout:
+        y = y * F.when(uniform("id", prm.seed) >= F.lit(prm.dropout), 1.0).otherwise(0.0)
+    return y
+
+
 def gradient(long_batch: DataFrame, labels_batch: DataFrame, state: DataFrame, prm: FtrlParams,
              weight: str | None = None) -> DataFrame:
     """``(feature, g)`` with ``g = sum_rows (p - y) x`` (a sum, not a mean)."""
     p = predict(long_batch, state, prm.link)
-    y = F.col("y").cast("double")
-    if prm.dropout:
-        y = y * F.when(uniform("id", prm.seed) >= F.lit(prm.dropout), 1.0).otherwise(0.0)
-    diff = F.col("p") - y
+    diff = F.col("p") - _target(prm)
     if weight:
         diff = diff * F.col(weight)
     d = p.join(labels_batch, "id").select("id", diff.alias("d"))
@@ -78,6 +93,47 @@ def step(long_batch, labels_batch, state, prm: FtrlParams, weight=None) -> DataF
     return update(state, gradient(long_batch, labels_batch, state, prm, weight), prm)
 
 
+def run_steps(rows: pd.DataFrame, state: pd.DataFrame, prm: FtrlParams) -> pd.DataFrame:
+    """``step`` for each batch of ``rows`` (``batch, id, feature, value, y``) in order.
+    A feature without a gradient in a batch keeps z and n, hence its weight."""
+    z, n, w = (state[k].to_numpy(dtype=float).copy() for k in "znw")
+
+    def weights(z, n):
+        with np.errstate(invalid="ignore"):
+            return np.where(np.abs(z) <= prm.l1, 0.0, (np.sign(z) * prm.l1 - z) / ((prm.beta + np.sqrt(n)) / prm.alpha + prm.l2))
+
+    rows = rows.sort_values(["batch", "id"], kind="stable")
+    at = pd.Index(state["feature"]).get_indexer(rows["feature"])  # -1 weighs nothing and has no gradient
+    x, y, ids, batch = (rows[k].to_numpy() for k in ("value", "y", "id", "batch"))
+    ends = np.flatnonzero(np.r_[True, batch[1:] != batch[:-1], True]) if len(rows) else [0]
+    touched = np.arange(len(z))  # at first all weights follow from z and n
+    for a, b in zip(ends, ends[1:]):
+        xb, fb, known = x[a:b], at[a:b], at[a:b] >= 0
+        row = np.cumsum(np.r_[False, ids[a + 1:b] != ids[a:b - 1]])
+        margin = np.bincount(row, np.where(known, w[fb], 0.0) * xb) if len(w) else np.zeros(row[-1] + 1)
+        p = 1.0 / (1.0 + np.exp(-np.where(np.isnan(margin), 35.0, np.clip(margin, -35.0, 35.0)))) if prm.link == "logistic" else margin
+        g = np.bincount(fb[known], ((p[row] - y[a:b]) * xb)[known], len(z))
+        f = np.union1d(fb[known], touched)
+        sigma = (np.sqrt(n[f] + g[f] * g[f]) - np.sqrt(n[f])) / prm.alpha
+        z[f] += g[f] - sigma * w[f]
+        n[f] += g[f] * g[f]
+        w[f] = weights(z[f], n[f])
+        touched = f[:0]
+    w[touched] = weights(z[touched], n[touched])
+    return pd.DataFrame({"feature": state["feature"], "z": z, "n": n, "w": w})
+
+
+def _run(rows: DataFrame, state: DataFrame, prm: FtrlParams) -> DataFrame:
+    """The state after a run of batches (a bounded number of rows) in one task.
+    Rows without a feature, a value or a label add nothing in a step, either."""
+    one = F.lit(0).alias("__g")
+    full = rows.filter("feature is not null and value is not null and y is not null")
+    full = full.select(one, "batch", "id", "feature", F.col("value").cast("double").alias("value"), "y").groupBy("__g")
+    feature = state.schema["feature"].dataType.simpleString()
+    return full.cogroup(state.select(one, "feature", "z", "n", "w").groupBy("__g")).applyInPandas(
+        lambda r, s: run_steps(r, s, prm), f"feature {feature}, z double, n double, w double")
+
+
 def fit(long: DataFrame, labels: DataFrame, prm: FtrlParams, batch_size: int, epochs: int = 1,
         state: DataFrame | None = None, checkpoint_every: int = 4, valid_long: DataFrame | None = None,
         valid_labels: DataFrame | None = None, metric: str = "logloss", early_stop_rounds: int | None = None):
@@ -86,16 +142,24 @@ def fit(long: DataFrame, labels: DataFrame, prm: FtrlParams, batch_size: int, ep
     epoch's state is kept and training stops after ``early_stop_rounds``
     epochs without improvement.  Returns ``(state, history)``."""
     from ordlab.operators.rank import batches
-    lab = materialize(batches(labels, ["id"], batch_size), "ftrl-batches", partition_by=["batch"])
-    rows = materialize(long.join(lab.select("id", "batch"), "id"), "ftrl-rows", partition_by=["batch"])
+    lab = materialize(batches(labels, ["id"], batch_size), "ftrl-labels")
     n_batches = lab.agg(F.max("batch")).first()[0]
-    n_batches = -1 if n_batches is None else int(n_batches)
+    n_batches = 0 if n_batches is None else int(n_batches) + 1
+    # batch order, so that a step reads its batches by the files' statistics
+    parts = max(min(max(shuffle_partitions(long.sparkSession), n_batches // 64), n_batches), 1)
+    rows = long.join(lab.select("id", "batch", _target(prm).alias("y")), "id").select("batch", "id", "feature", "value", "y")
+    rows = materialize(rows.repartitionByRange(parts, "batch").sortWithinPartitions("batch"), "ftrl-rows")
     st = state if state is not None else zero_state(long)
     st = materialize(st, "ftrl-state")
+    most = rows.groupBy("batch").count().agg(F.max("count")).first()[0] or 1
+    # batches of a run; 0 if they are large enough for a job each
+    width = RUN_VALUES // most if st.count() <= RUN_FEATURES else 0
     history, best, best_state, since = [], None, st, 0
     done = 0
     for ep in range(epochs):
-        for b in range(n_batches + 1):
+        for b in range(0, n_batches, width) if width else ():
+            st = materialize(_run(rows.filter(F.col("batch").between(b, b + width - 1)), st, prm), "ftrl-state")
+        for b in range(n_batches) if not width else ():
             st = step(rows.filter(F.col("batch") == b), lab.filter(F.col("batch") == b), st, prm)
             done += 1
             if done % checkpoint_every == 0:

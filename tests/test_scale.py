@@ -20,3 +20,47 @@ def test_rows_of_one_row_group_are_dealt_to_many_tasks(spark, tmp_path):
 def test_boosting_rows_come_in_several_tasks(spark):
     from ordlab.plans.boosting import explained
     assert explained(spark, SF).rdd.getNumPartitions() > 1
+
+
+def _sparse(spark, n=97, batch=10):
+    import numpy as np
+    r = np.random.default_rng(3)
+    rows = [(i, f"f{j}", float(r.normal())) for i in range(n) for j in r.choice(12, 5, replace=False)]
+    rows += [(5, "f1", 0.5), (7, None, 1.0), (8, "f2", None), (200, "f3", 1.0), (21, "new", 2.0)]
+    y = [(i, float(r.random() < 0.5) if i != 11 else None) for i in range(n)] + [(300, 1.0)]
+    return spark.createDataFrame(rows, "id long, feature string, value double"), spark.createDataFrame(y, "id long, y double")
+
+
+def _jobs(spark, tag, call):
+    sc = spark.sparkContext
+    sc.setJobGroup(tag, tag)
+    out = call()
+    n = len(sc.statusTracker().getJobIdsForGroup(tag))
+    sc._jsc.clearJobGroup()
+    return out, n
+
+
+def test_ftrl_runs_take_the_steps_of_single_batches(spark, monkeypatch):
+    import pytest
+    from pyspark.sql import functions as F
+    from ordlab.operators import ftrl
+    long, labels = _sparse(spark)
+    for link in ("logistic", "identity"):
+        prm = ftrl.FtrlParams(alpha=0.1, l1=0.05, l2=0.1, link=link, dropout=0.2)
+        start = ftrl.zero_state(long).filter("feature is null or feature <> 'new'").withColumn("z", F.lit(0.3))
+        got = []
+        for values in (0, 90, 1 << 20):  # single batches, short runs, one run
+            monkeypatch.setattr(ftrl, "RUN_VALUES", values)
+            st, _ = ftrl.fit(long, labels, prm, batch_size=10, epochs=2, state=start)
+            got.append({r["feature"]: pytest.approx((r["z"], r["n"], r["w"]), abs=1e-12) for r in st.collect()})
+        once = {r["feature"]: (r["z"], r["n"], r["w"]) for r in st.collect()}
+        assert set(once) == {None, *(f"f{j}" for j in range(12))} and any(x[2] for x in once.values())
+        assert got[0] == once and got[1] == once and got[2] == once
+
+
+def test_ftrl_jobs_do_not_grow_with_the_batches(spark):
+    from ordlab.operators import ftrl
+    long, labels = _sparse(spark)
+    prm = ftrl.FtrlParams(l1=0.05)
+    few, many = (_jobs(spark, f"ftrl{b}", lambda b=b: ftrl.fit(long, labels, prm, batch_size=b)[0].collect())[1] for b in (50, 1))
+    assert 0 < many <= few + 3
