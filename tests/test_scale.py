@@ -64,3 +64,19 @@ def test_ftrl_jobs_do_not_grow_with_the_batches(spark):
     prm = ftrl.FtrlParams(l1=0.05)
     few, many = (_jobs(spark, f"ftrl{b}", lambda b=b: ftrl.fit(long, labels, prm, batch_size=b)[0].collect())[1] for b in (50, 1))
     assert 0 < many <= few + 3
+
+
+def test_stream_jobs_do_not_grow_with_the_batches(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from ordlab.operators import ftrl
+    from ordlab.streaming.ftrl_stream import batch_step
+    rows = spark.createDataFrame([(i, float(i % 3 == 0), [1.0, i / 40]) for i in range(60)], "id int, y double, x array<double>")
+
+    def to_long(df):
+        return df.select("id", F.posexplode("x").alias("f", "value")).select("id", F.concat(F.lit("f"), F.col("f")).alias("feature"), "value")
+
+    def jobs(size):
+        step = batch_step(spark, to_long, ftrl.FtrlParams(), size, str(tmp_path / str(size)))
+        return _jobs(spark, f"stream{size}", lambda: step(rows, 0))[1]
+
+    assert 0 < jobs(2) <= jobs(30) + 3
