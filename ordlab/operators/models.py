@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordlab.functions.scalar import c
+from ordlab.session import dealt
 
 
 def assemble(df: DataFrame, features, out: str = "features") -> DataFrame:
@@ -138,10 +139,11 @@ def leaf_linear(df: DataFrame, features, label: str, trees: int = 20, depth: int
 def class_probabilities(df: DataFrame, features, label: str, kind: str = "rf", n_classes: int = 8, seed: int = 1,
                         reg: float = 0.01):
     """Class-probability models; ``label`` in 1..K is shifted to 0..K-1
-    inside.  ``reg`` is the penalty of ``softmax``.  Returns the fitted pipeline model."""
+    inside.  ``reg`` is the penalty of ``softmax``.  Rows are dealt before the fit, which
+    keeps each task's rows.  Returns the fitted pipeline model."""
     from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                            OneVsRest, RandomForestClassifier)
-    d = df.withColumn("__lbl", (c(label) - 1).cast("double"))
+    d = dealt(df.withColumn("__lbl", (c(label) - 1).cast("double")))
     if kind == "rf":
         est = RandomForestClassifier(featuresCol="features", labelCol="__lbl", numTrees=50, maxDepth=6, seed=seed)
     elif kind == "softmax":
@@ -226,9 +228,11 @@ def ebc_fit(df: DataFrame, features, label: str, n_classes: int = 8, reg: float
             cost: str = "reference"):
     """Extended-binary reduction: every row is repeated for thresholds
     k = 1..K-1 with the threshold one-hot appended, label ``[y > k]`` and the
-    G1 cost as weight; one weighted logistic model learns all thresholds."""
+    G1 cost as weight; one weighted logistic model learns all thresholds.  The rows
+    are dealt first: the fit keeps each task's repeated rows and reads them again in
+    every iteration."""
     from pyspark.ml.classification import LogisticRegression
-    d = ebc_expand(df, features, label, n_classes, cost)
+    d = ebc_expand(dealt(df), features, label, n_classes, cost)
     cols = list(features) + [f"__t{k}" for k in range(1, n_classes)]
     lr = LogisticRegression(featuresCol="features", labelCol="__b", weightCol="__w", regParam=reg)
     return lr.fit(assemble(d, cols)), cols

@@ -20,6 +20,7 @@ from ordlab.operators.split import fold_table, holdout
 from ordlab.plans.catalog import query
 from ordlab.plans.selection import PART_FEATURES, part_features
 from ordlab.plans.standins import SQL_PART_SCORES, docs_labelled, split_col, sql_split
+from ordlab.session import dealt, materialize
 
 FEATS = list(PART_FEATURES)
 CUTS = [1.5, 2.5, 3.5, 4.5, 5.5, 6.5, 7.5]
@@ -42,7 +43,7 @@ def _report(spark, name, pred, label="yd"):
 
 
 def _split(spark, sf):
-    w = wide(spark, sf)
+    w = materialize(dealt(wide(spark, sf), "p_partkey"), "wide")
     return w.filter(F.col("split") == "train"), w.filter(F.col("split") == "test")
 
 
