@@ -13,6 +13,7 @@ from ordlab.operators.split import fold_metadata, fold_table, holdout
 from ordlab.plans.catalog import T, query
 from ordlab.plans.standins import (SQL_DOCS_LABELLED, SQL_ORDERS_BASE, SQL_PART_SCORES, SQL_SPLIT_KEY,
                                    docs_labelled, orders_scored, part_scores)
+from ordlab.session import dealt, fitted
 
 OB = f"with ob as ({SQL_ORDERS_BASE})"
 FOLDS_SQL = f"""folds as (select r.run, ob.id, ob.y, ob.score,
@@ -298,11 +299,13 @@ def q_grouped_weighted_kappa(spark, sf):
     """Truth LEFT JOIN predictions on id, QWK per group, group weight
     taken from the group's rows, Fisher-z weighted mean."""
     o = orders_scored(spark, sf)
-    wt = o.groupBy("o_orderstatus").agg((F.avg("o_totalprice") / 1e5).alias("essay_weight"))
+    # pinned, so that its size is known: a join of unknown size would be dealt by the few statuses
+    wt = fitted(o.groupBy("o_orderstatus").agg((F.avg("o_totalprice") / 1e5).alias("essay_weight")))
     truth = o.select("id", F.col("o_orderstatus").alias("essay_set"), F.col("y").alias("essay_score"),
                      "o_orderstatus").join(wt, "o_orderstatus").drop("o_orderstatus")
     pred = o.select("id", dc.decode_cut("score", CUTS).alias("predicted_score"))
-    j = truth.join(pred, "id", "left")
+    # tasks of a bounded number of rows: left to adaptive coalescing, a task would sort what it is given at once
+    j = dealt(truth, "id", 1 << 18).join(dealt(pred, "id", 1 << 18), "id", "left")
     k = mt.qwk(j, "essay_score", "predicted_score", by=["essay_set"])
     w = j.groupBy("essay_set").agg(F.min("essay_weight").alias("w"))
     m = mt.mean_kappa_z(k.join(w, "essay_set"), "kappa", weight="w")
