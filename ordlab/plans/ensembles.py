@@ -16,6 +16,7 @@ from ordlab.operators.split import holdout, split_key
 from ordlab.plans.catalog import T, query
 from ordlab.plans.standins import (SQL_ORDERS_BASE, SQL_PART_SCORES, SQL_SPLIT_KEY, orders_scored,
                                    part_scores)
+from ordlab.session import fitted, materialize
 
 PS = f"with ps as ({SQL_PART_SCORES})"
 KS = "(select unnest(generate_series(1, 8)) k) kk"
@@ -287,7 +288,8 @@ def q_ensemble_round(spark, sf):
 @query("ensemble_greedy")
 def q_ensemble_greedy(spark, sf):
     """Greedy selection with replacement until no candidate improves."""
-    chosen = en.greedy_selection(ens_preds(spark, sf), ens_cdf(spark, sf), weights=ENS_WEIGHTS)
+    preds = materialize(ens_preds(spark, sf), "predictions")  # each round reads them, not the orders with their hashes
+    chosen = en.greedy_selection(preds, ens_cdf(spark, sf).transform(fitted), weights=ENS_WEIGHTS)
     return spark.createDataFrame(chosen, "round int, model string, weight double, kappa_mean double")
 
 
