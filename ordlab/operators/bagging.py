@@ -1,9 +1,9 @@
 """Bagged greedy selection and the model-library chain.
 
-Each bag is a seeded subset of the model pool.  The blends of all bags are one
-table ``(bag, run, id, blend)``, so a round scores every (bag, model, weight) in one
-job: the predictions of the bags' members meet the blends once, the weights are
-an explode, and boundaries are found by ``orderstats``.  A candidate's weight is a
+Each bag is a seeded subset of the model pool.  The blends of all bags
+and the predictions of the pool are columns of one table with a row per (run, id), so a
+round scores every (bag, model, weight) in one job without a join or a shuffle of rows:
+candidates are an explode, and boundaries are found by ``orderstats``.  A candidate's weight is a
 share of the blend's weight, so the new blend is ``(blend + w p) / (1 + w)``.
 A bag is done when none of its candidates raises its mean kappa.
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ordlab.operators.decode import decode_cdf, decode_cut
 from ordlab.operators.ensemble import candidate_scores, top_k_per_group
 from ordlab.operators.metrics import qwk
-from ordlab.session import materialize, shuffle_partitions
+from ordlab.session import fitted, materialize, shuffle_partitions
 
 
 def draw_bags(models: list[str], bags: int, fraction: float = 1.0, replacement: bool = True, seed: int = 2015) -> list[list[str]]:
@@ -46,13 +46,18 @@ def _meet(preds: DataFrame, members: DataFrame, blend: DataFrame) -> DataFrame:
     return materialize(pool.join(blend, ["bag", "run", "id"]), "bags")
 
 
+def _kappas(cand: DataFrame, key, cdf: DataFrame) -> DataFrame:
+    """Mean kappa over runs of the blends ``key + [run, id, blend, target]``."""
+    by = [*key, "run"]
+    dec = decode_cdf(cand.select(*by, "id", "blend", "target"), "blend", "id", cdf, by=by, out="cls", cdf_by=["run"])
+    return qwk(dec, "target", "cls", by=by).groupBy(*key).agg(F.avg("kappa").alias("kappa_mean"))
+
+
 def _scores(met: DataFrame, weights, cdf: DataFrame) -> DataFrame:
     w = F.explode(F.array(*[F.lit(float(x)) for x in weights])).alias("weight")
     cand = met.select("bag", "model", "run", "id", "target", "prediction", "blend", w)
     cand = cand.withColumn("blend", (F.col("blend") + F.col("weight") * F.col("prediction")) / (F.lit(1.0) + F.col("weight")))
-    key = ["bag", "model", "weight", "run"]
-    dec = decode_cdf(cand.select(*key, "id", "blend", "target"), "blend", "id", cdf, by=key, out="cls", cdf_by=["run"])
-    return qwk(dec, "target", "cls", by=key).groupBy("bag", "model", "weight").agg(F.avg("kappa").alias("kappa_mean"))
+    return _kappas(cand, ["bag", "model", "weight"], cdf)
 
 
 def bag_candidate_scores(preds: DataFrame, members: DataFrame, blend: DataFrame, weights, cdf: DataFrame) -> DataFrame:
@@ -89,6 +94,31 @@ def start_blends(preds: DataFrame, starts: list[list[str]]) -> DataFrame:
         (F.sum(F.col("__w") * F.col("prediction")) / F.sum("__w")).alias("blend"))
 
 
+def _wide(preds: DataFrame, pool: list[str], starts: list[list[str]]) -> DataFrame:
+    """One row per run and id: the target, each model's prediction ``p`` and whether it has one
+    (``h``), the mean of each bag's first models ``b`` and whether there is one (``a``)."""
+    aggs = [F.max("target").alias("target")]
+    for i, m in enumerate(pool):
+        mine = F.col("model") == m
+        aggs += [F.max(F.when(mine, F.col("prediction"))).alias(f"p{i}"), F.max(mine).alias(f"h{i}")]
+    rows = preds.filter(F.col("model").isin(pool)).groupBy("run", "id").agg(*aggs)
+    blends = {}
+    for b, names in enumerate(starts):
+        first = [(pool.index(m), float(names.count(m))) for m in sorted(set(names))]
+        total = sum((F.coalesce(F.lit(w) * F.col(f"p{i}"), F.lit(0.0)) for i, w in first), F.lit(0.0))
+        some = F.coalesce(*[F.col(f"p{i}") for i, _ in first]).isNotNull()
+        weight = sum((F.when(F.col(f"h{i}"), F.lit(w)).otherwise(0.0) for i, w in first), F.lit(0.0))
+        blends |= {f"b{b}": F.when(some, total / weight), f"a{b}": weight > 0}
+    return rows.withColumns(blends)
+
+
+def _exploded(rows: DataFrame, columns: list[tuple], number: str) -> DataFrame:
+    """A row ``(run, id, target, number, blend)`` per row and ``(blend, has one)``."""
+    blends = F.array(*[F.when(has, x) for x, has in columns])
+    r = rows.select("run", "id", "target", F.array(*[has for _, has in columns]).alias("__has"), F.posexplode(blends).alias(number, "blend"))
+    return r.filter(F.col("blend").isNotNull() | F.get("__has", F.col(number))).drop("__has")
+
+
 def bagged_selection(preds: DataFrame, cdf: DataFrame, bags: int = 5, fraction: float = 1.0, replacement: bool = True,
                      init_top_k: int = 1, weights=(0.25, 0.5, 1.0), tol: float = 1e-9, seed: int = 2015) -> Selection:
     """Greedy selection with replacement inside each bag (see the module text)."""
@@ -99,37 +129,34 @@ def bagged_selection(preds: DataFrame, cdf: DataFrame, bags: int = 5, fraction:
     starts = [d[:max(init_top_k, 1)] for d in drawn]
     chosen = [[(m, 1.0) for m in s] for s in starts]
     total = [float(len(s)) for s in starts]
-    members = spark.createDataFrame(sorted({(b, m) for b, d in enumerate(drawn) for m in d}), "bag int, model string")
-    blend = materialize(start_blends(preds, starts), "blend")
-    truth = preds.select("run", "id", "target").distinct()
-    first = qwk(decode_cdf(blend.join(truth, ["run", "id"]), "blend", "id", cdf, by=["bag", "run"], out="cls", cdf_by=["run"]),
-                "target", "cls", by=["bag", "run"]).groupBy("bag").agg(F.avg("kappa").alias("k")).collect()
+    pool = sorted({m for d in drawn for m in d})
+    cdf = fitted(cdf)  # every decode of every round reads it
+    rows = materialize(_wide(preds, pool, starts), "bags")
+    own = _exploded(rows, [(F.col(f"b{b}"), F.col(f"a{b}")) for b in range(bags)], "bag")
+    first = _kappas(own, ["bag"], cdf).withColumnRenamed("kappa_mean", "k").collect()
     best = {r["bag"]: r["k"] if r["k"] is not None else float("-inf") for r in first}
     kappas = [[float(best.get(b, float("-inf")))] for b in range(bags)]
-    done: list[DataFrame] = []
-    while True:
-        met = _meet(preds, members, blend)
+    going = set(range(bags))
+    while going:
+        cands = [(b, i, float(x)) for b in sorted(going) for i, m in enumerate(pool) if m in drawn[b] for x in weights]
+        blends = [((F.col(f"b{b}") + F.lit(x) * F.col(f"p{i}")) / F.lit(1.0 + x), F.col(f"a{b}") & F.col(f"h{i}")) for b, i, x in cands]
+        names = spark.createDataFrame([(n, b, pool[i], x) for n, (b, i, x) in enumerate(cands)], "cand int, bag int, model string, weight double")
+        scores = _kappas(_exploded(rows, blends, "cand"), ["cand"], cdf).join(F.broadcast(names), "cand")  # one row per candidate
         w = Window.partitionBy("bag").orderBy(F.desc_nulls_last("kappa_mean"), "model", "weight")  # candidates of a bag
-        top = _scores(met, weights, cdf).withColumn("r", F.row_number().over(w)).filter("r = 1").collect()
+        top = scores.withColumn("r", F.row_number().over(w)).filter("r = 1").collect()
         wins = [r for r in top if r["kappa_mean"] is not None and r["kappa_mean"] > best[r["bag"]] + tol]
-        going = {r["bag"] for r in wins}
-        done.append(blend.filter(~F.col("bag").isin([int(b) for b in going])) if going else blend)
-        if not going:
-            break
+        going, now = {r["bag"] for r in wins}, {}
         for r in wins:
-            b = r["bag"]
-            chosen[b].append((r["model"], r["weight"] * total[b]))
-            total[b] *= 1.0 + r["weight"]
+            b, i, x = r["bag"], pool.index(r["model"]), r["weight"]
+            chosen[b].append((r["model"], x * total[b]))
+            total[b] *= 1.0 + x
             best[b] = float(r["kappa_mean"])
             kappas[b].append(best[b])
-        won = spark.createDataFrame([(r["bag"], r["model"], r["weight"]) for r in wins], "bag int, model string, weight double")
-        blend = materialize(met.join(F.broadcast(won), ["bag", "model"]).select(
-            "bag", "run", "id", ((F.col("blend") + F.col("weight") * F.col("prediction")) / (F.lit(1.0) + F.col("weight"))).alias("blend")), "blend")
-        members = members.filter(F.col("bag").isin([int(b) for b in going]))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return Selection(chosen, materialize(out, "blends"), kappas)
+            now |= {f"b{b}": (F.col(f"b{b}") + F.lit(x) * F.col(f"p{i}")) / F.lit(1.0 + x), f"a{b}": F.col(f"a{b}") & F.col(f"h{i}")}
+        if now:
+            rows = materialize(rows.withColumns(now), "bags")
+    out = _exploded(rows, [(F.col(f"b{b}"), F.col(f"a{b}")) for b in range(bags)], "bag")
+    return Selection(chosen, materialize(out.select("bag", "run", "id", "blend"), "blends"), kappas)
 
 
 def bag_progress(selection: Selection, truth: DataFrame, cdf: DataFrame, n_classes: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -167,10 +194,11 @@ def library_ensemble(trials: DataFrame, preds: DataFrame, test: DataFrame, cdf:
     cls_cut)`` and the selection."""
     pool = top_k_per_group(trials, ["family"], "kappa_mean", per_family, "trial").select(
         F.concat_ws("@", "family", F.col("trial").cast("string")).alias("model"))
-    mine = materialize(preds.join(pool, "model", "left_semi"), "pool")
+    mine = materialize(preds.join(fitted(pool), "model", "left_semi"), "pool")
+    cdf = fitted(cdf)
     sel = bagged_selection(mine, cdf, **selection)
-    blend = apply_selection(sel.table(preds.sparkSession), test)
+    blend = materialize(apply_selection(sel.table(preds.sparkSession), test), "blend")  # the decode reads it several times
     _, cuts = bag_progress(sel, mine.select("run", "id", "target").distinct(), cdf, n_classes)
     last = cuts.filter(F.col("bags") == len(sel.chosen)).orderBy("k").collect()  # a cut per class
-    out = decode_cdf(blend, "blend", "id", test_cdf, out="cls_cdf", n_classes=n_classes)
+    out = decode_cdf(blend, "blend", "id", fitted(test_cdf), out="cls_cdf", n_classes=n_classes)
     return out.withColumn("cls_cut", decode_cut("blend", [r["cut"] for r in last if r["cut"] is not None])), sel

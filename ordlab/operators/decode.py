@@ -57,15 +57,13 @@ def decode_cdf(df: DataFrame, score: str, id_col: str, cdf: DataFrame, by=None,
     sizes, at = rank_keys(rows.select(*by, "__v", "__i"), by, boundary_ranks)
     at = at.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("v", "i", "rank"))).alias("__at"))
     found = match(sizes, at, by) if by else attach(sizes, at)
-    # per group the keys of the boundary rows in order, and the class from each on (rank 0 is the first)
-    keys = [F.struct(F.get("__at", F.lit(j))["v"].alias("v"), F.get("__at", F.lit(j))["i"].alias("i")) for j in range(len(ends))]
-    found = found.select(*by, *[x[y].alias(f"__{y}{j}") for j, x in enumerate(keys) for y in "vi"],
+    # per group the keys of the boundary rows in order, and the class from each on (rank 0 is the first).  They stay
+    # one array: as columns they make a generated method that is too long to be compiled
+    found = found.select(*by, F.transform("__at", lambda x: F.struct(x.v.alias("v"), x.i.alias("i"))).alias("__keys"),
                          F.transform("__at", lambda x: class_at(x["rank"])).alias("__cls"))
     both = spread(rows, fitted(found, "boundaries"), by)
-    passed = F.lit(-1)
-    for j in range(len(ends)):
-        v, i = F.col(f"__v{j}"), F.col(f"__i{j}")
-        passed = passed + F.when((F.col("__v") > v) | ((F.col("__v") == v) & (F.col("__i") >= i)), 1).otherwise(0)
+    v, i = F.col("__v"), F.col("__i")
+    passed = F.size(F.filter("__keys", lambda x: (v > x.v) | ((v == x.v) & (i >= x.i)))) - 1
     both = both.withColumn(out, F.get("__cls", passed).cast("int"))
     return both.select(*df.columns, *([] if out in df.columns else [out]))
 

@@ -69,11 +69,15 @@ def spread(rows: DataFrame, table: DataFrame, by) -> DataFrame:
 
 
 def _within(rows: DataFrame, groups: DataFrame, by, which) -> DataFrame:
-    """Rows that lie in a wanted interval of the kind ``which``, as ``x``."""
-    intervals = F.array_distinct(F.transform(F.filter("want", which), lambda x: x.at))
-    inside = lambda x: F.when(x.tied, (F.col("__v") == x.v0) & F.col("__i").between(x.lo, x.hi)).otherwise(F.col("__v").between(x.lo, x.hi))
-    r = spread(rows, groups.select(*by, intervals.alias("__iv")), by)
-    return r.select(*by, "__v", "__i", F.explode(F.filter("__iv", inside)).alias("x"))
+    """Rows that lie in a wanted interval of the kind ``which``, as ``x``.  An interval lies
+    in one first digit, so rows meet those of their digit by an equality join."""
+    at = F.explode(F.array_distinct(F.transform(F.filter("want", which), lambda x: x.at))).alias("x")
+    start = F.when(F.col("x.tied"), F.col("x.v0")).otherwise(F.col("x.lo"))
+    intervals = groups.select(*by, at).withColumn("__first", F.shiftright(start, FIRST))
+    r = match(rows.select(*by, "__v", "__i", F.shiftright("__v", FIRST).alias("__first")), intervals, [*by, "__first"], "inner")
+    lo, hi = F.col("x.lo"), F.col("x.hi")
+    inside = F.when(F.col("x.tied"), (F.col("__v") == F.col("x.v0")) & F.col("__i").between(lo, hi)).otherwise(F.col("__v").between(lo, hi))
+    return r.filter(inside).select(*by, "__v", "__i", "x")
 
 
 def _wanted(groups: DataFrame, by) -> DataFrame:

@@ -327,10 +327,10 @@ def q_bagged_round(spark, sf):
 def q_library_ensemble(spark, sf):
     """Trial log -> best trials per family -> bagged selection -> all orders, by CDF and by cut-offs."""
     name = F.concat(F.lit("f"), F.substring("model", 2, 1).cast("int") % 2, F.lit("@"), F.substring("model", 2, 1))
-    preds = ens_preds(spark, sf).withColumn("model", name)
+    preds = materialize(ens_preds(spark, sf).withColumn("model", name), "predictions")
     trials = preds.groupBy("model").agg(F.corr("prediction", "target").alias("kappa_mean")).select(
         F.split("model", "@")[0].alias("family"), F.split("model", "@")[1].cast("int").alias("trial"), "kappa_mean")
-    cdf = ens_cdf(spark, sf)
+    cdf = fitted(ens_cdf(spark, sf))
     out, _ = bg.library_ensemble(trials, preds, model_preds(spark, sf).withColumn("model", name), cdf, mean_cdf_pdf(cdf, over="run"),
                                  per_family=2, bags=2, init_top_k=1, weights=ENS_WEIGHTS)
     return out.select("id", round6("blend").alias("blend"), "cls_cdf", "cls_cut")
