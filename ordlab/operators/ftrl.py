@@ -134,6 +134,47 @@ def _run(rows: DataFrame, state: DataFrame, prm: FtrlParams) -> DataFrame:
         lambda r, s: run_steps(r, s, prm), f"feature {feature}, z double, n double, w double")
 
 
+def single_pass(long: DataFrame, labels: DataFrame, prm: FtrlParams, batch_size: int, state: DataFrame | None = None) -> DataFrame | None:
+    """The state after one pass of ``fit`` over so few rows that one task takes all
+    their batches: one count and one job, whatever the number of batches.  Features
+    that ``state`` lacks start from zero.  None if there are too many values, labels
+    or features for a run, or ids that the task would not put in Spark's order."""
+    kind = dict(labels.dtypes)["id"]
+    if kind not in ("tinyint", "smallint", "int", "bigint", "string") or dict(long.dtypes)["id"] != kind:
+        return None
+    zero = F.lit("" if kind == "string" else 0).cast(kind)
+    name = (long if state is None else state).schema["feature"].dataType.simpleString()
+
+    def part(df, k, id_, feature, a, b, c):  # values and their use; labels, those with y, those with an id; z, n, w
+        return df.select(F.lit(k).alias("k"), F.coalesce(id_, zero).alias("id"), feature.cast(name).alias("feature"),
+                         *[x.cast("double").alias(y) for x, y in ((a, "a"), (b, "b"), (c, "c"))])
+
+    id_, feature, value, none = F.col("id"), F.col("feature"), F.col("value"), F.lit(None)
+    full = id_.isNotNull() & feature.isNotNull() & value.isNotNull()
+    target = _target(prm)
+    rows = part(long, 0, id_, feature, value, full, none).unionByName(
+        part(labels, 1, id_, none, target, target.isNotNull(), id_.isNotNull()))
+    if state is not None:
+        rows = rows.unionByName(part(state, 2, none, feature, F.col("z"), F.col("n"), F.col("w")))
+    count = {r["k"]: r["count"] for r in rows.groupBy("k").count().collect()}
+    if max(count.get(0, 0), count.get(1, 0)) > RUN_VALUES or count.get(2, 0) > RUN_FEATURES:
+        return None
+
+    def steps(group):
+        x, y, old = (group[group["k"] == k] for k in range(3))
+        y = y.sort_values(["c", "id"], kind="stable")  # null ids first
+        y = y.assign(batch=np.arange(len(y)) // batch_size)
+        y = y[(y["b"] > 0) & (y["c"] > 0)]
+        new = x["feature"].drop_duplicates()
+        new = new[~new.isin(old["feature"])]
+        start = {k: np.r_[old[c].to_numpy(), np.zeros(len(new))] for k, c in zip("znw", "abc")}
+        start = pd.DataFrame({"feature": [*old["feature"], *new]} | start)
+        x = x.loc[x["b"] > 0, ["id", "feature", "a"]].rename(columns={"a": "value"})
+        return run_steps(x.merge(y[["id", "a", "batch"]].rename(columns={"a": "y"}), on="id"), start, prm)
+
+    return rows.withColumn("__g", F.lit(0)).groupBy("__g").applyInPandas(steps, f"feature {name}, z double, n double, w double")
+
+
 def fit(long: DataFrame, labels: DataFrame, prm: FtrlParams, batch_size: int, epochs: int = 1,
         state: DataFrame | None = None, checkpoint_every: int = 4, valid_long: DataFrame | None = None,
         valid_labels: DataFrame | None = None, metric: str = "logloss", early_stop_rounds: int | None = None):

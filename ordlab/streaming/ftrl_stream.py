@@ -8,6 +8,9 @@ checkpoint records which source files were consumed, so a restarted query
 sees only the unseen rows.  Batch ``N`` continues from the last state written
 before ``N`` and overwrites its own state folder, so a batch that is replayed
 after its state was written gives the same state again.
+
+A micro-batch is one source file in most streams, so what it costs apart from its
+rows is paid per file: small ones are a count and one job (``ftrl.single_pass``).
 """
 
 from __future__ import annotations
@@ -24,16 +27,18 @@ from ordlab.session import checkpoint_dir, materialize
 def _latest_state(spark: SparkSession, root: str, before: int | None = None):
     """The last written state (of a batch before ``before``), or None."""
     state_root = os.path.join(root, "state")
-    path = spark._jvm.org.apache.hadoop.fs.Path(state_root)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None  # no micro-batch has written state yet
-    st = spark.read.parquet(state_root)
-    if before is not None:
-        st = st.filter(F.col("batch") < before)
-    last = st.agg(F.max("batch")).first()[0]
-    if last is None:
-        return None
-    return st.filter(F.col("batch") == last).drop("batch")
+    jvm = spark._jvm.org.apache.hadoop.fs
+    path = jvm.Path(state_root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if before is not None and fs.exists(jvm.Path(f"{state_root}/batch={before - 1}")):
+        last = before - 1
+    elif fs.exists(path):
+        names = [x.getPath().getName() for x in fs.listStatus(path)]
+        done = [int(x[6:]) for x in names if x.startswith("batch=")]
+        last = max([x for x in done if before is None or x < before], default=None)
+    else:
+        last = None  # no micro-batch has written state yet
+    return None if last is None else spark.read.parquet(f"{state_root}/batch={last}").drop("batch")
 
 
 def batch_step(spark: SparkSession, to_long, prm: ftrl.FtrlParams, batch_size: int, root: str):
@@ -46,12 +51,14 @@ def batch_step(spark: SparkSession, to_long, prm: ftrl.FtrlParams, batch_size: i
         long = to_long(rows)
         labels = rows.select("id", "y")
         init = _latest_state(spark, root, before=int(batch_id))
-        if init is not None:
-            # features first seen in this micro-batch start from zero
-            new = ftrl.zero_state(long).join(init.select("feature"), "feature", "left_anti")
-            init = init.unionByName(new)
-            init = materialize(init, "stream-state")  # the folder it was read from may be overwritten
-        state, _ = ftrl.fit(long, labels, prm, batch_size=batch_size, epochs=1, state=init)
+        state = ftrl.single_pass(long, labels, prm, batch_size, init)
+        if state is None:
+            if init is not None:
+                # features first seen in this micro-batch start from zero
+                new = ftrl.zero_state(long)
+                new = new.join(init.select(F.col("feature").alias("__f")), F.col("feature").eqNullSafe(F.col("__f")), "left_anti")
+                init = materialize(init.unionByName(new), "stream-state")
+            state, _ = ftrl.fit(long, labels, prm, batch_size=batch_size, epochs=1, state=init)
         (state.withColumn("batch", F.lit(int(batch_id)))
               .write.mode("overwrite").parquet(os.path.join(root, "state", f"batch={int(batch_id)}")))
         rows.unpersist()
