@@ -10,8 +10,10 @@ hashes.  Documents with equal sets are one node (told apart by 128 bits).
    of each (fewer where the sets are that small).
 2. Tokens that no other node has among its first ones are settled.
 3. Similar nodes are partitioned into groups of about ``GROUP`` nodes: first by
-   least hash, where each chunk also holds a few nodes common to all chunks of
-   that hash.  Linked nodes inside a group become one class.
+   the least values of two hashes, where each chunk also holds a few nodes common to
+   all chunks of those.  (A passage that many texts share often holds the least value
+   of one hash, seldom of both; such texts would be fetched in vain.)  Linked nodes
+   inside a group become one class.
 4. The groups of the matrix are the classes so far, and the remaining nodes by
    the shared token that most nodes hold, in chunks of about ``GROUP``.  The
    matrix holds the union of a group's first tokens with the least and greatest
@@ -35,9 +37,12 @@ read whole.  An empty table gives no rows.  Extra columns are ignored by
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
@@ -86,7 +91,7 @@ def bucket_counts(src: DataFrame, k: int) -> np.ndarray:
 
 def describe(src: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(doc_id, tx, n, d1, d2, least, first) of every document: set size, set
-    digest, least hash and the first tokens in the global order."""
+    digest, hash of the least values of two hashes and the first tokens in the global order."""
     bc = src.sparkSession.sparkContext.broadcast(bucket_counts(src, k))  # BUCKETS counts
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "tx", "n", "d1", "d2", "least")] + [("first", pa.list_(pa.int64()))])
 
@@ -101,7 +106,7 @@ def describe(src: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     p = n - least + min(SHARED, least)
                     order = np.lexsort((s, count[(s >> U(44)).astype(np.int64)]))[:p]
                     d = [kernels.mix(s + U(c)).sum(dtype=U).astype(np.int64) for c in (1, 2)]
-                    low = np.int64(kernels.mix(s).min().view(np.int64)) if n else 0
+                    low = kernels.mix(kernels.mix(s).min(keepdims=True) ^ ~kernels.mix(s + U(3)).min(keepdims=True)).view(np.int64)[0] if n else 0
                     for r, x in zip(rows, (n, *d, low, (s[order] & TOKEN).astype(np.int64))):
                         r.append(x)
                 yield batch(schema, b.column(0).slice(i, len(off) - 1), b.column(1).slice(i, len(off) - 1), *rows)
@@ -172,15 +177,17 @@ def link_queries(nodes: np.ndarray, sets: list[np.ndarray], queries: np.ndarray,
 
 
 def compare(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(u, v) links of groups.  ``rows``: (g, block, query, node, text); the
+    """(u, v) links of groups.  ``rows``: (g, block, query, node, packed text); the
     members of a group (``query`` 0) stand in each of its blocks."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def solve(t: pa.Table):
         g, block, query, node = [t.column(c).to_numpy() for c in range(4)]
         sets = []
-        for _, buf, off in kernels.slices(t.column(4)):
-            sets += kernels.shingle_sets(buf, off, k)
+        for i in range(0, len(t), 100):
+            text = pa.array([zlib.decompress(x) for x in t.column(4).slice(i, 100).to_pylist()], pa.large_binary())
+            for _, buf, off in kernels.slices(text):
+                sets += kernels.shingle_sets(buf, off, k)
         cut = np.flatnonzero((g[1:] != g[:-1]) | (block[1:] != block[:-1])) + 1
         u, v = [], []
         for a, b in zip(np.concatenate(([0], cut)).tolist(), np.concatenate((cut, [len(g)])).tolist()):
@@ -224,12 +231,21 @@ def _chunk(size, per: int, salt: int):
     return F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(size / F.lit(per))).cast("bigint")
 
 
+def _packed(text: str):
+    """Texts move twice (to their places, then to the groups), so they are compressed."""
+    @F.pandas_udf("binary")
+    def udf(raw: pd.Series) -> pd.Series:
+        return pd.Series([zlib.compress(x) for x in raw], dtype=object)
+
+    return udf(F.col(text).cast("binary"))
+
+
 def fetch(src: DataFrame, places: DataFrame) -> DataFrame:
     """The rows of ``places`` (node, doc_id, tx, at) with their texts, one for
     each entry (g, block, query) of ``at``.  Rows that repeat a document repeat
     a node; comparing it twice does no harm."""
     places = pin(places.withColumn("key", F.xxhash64("doc_id", "tx")), "jaccard-places")
-    some = src.filter(may_contain(bitmap(places, "key"))(F.xxhash64("doc_id", "tx")))
+    some = src.filter(may_contain(bitmap(places, "key"))(F.xxhash64("doc_id", "tx"))).select("doc_id", "tx", _packed("text").alias("text"))
     p = places.select("node", F.col("doc_id").alias("__d"), F.col("tx").alias("__t"), "at")
     rows = some.join(p, some["doc_id"].eqNullSafe(F.col("__d")) & (some["tx"] == F.col("__t")))
     return rows.select("node", "text", F.explode("at").alias("at")).select("at.g", "at.block", "at.query", "node", "text")
@@ -252,7 +268,7 @@ def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col:
     ex = nodes.select("node", "n", "least", F.col("ex.doc_id").alias("doc_id"), F.col("ex.tx").alias("tx"))
     place = ex.select("node", "doc_id", "tx")
 
-    # inside groups of equal least hash
+    # inside groups of equal least hashes
     size = ex.groupBy("least").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     chunks = F.ceil(F.col("size") / F.lit(GROUP)).cast("bigint")
     pivot = (chunks > 1) & (F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("size") / F.lit(PIVOTS))) == 0)
@@ -265,9 +281,11 @@ def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col:
     # group of the token, among its shared first ones, that most nodes hold
     first = sets.select(F.col("doc_id").alias("__d"), F.col("tx").alias("__t"), "first")
     post = first.join(ex, ex["doc_id"].eqNullSafe(F.col("__d")) & (ex["tx"] == F.col("__t"))).join(comp, "node", "left")
-    post = pin(post.select("node", "n", F.coalesce("comp", "node").alias("comp"), F.col("comp").isNull().alias("single"), F.explode("first").alias("token")), "jaccard-postings")
-    cross = post.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("df")).filter("a <> b").select("token", "df")
-    post = pin(post.join(cross, "token"), "jaccard-shared")
+    post = post.select("node", "n", "comp", F.explode("first").alias("token"))
+    # most tokens occur once: rows are sent by token one time, and only those of shared tokens are written
+    same, comp = Window.partitionBy("token"), F.coalesce("comp", "node")
+    post = post.select("*", F.min(comp).over(same).alias("a"), F.max(comp).over(same).alias("b"), F.count(F.lit(1)).over(same).alias("df"))
+    post = pin(post.filter("a <> b").select("node", "n", comp.alias("comp"), F.col("comp").isNull().alias("single"), "token", "df"), "jaccard-shared")
     label = post.groupBy("node").agg(F.max(F.struct("df", "token"))["token"].alias("token"), F.first("comp").alias("comp"), F.first("single").alias("single"))
     label = pin(label.withColumn("label", F.when(F.col("single"), F.col("token")).otherwise(F.col("comp"))).select("node", "single", "label"), "jaccard-labels")
     sizes = label.groupBy("single", "label").agg(F.count(F.lit(1)).alias("size"))
