@@ -182,18 +182,18 @@ def q_bagged_stack(spark, sf):
     from ordlab.operators.ensemble import vote_majority
     tr, te = _split(spark, sf)
     stack_cols = [f"stack_p{k}" for k in range(1, 9)]
-    votes = None
+    votes = te.select("p_partkey", "y", *FEATS)
     for bag in (1, 2, 3):
         t = tr.withColumn("layer", split_col("p_partkey", 0.2, F.lit(100 + bag)))
         base, upper = t.filter(F.col("layer") == "test"), t.filter(F.col("layer") == "train")
         models = [md.class_probabilities(base, FEATS, "y", k) for k in ("rf", "softmax")]
-        up = md.stack_probabilities(models, upper.select("p_partkey", "y", "yd", *FEATS))
-        ts = md.stack_probabilities(models, te.select("p_partkey", "y", *FEATS))
+        # a linear fit reads its rows twice (sums, summary); they are scored once
+        up = md.stack_probabilities(models, upper.select("yd", *FEATS)).persist()
         lr = md.linear_booster(up, FEATS + stack_cols, "yd", 0.01, 0.0)
-        p = lr.transform(md.assemble(ts, FEATS + stack_cols)).select(
-            "p_partkey", "y", decode_cut("prediction", CUTS).alias(f"c{bag}"))
-        votes = p if votes is None else votes.join(p.drop("y"), "p_partkey")
-    v = votes.select("p_partkey", "y", vote_majority(["c1", "c2", "c3"]).cast("int").alias("vote"))
+        up.unpersist()
+        ts = md.assemble(md.stack_probabilities(models, votes), FEATS + stack_cols)
+        votes = lr.transform(ts).select(*votes.columns, decode_cut("prediction", CUTS).alias(f"c{bag}"))
+    v = materialize(votes.select("p_partkey", "y", vote_majority(["c1", "c2", "c3"]).cast("int").alias("vote")), "votes")
     k = qwk(v, "y", "vote")
     return attach(v, k).select("p_partkey", "y", "vote", round6("kappa").alias("kappa"))
 
